@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -116,9 +117,11 @@ def encode_documents(
         return (key, *own, *summary(ids, data))
 
     def short(batches):
-        for pdf in batches:
-            out = [result(key, encode_text(text, ranks_path, pattern)) for key, text in zip(pdf["id"], pdf["text"])]
-            yield pd.DataFrame(out, columns=names)
+        for batch in batches:
+            out = [result(None, encode_text(text, ranks_path, pattern))[1:] for text in batch.column(1).to_pylist()]
+            columns = [pa.array(c) for c in zip(*out)] if out else []
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     def scan(batches):
         for pdf in batches:
@@ -136,9 +139,10 @@ def encode_documents(
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.frombuffer(b"".join(pdf.sort_values("at")["ids"]), "<i4").tolist()
-        return pd.DataFrame([result(pdf["id"].iloc[0], ids)], columns=names)
+        key = pdf["id"].iloc[0]
+        return pd.DataFrame([result(None if pd.isna(key) else int(key), ids)], columns=names)
 
-    here = rows.where(F.length("text") <= limit).mapInPandas(short, schema)
+    here = rows.where(F.length("text") <= limit).mapInArrow(short, schema)
     # a row number of its own tells repeated ids apart
     long_ = materialise(
         rows.where(F.length("text") > limit).withColumn("key", F.monotonically_increasing_id()), "long-texts"

@@ -31,8 +31,7 @@ def splitters(keyed: DataFrame, rows: int, buckets: int) -> list:
     if rows > 2 * wanted:
         key = key.sample(fraction=1.5 * wanted / rows, seed=7)
     sampled = [tuple(r) for r in key.where("id is not null").sort("lead", "hash", "id").collect()]
-    step = max(1, len(sampled) // buckets)
-    return sorted(set(sampled[step::step]))[: buckets - 1]
+    return sorted({sampled[i * len(sampled) // buckets] for i in range(1, buckets)}) if sampled else []
 
 
 def bucket_of(cuts: list, key: Column) -> tuple[Column, Callable[[Column], Column]]:
