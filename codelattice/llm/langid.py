@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -320,3 +320,15 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + arrays, names=schema.names)
 
     return rows.mapInArrow(run, schema)
+
+
+def rejects(spark: SparkSession, model: Model | None):
+    """A function of a text column: true where the text is rejected (null, letterless, or unlike every language)."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def rejected(texts: pd.Series) -> pd.Series:
+        model = shared.value
+        return pd.Series(np.ones(len(texts), bool) if model is None else classify(model, texts.tolist())[3])
+
+    return rejected

@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-P(grade > k) = sigmoid(w.x - theta_k) with one weight vector for all thresholds.  A feature is the
-presence of a word in the text; the expected severity is the sum of the exceedance probabilities.
+P(grade > k) = sigmoid(w.x - theta_k) with one weight vector for all thresholds.  Features are the
+presence of words and of word beginnings; the expected severity is the sum of the exceedance
+probabilities.
 """
 
 from __future__ import annotations
@@ -15,75 +16,118 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled documents, toxic and others each, that the model is fitted on.
-DOCS_PER_CLASS = 2_500
-#: Words that the model may weigh: those of the most documents of the sample.
-VOCABULARY = 100_000
-MIN_DOCS = 5
+DOCS_PER_CLASS = 2_000
+#: Features that the model may weigh: those whose share of toxic documents is least likely by chance.
+VOCABULARY = 600
+MIN_DOCS, MIN_Z = 5, 4.0
+#: Ridge penalty of the weights.
+RIDGE = 1.0
+#: Lengths of the word beginnings that are features beside the words themselves.
+BEGINNINGS = (4, 5, 6, 7)
 #: Characters at the edges of a word that are not part of it.
-_EDGE = bytes(c for c in range(128) if not (chr(c).isalnum() or chr(c) == "_"))
+_EDGE = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
-def words_of(data: bytes | None) -> set[bytes]:
-    """The distinct words of a text in UTF-8, A-Z lower-cased, without ASCII punctuation at their edges."""
-    found = {w.strip(_EDGE) for w in set((data or b"").lower().split())}
-    found.discard(b"")
+def features_of(text: str | None) -> set[str]:
+    """Sparse features of a whole text: its distinct words, their beginnings, and beginnings that two words share.
+
+    Words are lower-cased and stripped of ASCII punctuation.  A beginning is marked with a hyphen,
+    one of two or more distinct words with two.
+    """
+    words = {w.strip(_EDGE) for w in set((text or "").lower().split())}
+    words.discard("")
+    found = set(words)
+    add = found.add
+    for word in words:
+        size = len(word)
+        for n in BEGINNINGS:
+            if size < n:
+                break
+            begin = word[:n] + "-"
+            if begin in found:
+                add(begin + "-")
+            else:
+                add(begin)
     return found
 
 
 @dataclass
 class Model:
-    """Weights by word and the ordered thresholds between grades."""
+    """Weights by feature and the ordered thresholds between grades."""
 
-    weights: dict[bytes, float]
+    weights: dict[str, float]
     thresholds: np.ndarray
 
-    def margin(self, data: bytes | None) -> float:
-        get = self.weights.get
-        return sum(get(w, 0.0) for w in words_of(data))
+    def margin(self, text: str | None) -> float:
+        weights = self.weights
+        return sum(weights[f] for f in features_of(text) if f in weights)
 
 
-def fit(texts: list[bytes], grades: np.ndarray, vocabulary: int = VOCABULARY, l2: float = 1.0, steps: int = 300) -> Model:
-    """Maximum likelihood with a ridge penalty, by Adam on the whole sample."""
+def fit(texts: list[str], grades: np.ndarray, vocabulary: int = VOCABULARY, l2: float = RIDGE, steps: int = 30) -> Model:
+    """Maximum likelihood with a ridge penalty, by Fisher scoring with step halving."""
     levels = max(1, int(grades.max())) if len(grades) else 1
-    documents: dict[bytes, int] = {}
-    own = [words_of(t) for t in texts]
-    for words in own:
-        for w in words:
-            documents[w] = documents.get(w, 0) + 1
-    ranked = sorted((w for w, n in documents.items() if n >= MIN_DOCS), key=lambda w: (-documents[w], w))[:vocabulary]
-    place = {w: i for i, w in enumerate(ranked)}
-    columns = [np.array(sorted(place[w] for w in words if w in place), np.int64) for words in own]
-    sizes = np.array([len(c) for c in columns], np.int64)
-    flat = np.concatenate(columns) if len(columns) else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(texts)), sizes)
-    # thresholds start at the observed shares; words are weighed against rarity by a common step
-    above = np.array([(grades > k).mean() if len(grades) else 0.5 for k in range(levels)])
-    theta = -np.log(np.clip(above, 1e-3, 1 - 1e-3) / (1 - np.clip(above, 1e-3, 1 - 1e-3)))
-    theta = np.maximum.accumulate(theta + 1e-3 * np.arange(levels))
-    weight = np.zeros(len(place))
-    m, v = np.zeros(len(place) + levels), np.zeros(len(place) + levels)
-    for step in range(1, steps + 1):
-        z = np.bincount(row, weight[flat], len(texts)) if len(flat) else np.zeros(len(texts))
-        exceed = _sigmoid(z[:, None] - theta[None, :])  # P(grade > k)
-        upper = np.concatenate([np.ones((len(texts), 1)), exceed], axis=1)
-        lower = np.concatenate([exceed, np.zeros((len(texts), 1))], axis=1)
-        chance = np.maximum(upper - lower, 1e-12)[np.arange(len(texts)), grades]
-        slope = exceed * (1 - exceed)
-        padded = np.concatenate([np.zeros((len(texts), 1)), slope, np.zeros((len(texts), 1))], axis=1)
-        up, down = padded[np.arange(len(texts)), grades], padded[np.arange(len(texts)), grades + 1]
-        dz = -(up - down) / chance
-        dtheta = np.zeros(levels)
+    place = {f: i for i, f in enumerate(_telling(texts, grades, vocabulary))}
+    n, width = len(texts), len(place)
+    x = np.zeros((n, width), np.float32)
+    for i, text in enumerate(texts):
+        x[i, [place[f] for f in features_of(text) if f in place]] = 1
+    above = np.array([(grades > k).mean() if n else 0.5 for k in range(levels)]).clip(1e-3, 1 - 1e-3)
+    start = np.maximum.accumulate(np.log((1 - above) / above) + 1e-3 * np.arange(levels))
+    values = np.concatenate([np.zeros(width), start])
+    if not n:
+        return Model({}, start)
+
+    def parts(values):
+        exceed = _sigmoid((x @ values[:width])[:, None] - values[None, width:])  # P(grade > k)
+        ends = np.concatenate([np.ones((n, 1)), exceed, np.zeros((n, 1))], axis=1)
+        chances = np.maximum(ends[:, :-1] - ends[:, 1:], 1e-12)
+        return exceed * (1 - exceed), chances
+
+    def loss(values):
+        if (np.diff(values[width:]) <= 0).any():
+            return np.inf
+        return -np.log(parts(values)[1][np.arange(n), grades]).sum() + l2 / 2 * (values[:width] ** 2).sum()
+
+    now = loss(values)
+    for _ in range(steps):
+        slope, chances = parts(values)
+        own = chances[np.arange(n), grades]
+        # of the log likelihood, by each margin z - theta_k; and its expected second derivatives
+        first = np.stack([slope[:, k] / own * ((grades == k + 1).astype(float) - (grades == k)) for k in range(levels)], axis=1)
+        second = np.zeros((n, levels, levels))
         for k in range(levels):
-            dtheta[k] = (slope[:, k] / chance * ((grades == k + 1).astype(float) - (grades == k))).sum()
-        dw = np.bincount(flat, dz[row], len(place)) if len(flat) else np.zeros(len(place))
-        gradient = np.concatenate([dw + l2 * weight, dtheta])
-        m = 0.9 * m + 0.1 * gradient
-        v = 0.999 * v + 0.001 * gradient**2
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        weight -= move[: len(place)]
-        theta -= move[len(place) :]
-        theta = np.maximum.accumulate(theta + 1e-6 * np.arange(levels))
-    return Model({w: float(weight[i]) for w, i in place.items() if abs(weight[i]) > 1e-3}, theta)
+            second[:, k, k] = slope[:, k] ** 2 * (1 / chances[:, k] + 1 / chances[:, k + 1])
+            if k:
+                second[:, k, k - 1] = second[:, k - 1, k] = -slope[:, k] * slope[:, k - 1] / chances[:, k]
+        by_k = second.sum(axis=2)
+        gradient = np.concatenate([x.T @ first.sum(axis=1) - l2 * values[:width], -first.sum(axis=0)])
+        information = np.zeros((width + levels, width + levels))
+        information[:width, :width] = x.T @ (x * by_k.sum(axis=1)[:, None]) + l2 * np.eye(width)
+        information[:width, width:] = -(x.T @ by_k)
+        information[width:, :width] = information[:width, width:].T
+        information[width:, width:] = second.sum(axis=0) + 1e-9 * np.eye(levels)
+        move = np.linalg.solve(information, gradient)
+        share = 1.0
+        while share > 1e-4 and not (following := loss(values + share * move)) < now:
+            share /= 2
+        if share <= 1e-4 or now - following < 1e-6 * abs(now):
+            break
+        values, now = values + share * move, following
+    return Model({f: float(values[i]) for f, i in place.items()}, values[width:])
+
+
+def _telling(texts: list[str], grades: np.ndarray, vocabulary: int) -> list[str]:
+    """The features of at least MIN_DOCS documents with the largest z-scores, MIN_Z at least, against independence of toxicity."""
+    counts: dict[str, list[int]] = {}
+    for text, grade in zip(texts, grades):
+        for f in features_of(text):
+            both = counts.setdefault(f, [0, 0])
+            both[0] += 1
+            both[1] += grade > 0
+    share = float((grades > 0).mean()) if len(grades) else 0.5
+    spread = max(share * (1 - share), 1e-9)
+    scored = ((abs(high - n * share) / (n * spread) ** 0.5, f) for f, (n, high) in counts.items() if n >= MIN_DOCS)
+    return [f for _, f in sorted((-z, f) for z, f in scored if z >= MIN_Z)[:vocabulary]]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -91,7 +135,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = DOCS_PER_CLASS) -> Model:
-    """Fit on whole texts of a sample of graded documents, about per_class of grade 0 and of higher grades.
+    """Fit on whole texts of a sample of graded documents, as many of grade 0 as of higher grades, about per_class at most.
 
     graded: (id_col, grade from 0 up).  Rows without a grade or a text are not learnt from; an id
     graded twice is learnt from twice.  The sample is drawn by a hash of the id and is all that
@@ -100,12 +144,13 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     known = graded.where("grade is not null").select(F.col(id_col).cast("long").alias("g_id"), F.col("grade").cast("int"))
     sizes = dict(known.groupBy((F.col("grade") > 0).alias("high")).count().collect())
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("g_id")), F.lit(1_000_000))
-    share = {high: min(1_000_000, int(1e6 * per_class / n) + 1) for high, n in sizes.items()}
+    wanted = min([per_class, *sizes.values()])  # as many of either, so that one telling word is enough
+    share = {high: min(1_000_000, int(1e6 * wanted / n) + 1) for high, n in sizes.items()}
     picked = known.where(draw < F.when(F.col("grade") > 0, share.get(True, 0)).otherwise(share.get(False, 0)))
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).cast("binary").alias("data"))
-    rows = texts.join(F.broadcast(picked), F.col("d_id") == F.col("g_id")).select("d_id", "data", "grade").collect()
-    rows.sort(key=lambda r: (r["d_id"], bytes(r["data"]), r["grade"]))
-    return fit([bytes(r["data"]) for r in rows], np.array([r["grade"] for r in rows], np.int64))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(picked), F.col("d_id") == F.col("g_id")).select("d_id", "text", "grade").collect()
+    rows.sort(key=lambda r: (r["d_id"], r["text"], r["grade"]))
+    return fit([r["text"] for r in rows], np.array([r["grade"] for r in rows], np.int64))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] = ()) -> DataFrame:
@@ -115,7 +160,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     one; toxic: p_toxic >= 0.5.  Null and empty texts have no word and get the base rates.  Rows
     that repeat come back as often as they came; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col), *keep, F.col(text_col).cast("binary").alias("__data"))
+    rows = docs.select(F.col(id_col), *keep, F.col(text_col).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType(
         rows.schema.fields[:-1]
@@ -125,7 +170,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches):
         for batch in batches:
             model = shared.value
-            z = np.array([model.margin(data) for data in batch.column(batch.num_columns - 1).to_pylist()], np.float64)
+            z = np.array([model.margin(text) for text in batch.column(batch.num_columns - 1).to_pylist()], np.float64)
             exceed = _sigmoid(z[:, None] - model.thresholds[None, :])
             ends = np.concatenate([np.ones((len(z), 1)), exceed, np.zeros((len(z), 1))], axis=1)
             grade = (ends[:, :-1] - ends[:, 1:]).argmax(axis=1).astype(np.int32)

@@ -1,3 +1,79 @@
-STAGES = []
+"""A training-data pipeline of five stages over the table documents.
+
+Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; all but the
+last return the columns of docs.  ``run`` writes each stage's result as Parquet to the shared folder
+and reads it again, so a lost executor costs a stage's tasks and no more.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codelattice.llm import bpe, langid, lines, mixing, simhash
+from codelattice.llm.shared import materialise
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    """n_chars brought up to date where the table has it."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text some learnt language fits; null and letterless texts go."""
+    rejected = langid.rejects(spark, langid.train(docs))
+    return docs.where(~rejected("text"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the chunks of lines that occur earlier; one that loses all its text goes."""
+    done = lines.dedup_lines(docs)
+    kept = done.where((F.col("removed_chunks") == 0) | (F.col("text") != ""))
+    return _with_length(kept.select(docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: the one with the smallest doc_id.
+
+    Rows that share an id count as one document, of which one row stays; rows without an id stay.
+    """
+    groups = simhash.simhash_groups(docs)
+    stay = materialise(groups.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct(), "stay")
+    named = docs.join(stay, docs["doc_id"] == stay["stays"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix of sources takes, none of some."""
+    plan = mixing.mix(docs).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies")
+    plan = plan.where("copies > 0").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (mixing.word_count(F.col("text")) == F.col("m_size"))
+    taken = docs.join(plan, same)
+    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("m_copy")).drop("m_copy")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document taken, with the digests of ids and of the decoded bytes."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash", near_dedup),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: Language models, SimHash components and byte-pair merges are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
