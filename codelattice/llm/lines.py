@@ -107,7 +107,8 @@ def dedup_lines(
     )
     # the bytes themselves of every chunk whose hash repeats; whole rows repeated count once
     named = wanted.select(F.col("id").alias("w_id"), F.col("tkey").alias("w_tkey"), "spots")
-    fetched = rows.join(named, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tkey") == F.col("w_tkey")))
+    # both sides of the joins with whole texts are dealt out at every size: neither is bounded
+    fetched = rows.join(named.hint("merge"), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tkey") == F.col("w_tkey")))
     fetched = fetched.select("id", "tkey", "data", F.explode("spots").alias("s")).select(
         "id",
         "tkey",
@@ -137,7 +138,7 @@ def dedup_lines(
         docs[id_col].cast("long").alias("id"),
         F.xxhash64(docs[text_col]).alias("tkey"),
     )
-    joined = wrapped.join(lists, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("tkey") == F.col("l_tkey")), "left")
+    joined = wrapped.join(lists.hint("merge"), F.col("id").eqNullSafe(F.col("l_id")) & (F.col("tkey") == F.col("l_tkey")), "left")
     cut = joined.select("row", F.col(f"row.`{text_col}`").alias("text"), F.coalesce("going", F.array().cast("array<int>")).alias("going"))
     untouched = cut.where("size(going) = 0").select("row", "text", F.lit(0).alias("removed"))
 
