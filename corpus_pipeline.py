@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = simhash.simhash_groups(docs)
     stay = materialise(groups.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct(), "stay")
-    named = docs.join(stay, docs["doc_id"] == stay["stays"], "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(stay.hint("merge"), docs["doc_id"] == stay["stays"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
 
 
@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = mixing.mix(docs).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies")
     plan = plan.where("copies > 0").distinct()
     same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (mixing.word_count(F.col("text")) == F.col("m_size"))
-    taken = docs.join(plan, same)
+    taken = docs.join(plan.hint("merge"), same)
     return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("m_copy")).drop("m_copy")
 
 
