@@ -103,7 +103,7 @@ class Encoder:
         for dim, value in zip(self.dimensions, values):
             held = wrapped(value, dim)
             for layer in dim.layers:
-                parts.append(F.transform(active_windows(held, dim, layer), lambda i, at=number: (i + at).cast("int")))
+                parts.append(_shifted(active_windows(held, dim, layer), number))
                 number += layer.count
         bits = F.concat(*parts)
         if self.bit_map is not None:
@@ -112,6 +112,10 @@ class Encoder:
         return F.array_sort(bits)
 
 
+def _shifted(numbers: Column, by: int) -> Column:
+    return F.transform(numbers, lambda i: (i + by).cast("int"))
+
+
 def wrapped(value: Column, dim: Dimension) -> Column:
     """A closed dimension's value brought into its period; an open one's outside its range is an error."""
     value = value.cast("double")

@@ -57,8 +57,8 @@ def patch_gradients(pixels: Column) -> Column:
 
 def measurements(images: DataFrame, threshold: float = 1e-3, degrees: bool = True, prepared: bool = False) -> DataFrame:
     """(image_id, label, seq, angle, x, y) of the patches whose mean gradient is stronger than the threshold."""
-    pixels = F.col("pixels") if prepared else normalised(F.col("pixels"))
-    rows = images.select("image_id", "label", F.posexplode(patch_gradients(pixels)).alias("seq", "p"))
+    ready = images if prepared else images.withColumn("pixels", normalised(F.col("pixels")))
+    rows = ready.select("image_id", "label", F.posexplode(patch_gradients(F.col("pixels"))).alias("seq", "p"))
     gx, gy = F.col("p.gx"), F.col("p.gy") + F.lit(0.0)
     angle = F.atan2(gy, gx)
     strong = rows.where(F.sqrt(gx * gx + gy * gy) > threshold)

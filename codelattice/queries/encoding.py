@@ -24,8 +24,9 @@ def q_normalize(spark, sf_dir):
 
 
 def q_sobel(spark, sf_dir):
-    rows = images(spark, sf_dir).select("image_id", F.inline(features.patch_gradients(features.normalised(F.col("pixels")))))
-    return rows.select("image_id", "y", "x", F.round("gx", 6).alias("gx"), F.round("gy", 6).alias("gy"))
+    rows = images(spark, sf_dir).select("image_id", features.normalised(F.col("pixels")).alias("pixels"))
+    rows = rows.select("image_id", F.inline(features.patch_gradients(F.col("pixels"))))
+    return rows.select("image_id", "y", "x", (F.round("gx", 6) + 0.0).alias("gx"), (F.round("gy", 6) + 0.0).alias("gy"))
 
 
 def q_angle(spark, sf_dir):
@@ -136,7 +137,7 @@ SOBEL_SQL = f"""{PIXELS_SQL}, kernel AS (
 
 ORACLE = {
     "q_normalize": f"WITH {PIXELS_SQL} SELECT image_id, round(max(v), 9) AS peak, round(sum(v), 6) AS total FROM pixels GROUP BY image_id",
-    "q_sobel": f"WITH {SOBEL_SQL} SELECT image_id, y, x, round(gx, 6) AS gx, round(gy, 6) AS gy FROM patches",
+    "q_sobel": f"WITH {SOBEL_SQL} SELECT image_id, y, x, round(gx, 6) + 0.0 AS gx, round(gy, 6) + 0.0 AS gy FROM patches",
     "q_angle": f"""WITH {SOBEL_SQL} SELECT image_id, label, (y * 7 + x)::INT AS seq, x, y, round(degrees(atan2(gy + 0.0, gx)), 6) AS angle
         FROM patches WHERE sqrt(gx * gx + gy * gy) > 0.05""",
     "q_detectors_closed": f"WITH {WINDOWS_SQL} SELECT bit, dim, layer, round(center, 9) AS center, round(half_width, 9) AS half_width FROM windows WHERE dim = 0",

@@ -248,7 +248,7 @@ ORACLE = {
         SELECT image_id, y, string_agg(round(coalesce(value, 0) * 1000)::INT::VARCHAR, ',' ORDER BY x) AS row
         FROM grid LEFT JOIN (SELECT image_id, y, x, value FROM act JOIN points USING (point_id)) USING (image_id, y, x) GROUP BY image_id, y""",
     "q_detector_level": f"WITH {LEVELS_SQL} SELECT image_id, detector_id, level, points_used FROM levels",
-    "q_embedding": f"""WITH {LEVELS_SQL}, ranked AS (SELECT image_id, bit, row_number() OVER (PARTITION BY image_id ORDER BY level * lambda DESC, detector_id) AS rn FROM levels JOIN detectors USING (detector_id))
+    "q_embedding": f"""WITH {LEVELS_SQL}, ranked AS (SELECT image_id, bit, row_number() OVER (PARTITION BY image_id ORDER BY level * "lambda" DESC, detector_id) AS rn FROM levels JOIN detectors USING (detector_id))
         SELECT image_id, string_agg(bit::VARCHAR, ',' ORDER BY bit) AS bits FROM ranked WHERE rn <= 8 GROUP BY image_id""",
     "q_tiles": f"""WITH {POINTS_SQL} SELECT ((y >= 3)::INT + (y >= 9)::INT + (y >= 17)::INT) * 3 + (x >= 5)::INT + (x >= 11)::INT AS tile, count(*) AS n,
         8 + CASE WHEN ((y >= 3)::INT + (y >= 9)::INT + (y >= 17)::INT) * 3 + (x >= 5)::INT + (x >= 11)::INT < 5 THEN 1 ELSE 0 END AS quota FROM points GROUP BY 1""",
