@@ -174,7 +174,7 @@ def mix(
     )
 
 
-def settle(rated: DataFrame, ceiling: int, few: bool, rounds: int = 4, near: float = 1e-3) -> DataFrame:
+def settle(rated: DataFrame, ceiling: int, few: bool, rounds: int = 8, near: float = 1e-3) -> DataFrame:
     """Move documents over their rounding edge, nearest first, while the source's gap allows it.
 
     A source that got too little moves up documents whose sum is just below the next whole number
