@@ -10,12 +10,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions.display import hue_rgb, rescaled_hue
 from codelattice.operators import energy
 from codelattice.operators.greedy import accept_swaps
+from codelattice.plans.sampling import filled_up, random_pairs, short_pairs, uniform
 from codelattice.tables import drop_stored, ordered_index, stored
 
 
@@ -48,11 +49,6 @@ def grid_side(points: int, empty_ratio: float) -> int:
     return max(1, math.ceil(math.sqrt(points * (1.0 + empty_ratio))))
 
 
-def uniform(*parts) -> Column:
-    """A number in [0, 1) that depends on the parts alone."""
-    return F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).bitwiseAND((1 << 52) - 1) / float(1 << 52)
-
-
 def place(points: DataFrame, side: int, seed: int | str) -> DataFrame:
     """Points on the cells of a square grid in the order of the cells' hashes; every point gets its own cell."""
     spark = points.sparkSession
@@ -63,21 +59,6 @@ def place(points: DataFrame, side: int, seed: int | str) -> DataFrame:
     return numbered.join(dealt, "n").select(*points.columns, y.alias("y"), x.alias("x"))
 
 
-def swap_ends(spark: SparkSession, count: int, side: int, radius: float | None, seed: int, step: int) -> DataFrame:
-    """(seq, y1, x1, y2, x2): random cells and random others, within the radius where one is given."""
-    rows = spark.range(count).withColumnRenamed("id", "seq")
-    r = lambda n: uniform(seed, step, F.col("seq"), n)
-    rows = rows.withColumn("y1", F.floor(r(1) * side).cast("int")).withColumn("x1", F.floor(r(2) * side).cast("int"))
-    if radius is None:
-        far = rows.withColumn("y2", F.floor(r(3) * side).cast("int")).withColumn("x2", F.floor(r(4) * side).cast("int"))
-    else:
-        # even over the disc; ends outside the grid are brought to its edge
-        length, turn = F.sqrt(r(3)) * float(radius), r(4) * (2 * math.pi)
-        hold = lambda v: F.greatest(F.lit(0), F.least(F.lit(side - 1), v.cast("int")))
-        far = rows.withColumn("y2", hold(F.bround(F.col("y1") + length * F.sin(turn), 0))).withColumn("x2", hold(F.bround(F.col("x1") + length * F.cos(turn), 0)))
-    return far.where("y1 != y2 or x1 != x2")
-
-
 def with_members(ends: DataFrame, state: DataFrame) -> DataFrame:
     """Pairs with the points on their cells, the first cell occupied; pairs of two empty cells are left out."""
     at = lambda n: state.select(F.col("point_id").alias(f"idx_{n}"), F.col("y").alias(f"py_{n}"), F.col("x").alias(f"px_{n}"))
@@ -98,52 +79,126 @@ def evaluated_subset(state: DataFrame, size: int, seed: int, epoch: int) -> Data
     return state if n <= size else state.where(uniform(seed, "subset", epoch, F.col("point_id")) < size / n)
 
 
-def step(state: DataFrame, options: Options, side: int, mode: str, pairs: int, radius: float | None, number: int, level: float | None = None, cutoff: float | None = None) -> tuple[DataFrame, int]:
-    """One step: the new state and how many swaps were made."""
-    level = options.level if level is None else level
-    ends = swap_ends(state.sparkSession, pairs, side, radius if mode == "short" else radius, options.seed, number)
+@dataclass(frozen=True)
+class Adaptive:
+    """A radius that decays over a phase, is cut when swaps dry up, and a threshold that then rises."""
+
+    start: int
+    end: int = 1
+    trigger: float = 0.01
+    lambda_step: float | None = 0.05
+
+
+@dataclass(frozen=True)
+class Phase:
+    """Steps of one mode, long or short, and how they draw their pairs.
+
+    Without a radius long pairs are drawn from the whole grid and short ones from the mean distance
+    of the long swaps.  Energies are measured every so many steps.
+    """
+
+    mode: str
+    steps: int
+    pairs: int
+    radius: float | None = None
+    adaptive: Adaptive | None = None
+    cutoff: float | None = None
+    weighted: bool = False
+    tiles: int = 1
+    refresh: int = 50
+    energy_every: int = 1
+
+
+class Schedule:
+    """The adaptive state of a phase on the driver: a few numbers that each step's swaps move on."""
+
+    def __init__(self, config: Adaptive, steps: int):
+        self.config, self.steps = config, max(1, steps)
+        self.cap, self.reference = max(config.start, config.end), None
+
+    def base(self, step: int) -> int:
+        if self.steps <= 1:
+            return self.config.end
+        way = step / (self.steps - 1)
+        return max(self.config.end, round(self.config.start - (self.config.start - self.config.end) * way))
+
+    def radius(self, step: int) -> int:
+        return min(self.base(step), self.cap)
+
+    def after(self, step: int, swaps: int, level: float) -> float:
+        """The threshold for the next step."""
+        self.reference = max(1, swaps) if self.reference is None else self.reference
+        if swaps / self.reference > self.config.trigger:
+            return level
+        self.reference = max(1, swaps)
+        self.cap = min(self.cap, max(self.config.end, self.base(step) // 2))
+        return level if self.config.lambda_step is None else min(1.0, level + self.config.lambda_step)
+
+
+def step(state: DataFrame, options: Options, side: int, phase: Phase, radius: float | None, number: int, level: float) -> tuple[DataFrame, DataFrame]:
+    """One step: the new state and the swaps made (stored)."""
+    spark = state.sparkSession
+    reach = max(1.0, float(radius or options.energy_radius or 7))
+    if phase.mode == "long":
+        ends = random_pairs(spark, phase.pairs, side, radius, options.seed, number)
+    else:
+        raw = energy.local_energy(state, options.length, reach, options.similarity, level, options.eta) if phase.weighted else None
+        weights = None if raw is None else energy.short_weights(raw)
+        ends = stored(short_pairs(state, options.length, options.similarity, side, phase.pairs, reach, options.seed, number, phase.cutoff, weights, phase.tiles), "ends")
+        ends = filled_up(ends, phase.pairs, side, reach, options.seed, number)
     sampled = stored(with_members(ends, state), "pairs")
-    if mode == "long":
-        known = evaluated_subset(state, options.subset, options.seed, number // 50)
+    if phase.mode == "long":
+        known = evaluated_subset(state, options.subset, options.seed, number // max(1, phase.refresh))
         energies = energy.pair_energy_long(sampled, state, known, options.similarity, level, options.eta)
     else:
-        reach = max(1.0, float(radius or options.energy_radius or 7))
         energies = energy.pair_energy_short(sampled, state, options.length, reach, options.similarity, level, options.eta)
-    wanted = energy.swaps_wanted(energies, mode).where("swap").select("seq")
+    wanted = energy.swaps_wanted(energies, phase.mode).where("swap").select("seq")
     taken = stored(accept_swaps(sampled.join(wanted, "seq", "left_semi")), "swaps")
-    moves = taken.select(F.col("idx_a").alias("m_id"), F.col("y2").alias("ny"), F.col("x2").alias("nx")).unionByName(
+    moves = taken.where("idx_a is not null").select(F.col("idx_a").alias("m_id"), F.col("y2").alias("ny"), F.col("x2").alias("nx")).unionByName(
         taken.where("idx_b is not null").select(F.col("idx_b").alias("m_id"), F.col("y1").alias("ny"), F.col("x1").alias("nx"))
     )
     moved = state.join(moves, F.col("point_id") == F.col("m_id"), "left")
     others = [c for c in state.columns if c not in ("y", "x")]
-    following = stored(moved.select(*others, F.coalesce("ny", "y").alias("y"), F.coalesce("nx", "x").alias("x")), "layout")
-    return following, taken.count()
+    return stored(moved.select(*others, F.coalesce("ny", "y").alias("y"), F.coalesce("nx", "x").alias("x")), "layout"), taken
 
 
-def run(points: DataFrame, options: Options, phases: list[tuple[str, int, int, float | None]], side: int | None = None) -> tuple[DataFrame, Progress]:
-    """Place points (point_id, bits, ...) and run the phases (mode, steps, pairs per step, radius).
+def run(points: DataFrame, options: Options, phases: list[Phase], side: int | None = None) -> tuple[DataFrame, Progress]:
+    """Place points (point_id, bits, ...) and run the phases.
 
     A phase ends early when a step's swaps are at most stop_ratio of its pairs, or when the average
-    energy has changed by less than stop_delta for stop_window steps.
+    energy has changed by less than stop_delta over stop_window measurements.
     """
     side = side or grid_side(points.count(), options.empty_ratio)
     state = stored(place(points, side, options.seed), "layout")
     progress = Progress()
     reach = options.energy_radius or max(1, min(side // 2, 15))
-    number = 0
-    for mode, steps, pairs, radius in phases:
+    number, level = 0, options.level
+    distance, distances = 0.0, 0
+    for phase in phases:
+        schedule = Schedule(phase.adaptive, phase.steps) if phase.adaptive else None
         recent: list[float] = []
-        for _ in range(steps):
-            following, swaps = step(state, options, side, mode, pairs, radius, number)
+        for k in range(phase.steps):
+            radius = schedule.radius(k) if schedule else phase.radius
+            if radius is None and phase.mode == "short" and distances:
+                radius = max(1, round(distance / distances))
+            following, taken = step(state, options, side, phase, radius, number, level)
             drop_stored(state)
             state = following
             number += 1
+            far = F.sqrt(((F.col("y1") - F.col("y2")) * (F.col("y1") - F.col("y2")) + (F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2"))).cast("double"))
+            swaps, total = taken.agg(F.count("*"), F.coalesce(F.sum(far), F.lit(0.0))).first()
+            if phase.mode == "long":
+                distance, distances = distance + total, distances + swaps
             progress.swaps.append(swaps)
-            raw = energy.local_energy(state, options.length, reach, options.similarity, options.level, options.eta)
-            progress.energies.append(energy.average_energy(raw).first()[0])
-            recent = [*recent, progress.energies[-1]][-options.stop_window - 1 :]
-            calm = len(recent) > options.stop_window and max(abs(a - b) for a, b in zip(recent, recent[1:])) < options.stop_delta
-            if swaps <= options.stop_ratio * pairs or calm:
+            if swaps <= options.stop_ratio * phase.pairs:
+                break
+            if k % phase.energy_every == 0:
+                raw = energy.local_energy(state, options.length, reach, options.similarity, level, options.eta)
+                progress.energies.append(energy.average_energy(raw).first()[0])
+                recent = [*recent, progress.energies[-1]][-options.stop_window - 1 :]
+            if schedule:
+                level = schedule.after(k, swaps, level)
+            if len(recent) > options.stop_window and max(abs(a - b) for a, b in zip(recent, recent[1:])) < options.stop_delta:
                 break
     return state, progress
 

@@ -171,7 +171,7 @@ def q_render(spark, sf_dir):
 def q_layout_run(spark, sf_dir):
     """A short run over all codes; its random choices have no SQL, and tests check its invariants."""
     options = L.Options(LENGTH, level=0.5, subset=100_000, empty_ratio=0.5)
-    state, _ = L.run(codes(spark, sf_dir), options, [("long", 2, 200, None), ("short", 2, 200, 4)], side_of(spark, sf_dir))
+    state, _ = L.run(codes(spark, sf_dir), options, [L.Phase("long", 2, 200), L.Phase("short", 2, 200, 4, cutoff=0.2, weighted=True, tiles=4)], side_of(spark, sf_dir))
     return state.select("point_id", "y", "x")
 
 

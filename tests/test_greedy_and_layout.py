@@ -78,9 +78,18 @@ def test_layout_run_keeps_every_point_on_its_own_cell(spark):
     draw = random.Random(1)
     codes = spark.createDataFrame([(i, sorted(draw.sample(range(32), 6))) for i in range(60)], "point_id long, bits array<int>")
     options = L.Options(32, level=0.3, empty_ratio=0.5, stop_ratio=-1.0)
-    state, progress = L.run(codes, options, [("long", 2, 60, None), ("short", 1, 60, 3)])
+    short = L.Phase("short", 1, 60, adaptive=L.Adaptive(3), cutoff=0.1, weighted=True, tiles=4)
+    state, progress = L.run(codes, options, [L.Phase("long", 2, 60), short])
     rows = state.collect()
     side = L.grid_side(60, 0.5)
     assert sorted(r.point_id for r in rows) == list(range(60))
     assert len({(r.y, r.x) for r in rows}) == 60 and all(0 <= r.y < side and 0 <= r.x < side for r in rows)
     assert len(progress.swaps) == len(progress.energies) == 3 and sum(progress.swaps) > 0
+
+
+def test_schedule_follows_the_swaps():
+    schedule = L.Schedule(L.Adaptive(start=9, end=1, trigger=0.1), 5)
+    assert [schedule.radius(k) for k in range(5)] == [9, 7, 5, 3, 1]
+    assert schedule.after(0, 100, 0.5) == 0.5
+    assert schedule.after(1, 10, 0.5) == 0.55 and schedule.cap == 3 and schedule.radius(2) == 3
+    assert L.Schedule(L.Adaptive(start=9, end=2), 1).radius(0) == 2
