@@ -14,6 +14,13 @@ def label_text(value: Column) -> Column:
     return F.when(F.abs(value - whole) < 1e-6, whole.cast("long").cast("string")).otherwise(F.format_string("%.3f", value))
 
 
+def short_number(value: Column, digits: int = 6) -> Column:
+    """A number to so many significant digits, as the step log shows it; 0 and null as they are."""
+    places = digits - 1 - F.floor(F.log10(F.abs(F.nullif(value, F.lit(0.0)))))
+    scale = F.pow(F.lit(10.0), places)
+    return F.coalesce(F.round(value * scale) / scale, value)
+
+
 def label_from_name(name: Column) -> Column:
     """The first run of digits in a file name's stem, 0 if there is none or it is no int."""
     stem = F.regexp_replace(F.regexp_extract(name, r"[^/]*$", 0), r"(?<=.)\.[^.]*$", "")

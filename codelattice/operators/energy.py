@@ -163,6 +163,13 @@ def short_subset(pairs: DataFrame, points: DataFrame, radius: float) -> DataFram
     return near_pairs(pairs, points.select("point_id", "y", "x"), radius).select("point_id").distinct()
 
 
+def short_pair_radius(pairs: DataFrame, local_radius: int) -> DataFrame:
+    """(seq, radius): the pair's distance rounded up, at least 1 and at least the local radius."""
+    dy, dx = F.col("y1") - F.col("y2"), F.col("x1") - F.col("x2")
+    far = F.ceil(F.sqrt((dy * dy + dx * dx).cast("double"))).cast("int")
+    return pairs.select("seq", F.greatest(F.lit(1), F.lit(local_radius), far).alias("radius"))
+
+
 def swaps_wanted(energies: DataFrame, mode: str) -> DataFrame:
     """Adds swap: far pairs swap to lower their energy, near pairs to raise it."""
     better = F.col("energy_s") < F.col("energy_c") if mode == "long" else F.col("energy_s") > F.col("energy_c")

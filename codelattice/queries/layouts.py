@@ -79,6 +79,10 @@ def q_short_subset(spark, sf_dir):
     return N.short_subset(pairs(spark, sf_dir, placed), placed, 2)
 
 
+def q_short_pair_radius(spark, sf_dir):
+    return N.short_pair_radius(pairs(spark, sf_dir, points(spark, sf_dir)), 6)
+
+
 def q_swap_decision(spark, sf_dir):
     long = N.swaps_wanted(_long(spark, sf_dir, HARD), "long").select("seq", F.col("swap").alias("long"))
     short = N.swaps_wanted(_short(spark, sf_dir), "short").select("seq", F.col("swap").alias("short"))
@@ -171,7 +175,7 @@ def q_render(spark, sf_dir):
 def q_layout_run(spark, sf_dir):
     """A short run over all codes; its random choices have no SQL, and tests check its invariants."""
     options = L.Options(LENGTH, level=0.5, subset=100_000, empty_ratio=0.5)
-    state, _ = L.run(codes(spark, sf_dir), options, [L.Phase("long", 2, 200), L.Phase("short", 2, 200, 4, cutoff=0.2, weighted=True, tiles=4)], side_of(spark, sf_dir))
+    state, _ = L.run(codes(spark, sf_dir), options, [L.Phase("long", 1, 200), L.Phase("short", 1, 200, 4, cutoff=0.2, weighted=True, tiles=4)], side_of(spark, sf_dir))
     return state.select("point_id", "y", "x")
 
 
@@ -238,6 +242,7 @@ ORACLE = {
         ) SELECT seq, count(*) AS n, {", ".join(f"round({f}({c}), 6) AS {f}_{c}" for c in ("s1", "s2") for f in ("min", "max", "sum"))},
             {", ".join(f"{f}({c})::BIGINT AS {f}_{c}" for c in ("d1", "d2") for f in ("min", "max", "sum"))} FROM rows GROUP BY seq""",
     "q_short_subset": f"WITH {POINTS_SQL}, {PAIRS_SQL} SELECT DISTINCT point_id FROM pairs JOIN points ON {_NEAR.format(r=4)}",
+    "q_short_pair_radius": f"""WITH {POINTS_SQL}, {PAIRS_SQL} SELECT seq, greatest(1, 6, ceil(sqrt(((y1 - y2) * (y1 - y2) + (x1 - x2) * (x1 - x2))::DOUBLE))::INT) AS radius FROM pairs""",
     "q_swap_decision": f"""WITH {_long_sql(_HARD)}, ws AS (SELECT i, k, {_SOFT} AS s FROM cosines), {_SHORT}
         SELECT seq, long.energy_s < long.energy_c AS long, short.energy_s > short.energy_c AS short FROM long JOIN short USING (seq)""",
     "q_detector_candidates": """SELECT p_partkey AS point_id, rank FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS rank, count(*) OVER () AS n FROM part)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.functions import bits as B
+from codelattice.sources.png import encode_rgb
 
 ENTRY = "struct<index:bigint,y:int,x:int,label:string,value:string,hue:double,ones:int>"
 #: The exchange format; unknown keys are carried along by write_json.
@@ -71,6 +73,15 @@ def write_table(entries: DataFrame, path: str) -> None:
     entries.write.mode("overwrite").parquet(path)
 
 
+def write_png(rendered: DataFrame, path: str, height: int, width: int) -> None:
+    """A rendered grid (y, x, r, g, b) as a PNG file, written by the driver: one pixel per cell of one layout."""
+    pixels = np.zeros((height, width, 3), np.uint8)
+    for row in rendered.toLocalIterator():
+        pixels[row["y"], row["x"]] = row["r"], row["g"], row["b"]
+    with open(path, "wb") as file:
+        file.write(encode_rgb(pixels))
+
+
 def write_json(entries: DataFrame, path: str, head: dict, embeddings: DataFrame | None = None, existing: dict | None = None) -> None:
     """A layout document for exchange, written by the driver: a document is one layout of a few thousand points.
 

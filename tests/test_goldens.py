@@ -107,6 +107,7 @@ def test_tuner(spark):
 
 def test_display(spark):
     assert one(spark, display.label_text(F.lit(3.0)), display.label_text(F.lit(0.25)))[:] == ("3", "0.250")
+    assert list(one(spark, *[display.short_number(F.lit(v)) for v in (123456.789, 0.000123456789, 0.0)])) == [123457.0, 0.000123457, 0.0]
     names = ("a/img_012x7.png", "none.png", "99999999999.png")
     assert list(one(spark, *[display.label_from_name(F.lit(n)) for n in names])) == [12, 0, 0]
     assert list(one(spark, *display.hue_rgb(F.lit(120.0)))) == [0, 255, 0]

@@ -36,6 +36,12 @@ def test_png_folder_and_zip(spark, tmp_path):
     assert [(r.name, r.label) for r in images.read_zip(spark, str(tmp_path / "s.zip")).collect()] == [("x_3.png", 3)]
 
 
+def test_rendered_grid_as_png(spark, tmp_path):
+    cells = spark.createDataFrame([(0, 0, 255, 255, 255), (1, 1, 0, 0, 0)], "y int, x int, r int, g int, b int")
+    layouts.write_png(cells, str(tmp_path / "g.png"), 2, 2)
+    assert decode_grey((tmp_path / "g.png").read_bytes()).tolist() == [[255, 0], [0, 0]]
+
+
 def test_layout_document_round_trip(spark, tmp_path):
     entries = spark.createDataFrame([(0, 1, 2, "a", "0110", 5.0, 2), (1, 0, 0, "b", "1000", 6.0, 1)], "index long, y int, x int, label string, value string, hue double, ones int")
     path = str(tmp_path / "layout-2-6.json")
