@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.shared import materialise
+from codelattice.llm.shared import materialise, slices, small_batches
 
 #: Characters of a chunk, and of its overlap with the next one.
 CHUNK = 32_768
@@ -108,6 +108,7 @@ def encode_documents(
     """
     schema = "id long, " + ("ids binary, " if with_ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
     names = [x.split()[0] for x in schema.split(", ")]
+    small_batches(docs.sparkSession)
     limit = chunk + overlap
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -117,25 +118,26 @@ def encode_documents(
         return (key, *own, *summary(ids, data))
 
     def short(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [result(None, encode_text(text, ranks_path, pattern))[1:] for text in batch.column(1).to_pylist()]
             columns = [pa.array(c) for c in zip(*out)] if out else []
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     def scan(batches):
-        for pdf in batches:
+        for batch in slices(batches, 50):
             heads, tails = [], []
-            for at, text, is_last in zip(pdf["at"], pdf["text"], pdf["last"]):
+            for at, is_last, text in zip(*[c.to_pylist() for c in batch.columns[1:]]):
                 found = np.array(boundaries(text, pattern, 1, limit, is_last), np.int64)
                 heads.append(found[found < overlap] + at)
                 tails.append(found[found >= chunk] + at)
-            yield pdf[["key", "at"]].assign(heads=heads, tails=tails)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (heads, tails)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], names=["key", "at", "heads", "tails"])
 
     def encode(batches):
-        for pdf in batches:
-            out = [np.array(encode_text(text, ranks_path, pattern), "<i4").tobytes() for text in pdf["text"]]
-            yield pdf[["key", "id", "at"]].assign(ids=out)
+        for batch in slices(batches, 50):
+            out = [np.array(encode_text(text, ranks_path, pattern), "<i4").tobytes() for text in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["key", "id", "at", "ids"])
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.frombuffer(b"".join(pdf.sort_values("at")["ids"]), "<i4").tolist()
@@ -156,7 +158,7 @@ def encode_documents(
     )
     spread = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     scanned = materialise(
-        chunks.repartition(spread, "key", "at").mapInPandas(
+        chunks.repartition(spread, "key", "at").mapInArrow(
             scan, "key long, at long, heads array<long>, tails array<long>"
         ),
         "scans",
@@ -179,6 +181,6 @@ def encode_documents(
             F.expr("substring(text, cast(p.begins as int) + 1, cast(coalesce(p.`1`, length(text)) - p.begins as int))").alias("text"),
         )
     )
-    parts = pieces.repartition(spread, "key", "at").mapInPandas(encode, "key long, id long, at long, ids binary")
+    parts = pieces.repartition(spread, "key", "at").mapInArrow(encode, "key long, id long, at long, ids binary")
     there = parts.groupBy("key").applyInPandas(gather, schema)
     return here.unionByName(there).withColumnRenamed("id", id_col)

@@ -14,16 +14,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codelattice.llm.shared import slices, small_batches
+
 #: Longest n-gram; four characters of 16 bits fill a 64-bit key exactly.
 ORDER = 4
 #: Training documents per language: the bound of the labelled sample that the models are fitted on.
 DOCS_PER_LANGUAGE = 2_000
 #: Characters that are scored at once.
-BLOCK = 2_000_000
+BLOCK = 400_000
 GAP, EDGE, OTHER = 32, 1, 2
 UNDETERMINED = "und"
 
@@ -235,6 +237,7 @@ def train(
     """
     if not 2 <= order <= 4:
         raise ValueError("n-grams of 2 to 4 characters fit a 64-bit key")
+    small_batches(docs.sparkSession)
     sample = _sample(docs, id_col, text_col, lang_col, per_language)
 
     def count(batches):
@@ -302,13 +305,14 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     Null, empty and letterless texts: und, score 0, rejected.  Without a model every text is und.
     Rows that repeat come back as often as they came; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), *keep, F.col(text_col).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()), ("rejected", T.BooleanType()))
     schema = T.StructType(rows.schema.fields[:-1] + [T.StructField(*f) for f in added])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             model = shared.value
             if model is None:
@@ -322,13 +326,16 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, schema)
 
 
-def rejects(spark: SparkSession, model: Model | None):
-    """A function of a text column: true where the text is rejected (null, letterless, or unlike every language)."""
-    shared = spark.sparkContext.broadcast(model)
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text is not rejected; null, letterless and foreign texts go, without a model all."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text_col)
 
-    @F.pandas_udf("boolean")
-    def rejected(texts: pd.Series) -> pd.Series:
-        model = shared.value
-        return pd.Series(np.ones(len(texts), bool) if model is None else classify(model, texts.tolist())[3])
+    def run(batches):
+        for batch in slices(batches):
+            model = shared.value
+            if model is not None:
+                yield batch.filter(pa.array(~classify(model, batch.column(place).to_pylist())[3]))
 
-    return rejected
+    return docs.mapInArrow(run, docs.schema)

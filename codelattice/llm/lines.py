@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.shared import materialise
+from codelattice.llm.shared import materialise, slices, small_batches
 
 #: A boundary falls after a line with probability 1 / DIVISOR, judged from the last WINDOW lines.
 DIVISOR = 3
@@ -80,11 +80,12 @@ def dedup_lines(
     empty result.  All columns come back, so names of the working columns may clash with none:
     they are only used beside id and text.
     """
+    small_batches(docs.sparkSession)
     names = ["id", "tkey", "no", "first", "size", "hash"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for key, tkey, data in zip(*[c.to_pylist() for c in batch.columns]):
                 for no, (a, b, h, many) in enumerate(chunk_lines(data, divisor, window, long_words)):

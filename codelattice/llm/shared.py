@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch that a Python function turns into Python objects at once.
+ROWS_AT_ONCE = 500
 #: Sides of at most this many rows may be broadcast by the operators (rows here are some tens of bytes).
 BROADCAST_ROWS = 50_000
 
@@ -37,6 +42,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def slices(batches, rows: int = ROWS_AT_ONCE):
+    """Arrow batches in smaller pieces, which bounds what a worker holds as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        give_back()
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the Arrow batches between the JVM and Python where the session has Spark's own, larger bounds.
+
+    A batch of 10,000 whole texts exists several times over, on both sides; 1,000 rows or 16 MB are
+    as fast.  The setting stays with the session, because its plans run after the operator returns.
+    """
+    for key, own, wanted in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"),
+    ):
+        if spark.conf.get(key, own) == own:
+            spark.conf.set(key, wanted)
+    return spark
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between stages, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote and nothing will read again."""
     spark = table.sparkSession
@@ -47,8 +83,8 @@ def discard(table: DataFrame) -> None:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
-    Takes links between long node ids and returns (node, component) for every node that has a
-    link to another one; component is the smallest id reachable.  Null ends and self links say
+    Takes links between long node ids and returns (node, component) for every node that reaches a
+    smaller one; component is the smallest id reachable, which itself has no row.  Null ends and self links say
     nothing and are left out.  Each round is a pre-aggregated minimum per node joined back to the
     links, so a hub's links are split by the skew join; no task gathers a component.
     """

@@ -19,10 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.shared import components, materialise
+from codelattice.llm.shared import components, give_back, materialise, slices, small_batches
 
 #: Fingerprints that one bucket should get on average; more only mean more leading bits.
-ROWS_PER_BUCKET = 64_000
+ROWS_PER_BUCKET = 32_000
 #: A task writes out variants for at most about this many fingerprints at once; beyond, it splits by further bits.
 ROWS_AT_ONCE = 128_000
 SEED = 42
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle:
     """(id, fp): the SimHash of every whole text, as a signed long.  Null texts count as empty."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([simhash(x, words_per_shingle) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
@@ -160,7 +160,7 @@ def simhash_groups(
     half = radius // 2
     if radius % 2:
         raise ValueError("the radius must be even: both halves then meet")
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     prints = materialise(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
     unique = materialise(prints.groupBy("fp").agg(F.min("id").alias("rep")), "unique")
     bits = leading_bits(unique.count(), half, rows_per_bucket)
@@ -170,6 +170,7 @@ def simhash_groups(
         fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         rep = pdf["rep"].to_numpy(np.int64)
         root = forest(len(fp), link_bucket(fp, int(key[0]), bits, radius))
+        give_back()
         moved = np.flatnonzero(root != np.arange(len(fp)))
         return pd.DataFrame({"a": rep[moved], "b": rep[root[moved]]})
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codelattice.llm.shared import slices, small_batches
+
 #: Labelled documents, toxic and others each, that the model is fitted on.
 DOCS_PER_CLASS = 2_000
 #: Features that the model may weigh: those whose share of toxic documents is least likely by chance.
@@ -160,6 +162,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     one; toxic: p_toxic >= 0.5.  Null and empty texts have no word and get the base rates.  Rows
     that repeat come back as often as they came; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), *keep, F.col(text_col).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType(
@@ -168,7 +171,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     )
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             model = shared.value
             z = np.array([model.margin(text) for text in batch.column(batch.num_columns - 1).to_pylist()], np.float64)
             exceed = _sigmoid(z[:, None] - model.thresholds[None, :])

@@ -22,8 +22,7 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text some learnt language fits; null and letterless texts go."""
-    rejected = langid.rejects(spark, langid.train(docs))
-    return docs.where(~rejected("text"))
+    return langid.accepted(docs, langid.train(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
