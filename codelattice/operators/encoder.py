@@ -138,7 +138,12 @@ def active_windows(value: Column, dim: Dimension, layer: Layer) -> Column:
         low = F.ceil((value - half - first) / step) - 1
         high = F.floor((value + half - first) / step) + 1
         near = F.sequence(low, high)
-        near = F.array_distinct(F.transform(near, lambda i: F.pmod(i, F.lit(layer.count)))) if dim.closed else F.filter(near, lambda i: (i >= 0) & (i < layer.count))
+        if dim.closed:
+            near = F.transform(near, lambda i: F.pmod(i, F.lit(layer.count)))
+            if width / step + 4 > layer.count:  # as many numbers as windows: some may repeat
+                near = F.array_distinct(near)
+        else:
+            near = F.sequence(F.greatest(F.lit(0).cast("bigint"), low), F.least(F.lit(layer.count - 1).cast("bigint"), high))
 
     def holds(i):
         center = center_of(dim, layer, i)

@@ -1,4 +1,4 @@
-"""Gradient angles of 28 x 28 images, one array expression per image and no shuffle."""
+"""Gradient angles of 28 x 28 images, without a shuffle."""
 
 from __future__ import annotations
 
@@ -29,39 +29,36 @@ def normalised(pixels: Column) -> Column:
     sized = F.when(F.size(pixels) == SIDE * SIDE, pixels).otherwise(
         F.raise_error(F.lit(f"an image has {SIDE} x {SIDE} pixels")).cast("array<double>")
     )
-    bright = F.array_max(sized) > 1.5
-    return F.transform(sized, lambda v: F.when(bright, v / 255.0).otherwise(v))
+    # the test stands outside the lambda, so it is made once an image
+    return F.when(F.array_max(sized) > 1.5, F.transform(sized, lambda v: v / 255.0)).otherwise(sized)
 
 
-def patch_gradients(pixels: Column) -> Column:
-    """array<struct(y, x, gx, gy)> of the 49 patches in rows."""
-    kx, ky = mean_kernel(KX), mean_kernel(KY)
+def patch_rows(images: DataFrame, pixels: str = "pixels") -> DataFrame:
+    """A row per image and patch with seq, y, x, gx and gy in place of the pixels: the patches in rows.
 
-    def patch(number):
-        by, bx = F.floor(number / PATCHES), number % PATCHES
-        corner = by * PATCH * SIDE + bx * PATCH
+    The pixels are read in generated code from the one array of the image; nothing is shuffled.
+    """
+    others = [c for c in images.columns if c != pixels]
+    rows = images.select(*others, pixels, F.explode(F.sequence(F.lit(0), F.lit(PATCHES**2 - 1))).alias("seq"))
+    y, x = F.floor(F.col("seq") / PATCHES).cast("int"), F.col("seq") % PATCHES
 
-        def total(kernel):
-            out = None
-            for y, row in enumerate(kernel):
-                for x, weight in enumerate(row):
-                    if weight:
-                        term = F.get(pixels, corner + (y * SIDE + x)) * weight
-                        out = term if out is None else out + term
-            return out
+    def total(kernel):
+        out = None
+        for dy, row in enumerate(kernel):
+            for dx, weight in enumerate(row):
+                if weight:
+                    term = F.get(F.col(pixels), (y * PATCH + dy) * SIDE + (x * PATCH + dx)) * weight
+                    out = term if out is None else out + term
+        return out
 
-        return F.struct(by.cast("int").alias("y"), bx.cast("int").alias("x"), total(kx).alias("gx"), total(ky).alias("gy"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(PATCHES**2 - 1)), patch)
+    return rows.select(*others, "seq", y.alias("y"), x.alias("x"), total(mean_kernel(KX)).alias("gx"), total(mean_kernel(KY)).alias("gy"))
 
 
 def measurements(images: DataFrame, threshold: float = 1e-3, degrees: bool = True, prepared: bool = False) -> DataFrame:
     """(image_id, label, seq, angle, x, y) of the patches whose mean gradient is stronger than the threshold."""
     ready = images if prepared else images.withColumn("pixels", normalised(F.col("pixels")))
-    rows = ready.select("image_id", "label", F.posexplode(patch_gradients(F.col("pixels"))).alias("seq", "p"))
-    gx, gy = F.col("p.gx"), F.col("p.gy") + F.lit(0.0)
+    rows = patch_rows(ready.select("image_id", "label", "pixels"))
+    gx, gy = F.col("gx"), F.col("gy") + F.lit(0.0)
     angle = F.atan2(gy, gx)
     strong = rows.where(F.sqrt(gx * gx + gy * gy) > threshold)
-    return strong.select(
-        "image_id", "label", "seq", (F.degrees(angle) if degrees else angle).alias("angle"), F.col("p.x").alias("x"), F.col("p.y").alias("y")
-    )
+    return strong.select("image_id", "label", "seq", (F.degrees(angle) if degrees else angle).alias("angle"), "x", "y")

@@ -25,7 +25,7 @@ def q_normalize(spark, sf_dir):
 
 def q_sobel(spark, sf_dir):
     rows = images(spark, sf_dir).select("image_id", features.normalised(F.col("pixels")).alias("pixels"))
-    rows = rows.select("image_id", F.inline(features.patch_gradients(F.col("pixels"))))
+    rows = features.patch_rows(rows)
     return rows.select("image_id", "y", "x", (F.round("gx", 6) + 0.0).alias("gx"), (F.round("gy", 6) + 0.0).alias("gy"))
 
 

@@ -30,7 +30,7 @@ def test_sobel_of_half_bright_patch(spark, rows, expected):
     for y in range(4):
         for x in range(4):
             pixels[y * 28 + x] = 1.0 if (y if rows else x) >= 2 else 0.0
-    found = one(spark, features.patch_gradients(F.array(*[F.lit(v) for v in pixels]))[0].alias("p"))["p"]
+    found = features.patch_rows(spark.createDataFrame([(pixels,)], "pixels array<double>")).where("seq = 0").first()
     assert (found["gx"], found["gy"]) == expected
 
 
