@@ -71,7 +71,7 @@ def q_pair_energy_short(spark, sf_dir):
 def q_pair_stats(spark, sf_dir):
     placed = points(spark, sf_dir)
     rows = N.pair_stats(pairs(spark, sf_dir, placed), placed, placed, *HARD)
-    return rows.select(*[F.round(c, 6).alias(c) if "_s" in c else F.col(c) for c in rows.columns])
+    return rows.select(*[F.round(c, 6).alias(c) if "_s" in c else F.col(c).cast("bigint").alias(c) for c in rows.columns])
 
 
 def q_short_subset(spark, sf_dir):
