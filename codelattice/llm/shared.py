@@ -19,6 +19,7 @@ ROWS_AT_ONCE = 500
 BROADCAST_ROWS = 50_000
 
 _own_folder: list[str] = []
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +37,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
@@ -54,12 +56,12 @@ def slices(batches, rows: int = ROWS_AT_ONCE):
 def small_batches(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches between the JVM and Python where the session has Spark's own, larger bounds.
 
-    A batch of 10,000 whole texts exists several times over, on both sides; 1,000 rows or 16 MB are
-    as fast.  The setting stays with the session, because its plans run after the operator returns.
+    A batch of 10,000 whole texts exists several times over, on both sides; 250 rows or 4 MB are
+    about as fast.  The setting stays with the session, because its plans run after the operator returns.
     """
     for key, own, wanted in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"),
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "250"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"),
     ):
         if spark.conf.get(key, own) == own:
             spark.conf.set(key, wanted)
@@ -80,12 +82,19 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete every table that this process has written to the shared folder, once all results have been consumed."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     Takes links between long node ids and returns (node, component) for every node that reaches a
-    smaller one; component is the smallest id reachable, which itself has no row.  Null ends and self links say
-    nothing and are left out.  Each round is a pre-aggregated minimum per node joined back to the
+    smaller one; component is the smallest id reachable, which itself has no row.  Null ends and
+    self links say nothing and are left out.  Each round is a pre-aggregated minimum per node joined back to the
     links, so a hub's links are split by the skew join; no task gathers a component.
     """
     links = (
