@@ -22,6 +22,8 @@ LEAD = 32
 #: Sampled rows per bucket, and buckets per shuffle partition.
 SAMPLE_PER_BUCKET = 16
 BUCKETS_PER_PARTITION = 6
+#: Buckets at most: it bounds the sample at the driver and the cuts in the plan; larger buckets only sort externally.
+MOST_BUCKETS = 32_768
 
 
 def splitters(keyed: DataFrame, rows: int, buckets: int) -> list:
@@ -71,7 +73,7 @@ def exact_groups(
     keyed = keyed.select("id", "text", F.substring("text", 1, LEAD).alias("lead"), F.xxhash64("text").alias("hash"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.count()
-    buckets = max(1, min(BUCKETS_PER_PARTITION * partitions, rows // SAMPLE_PER_BUCKET))
+    buckets = max(1, min(BUCKETS_PER_PARTITION * partitions, rows // SAMPLE_PER_BUCKET, MOST_BUCKETS))
     cuts = splitters(keyed, rows, buckets)
     whole_key = F.struct("lead", "hash", F.coalesce("id", F.lit(-(1 << 63))).alias("id"))
     place, cut = bucket_of(cuts, whole_key)
