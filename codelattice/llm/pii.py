@@ -20,15 +20,24 @@ PATTERNS = {
     "date": r"(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)",
     "ip": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
-    "card": r"\d{13,19}(?!\d)|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?(?!\d)",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?:\d{1,3}[.-])?\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
+    "card": r"\d{13,19}(?!\d)|(?<!\d{4}-)\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?(?!\d)|\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)",
 }
-ANY = r"(?<![A-Za-z0-9@._+-])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: What may not stand before a value, by kind: only what would make it the end of a longer one.
+BEFORE = {
+    "email": r"(?<![A-Za-z0-9@._+-])",
+    "date": r"(?<![A-Za-z0-9])",
+    "ip": r"(?<![A-Za-z0-9])(?<!\d\.)",
+    "ssn": r"(?<![A-Za-z0-9])(?<!\d-)",
+    "phone": r"(?<![A-Za-z0-9])(?<!\d[.-])",
+    "card": r"(?<![A-Za-z0-9])(?<!\d\.)",
+}
+ANY = "(?:" + "|".join(f"(?:{BEFORE[k]}(?:{p}))" for k, p in PATTERNS.items()) + ")"
 ROUNDS = 8
 #: Symbols in one pass of the network; halves stay below 2^53.
 DIGITS_AT_ONCE, LETTERS_AT_ONCE = 30, 20
-#: Dates from 1900-01-01 on are numbered below 147 x 323 days (to the end of 2029) and permuted among these.
-FIRST_DAY, DATE_LEFT, DATE_RIGHT = "1900-01-01", 147, 323
+#: The pattern's dates, 1900-01-01 to 2099-12-31, are 17 x 4297 days and permuted among these.
+FIRST_DAY, DATE_LEFT, DATE_RIGHT = "1900-01-01", 17, 4_297
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

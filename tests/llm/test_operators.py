@@ -324,6 +324,24 @@ def test_feistel_is_a_permutation(spark):
     assert days.distinct().count() == 47_481
 
 
+def test_pii_finds_every_form_of_a_value(spark):
+    forms = {
+        "Card-4111111111111111": "card", "no.4111111111111111": "card", "card_4111-1111-1111-1111": "card", "2024-4111111111111111": "card",
+        "3782 822463 10005": "card", "3782-822463-10005": "card", "x 3056 930902 5904": "card", "tel.(555) 123-4567": "phone", "1-800-555-1234": "phone",
+        "tel.555-123-4567": "phone", "ip-10.1.2.3": "ip", "SSN-123-45-6789": "ssn", "log_2024-02-29": "date", "2029-12-31": "date", "2099-12-31": "date",
+    }
+    plain = ["0.4111111111111111", "1.2.3.4.5", "4111-4111-1111-1111-1111", "a4111111111111111", "5-123-45-6789", "2099-02-29", "12345-555-123-4567"]
+    rows = [(i, t) for i, t in enumerate([*forms, *plain, "10.1.2.1-10.1.2.9, 2024-01-01-2024-02-01"])]
+    found = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    for i, t in rows[: len(forms)]:
+        shape = lambda s: re.sub("[0-9]+" if forms[t] == "ip" else "[0-9]", "0", s)
+        assert found[i].kinds == [forms[t]] and found[i].text != t and shape(found[i].text) == shape(t), t
+    assert [found[i].text for i in range(len(forms), len(rows) - 1)] == plain
+    assert found[len(rows) - 1].kinds == ["ip", "ip", "date", "date"]
+    days = spark.range(73_049).select(pii.pseudonym(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd"), F.lit("date"), "k").alias("d"))
+    assert days.distinct().count() == 73_049 and days.where("d between '1900-01-01' and '2099-12-31'").count() == 73_049
+
+
 # 7 urls --------------------------------------------------------------------------------------------------------
 
 
