@@ -24,6 +24,9 @@ from codelattice.llm.shared import slices, small_batches
 ORDER = 4
 #: Training documents per language: the bound of the labelled sample that the models are fitted on.
 DOCS_PER_LANGUAGE = 2_000
+#: A text is rejected beyond so many median deviations from its language's median cross-entropy, each
+#: taken as at least this share of the median; languages with fewer held-back documents share theirs.
+SPREADS, LEAST_SPREAD, FEW_HELD = 35, 0.01, 20
 #: Characters that are scored at once.
 BLOCK = 400_000
 GAP, EDGE, OTHER = 32, 1, 2
@@ -279,16 +282,20 @@ def train(
 def _calibrate(model: Model, held: pd.DataFrame) -> Model:
     """Thresholds and temperature from held-back documents."""
     long_enough = held[held["letters"] >= 100]
+    every = long_enough["own"].to_numpy()
+    typical = float(np.median(every)) if len(every) else 3.0
+    apart = np.abs(long_enough["own"] - long_enough.groupby("lang")["own"].transform("median")).to_numpy()
     centers, limits = [], []
     for lang in model.languages:
         own = long_enough.loc[long_enough["lang"] == lang, "own"].to_numpy()
-        if len(own) < 20:
-            own = long_enough["own"].to_numpy()
-        center = float(np.median(own)) if len(own) else 3.0
-        high = float(own.max()) if len(own) else center
+        center = float(np.median(own)) if len(own) else typical
+        away = np.abs(own - center)
+        if len(own) < FEW_HELD:  # too few to say: as the languages together, but no stricter than its own
+            center, away = max(center, typical), apart
+        spread = float(np.median(away)) if len(away) else 0.0
         centers.append(center)
-        # every held-back document of the language is accepted, and as much again beyond the worst
-        limits.append(max(center + 1.5, center + 2 * (high - center)))
+        # medians, which documents with a wrong label cannot move as they move the worst
+        limits.append(center + SPREADS * max(spread, LEAST_SPREAD * center))
     model.center, model.limit = np.array(centers), np.array(limits)
     best = None
     for temperature in (0.5, 1, 2, 5, 10, 20, 50, 100):

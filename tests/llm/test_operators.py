@@ -385,6 +385,22 @@ def test_language_odd_rows(spark, sf_dir):
     assert langid.predict(strange, model).first().rejected
 
 
+@pytest.mark.parametrize("left_out", ["en", "fr"])
+def test_language_rejects_a_language_left_out_even_with_wrong_labels(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 5000 and n_chars >= 500").withColumn("text", F.substring("text", 1, 1500))
+    learnt = docs.where(F.col("lang") != left_out)
+    wrong = docs.where((F.col("lang") == "de") & (F.col("doc_id") % 50 == 0)).withColumn("lang", F.lit("es"))
+    assert 10 <= wrong.count() <= 40
+    strange = docs.where((F.col("lang") == left_out) & (F.col("doc_id") % 5 == 0))
+    for labelled in (learnt, learnt.unionByName(wrong)):
+        model = langid.train(labelled)
+        assert model.languages == sorted({"de", "en", "es", "fr"} - {left_out})
+        rejected = [r.rejected for r in langid.predict(strange, model).collect()]
+        assert len(rejected) > 50 and np.mean(rejected) >= 0.95
+        own = [r.rejected for r in langid.predict(learnt, model).collect()]
+        assert np.mean(own) <= 0.005
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     symbols, _ = langid._symbols(["the cat sat on the mat", "then that thing"], 3)
     packed = langid._ngrams(symbols, 3)
