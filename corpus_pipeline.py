@@ -33,14 +33,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest doc_id.
+    """One row of each SimHash component: of those with the smallest doc_id, no id being the largest.
 
-    Rows that share an id count as one document, of which one row stays; rows without an id stay.
+    Rows are told apart by id and text, so neither texts that share an id nor rows without an id are
+    mistaken for one another; of rows that share both, one stays.
     """
-    groups = simhash.simhash_groups(docs)
-    stay = materialise(groups.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct(), "stay")
-    named = docs.join(stay.hint("merge"), docs["doc_id"] == stay["stays"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    row_key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    groups = simhash.simhash_groups(docs.select(row_key.alias("g_key"), "text"), id_col="g_key").select("g_key", "component_id").distinct()
+    named = docs.select(row_key.alias("d_key"), F.col("doc_id").alias("d_id")).distinct()
+    first = F.min(F.struct(F.col("d_id").isNull(), "d_id", "d_key")).alias("first")
+    stay = named.join(groups.hint("merge"), F.col("d_key") == F.col("g_key")).groupBy("component_id").agg(first)
+    stay = materialise(stay.select(F.col("first.d_key").alias("stays")), "stay")
+    keyed = docs.withColumn("__row_key", row_key)
+    kept = keyed.join(stay.hint("merge"), keyed["__row_key"] == stay["stays"], "left_semi").dropDuplicates(["__row_key"])
+    return kept.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

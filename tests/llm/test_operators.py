@@ -527,6 +527,15 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
         docs, kept = result, now
 
 
+def test_near_dedup_decides_by_row(spark):
+    draw = random.Random(9)
+    a, b, c = (" ".join(f"w{draw.randrange(10_000)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, b), (None, c), (None, c), (7, "")]
+    frame = spark.createDataFrame([(*r, "en", "a", 0, 7, "h", "s", "i") for r in rows], DOCS)
+    found = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, "").collect()]
+    assert sorted(found, key=repr) == sorted([(1, a), (5, b), (None, c), (7, "")], key=repr)
+
+
 def test_pipeline_odd_rows_and_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, empty_docs(spark), "").columns == DOCS.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
