@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelattice.llm.shared import BROADCAST_ROWS, discard, materialise
+from codelattice.tables import ordered_index
 
 WORD = r"[^\x20\x09-\x0D]+"
-NEWTON_STEPS = 60
+NEWTON_STEPS, STEPS_PER_JOB = 60, 4
+#: Sums of fractions are taken as decimals, so that they do not depend on the order of the rows.
+EXACT = "decimal(38,9)"
 TOLERANCE = 1e-9
 #: Bins of each of the two histograms of the rounding edge.
 BINS = 4096
@@ -41,8 +44,8 @@ def targets_by_weight(sources: DataFrame, share: float, ceiling: float) -> DataF
     while True:
         above = F.lit(False) if level is None else F.col("weight") * F.lit(level) >= cap
         row = sources.agg(
-            F.sum(F.when(above, cap).otherwise(0.0)).alias("full"),
-            F.sum(F.when(above, 0.0).otherwise(F.col("weight"))).alias("weight"),
+            F.sum(F.when(above, cap).otherwise(0.0).cast(EXACT)).cast("double").alias("full"),
+            F.sum(F.when(above, 0.0).otherwise(F.col("weight")).cast(EXACT)).cast("double").alias("weight"),
         ).first()
         following = (budget - row["full"]) / row["weight"] if row["weight"] else None
         if following is None or following == level:
@@ -54,9 +57,9 @@ def targets_by_weight(sources: DataFrame, share: float, ceiling: float) -> DataF
 
 def rank_weights(sources: DataFrame, cycle: tuple[float, ...]) -> DataFrame:
     """Adds weight: the cycle repeated over the sources in code-point order, null last (one row per source)."""
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    chosen = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (order % len(cycle) + 1).cast("int"))
-    return sources.withColumn("weight", chosen)
+    ranked = ordered_index(sources, [F.col("source").asc_nulls_last()], "place")
+    chosen = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.col("place") % len(cycle) + 1).cast("int"))
+    return ranked.withColumn("weight", chosen).drop("place")
 
 
 def _rate(ceiling: float) -> Column:
@@ -76,34 +79,10 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame, ceiling: float) -> Dat
     )
     state = materialise(state, "tilts")
     few = state.count() <= BROADCAST_ROWS
-    for _ in range(NEWTON_STEPS):
-        side = F.broadcast(state) if few else state
-        at = histogram.join(side, histogram["source"].eqNullSafe(side["source"])).select(
-            side["source"], "target", "mean", "lam", "low", "high", "done", "size", "n", (F.col("size") / F.col("mean")).alias("x")
-        )
-        rate = _rate(ceiling)
-        sums = at.groupBy("source", "target", "mean", "lam", "low", "high", "done").agg(
-            F.sum(F.col("n") * F.col("size") * rate).alias("got"),
-            F.sum(F.when(rate < ceiling, F.col("n") * F.col("size") * F.col("x") * rate).otherwise(0.0)).alias("slope"),
-        )
-        gap = F.col("target") - F.col("got")
-        low = F.when(gap > 0, F.col("lam")).otherwise(F.col("low"))
-        high = F.when(gap < 0, F.col("lam")).otherwise(F.col("high"))
-        newton = F.col("lam") + F.try_divide(gap, F.col("slope"))
-        inside = F.coalesce(newton > F.col("low2"), F.lit(True)) & F.coalesce(newton < F.col("high2"), F.lit(True))
-        halved = F.when(F.col("low2").isNull(), F.col("high2") * 2 - 1).when(F.col("high2").isNull(), F.col("low2") * 2 + 1)
-        halved = halved.otherwise((F.col("low2") + F.col("high2")) / 2)
-        sums = sums.select("*", low.alias("low2"), high.alias("high2"))
-        # far steps are shortened: the multiplier at most about doubles
-        far = 4 + F.abs("lam")
-        newton = F.greatest(F.col("lam") - far, F.least(F.col("lam") + far, newton))
-        near = F.col("done") | (F.abs(gap) <= TOLERANCE * F.greatest(F.lit(1.0), F.col("target")))
-        stuck = F.coalesce(F.abs(F.col("high2") - F.col("low2")) < 1e-14, F.lit(False))
-        following = sums.select(
-            "source", "target", "mean",
-            F.when(near | stuck, F.col("lam")).when(newton.isNotNull() & inside, newton).otherwise(halved).alias("lam"),
-            F.col("low2").alias("low"), F.col("high2").alias("high"), (near | stuck).alias("done"),
-        )
+    for _ in range(NEWTON_STEPS // STEPS_PER_JOB):
+        following = state
+        for _ in range(STEPS_PER_JOB):
+            following = _newton_step(histogram, following, few, ceiling)
         following = materialise(following, "tilts")
         discard(state)
         state = following
@@ -112,6 +91,38 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame, ceiling: float) -> Dat
     return state.select("source", "mean", "lam")
 
 
+def _newton_step(histogram: DataFrame, state: DataFrame, few: bool, ceiling: float) -> DataFrame:
+    """The state (source, target, mean, lam, low, high, done) after one safeguarded step of every source."""
+    side = F.broadcast(state) if few else state
+    at = histogram.join(side, histogram["source"].eqNullSafe(side["source"])).select(
+        side["source"], "target", "mean", "lam", "low", "high", "done", "size", "n", (F.col("size") / F.col("mean")).alias("x")
+    )
+    rate = _rate(ceiling)
+    moves = F.when(rate < ceiling, F.col("n") * F.col("size") * F.col("x") * rate).otherwise(0.0)
+    sums = at.groupBy("source", "target", "mean", "lam", "low", "high", "done").agg(
+        F.sum((F.col("n") * F.col("size") * rate).cast(EXACT)).cast("double").alias("got"),
+        F.sum(moves.cast(EXACT)).cast("double").alias("slope"),
+    )
+    gap = F.col("target") - F.col("got")
+    low = F.when(gap > 0, F.col("lam")).otherwise(F.col("low"))
+    high = F.when(gap < 0, F.col("lam")).otherwise(F.col("high"))
+    newton = F.col("lam") + F.try_divide(gap, F.col("slope"))
+    inside = F.coalesce(newton > F.col("low2"), F.lit(True)) & F.coalesce(newton < F.col("high2"), F.lit(True))
+    halved = F.when(F.col("low2").isNull(), F.col("high2") * 2 - 1).when(F.col("high2").isNull(), F.col("low2") * 2 + 1)
+    halved = halved.otherwise((F.col("low2") + F.col("high2")) / 2)
+    sums = sums.select("*", low.alias("low2"), high.alias("high2"))
+    # far steps are shortened: the multiplier at most about doubles
+    far = 4 + F.abs("lam")
+    newton = F.greatest(F.col("lam") - far, F.least(F.col("lam") + far, newton))
+    near = F.col("done") | (F.abs(gap) <= TOLERANCE * F.greatest(F.lit(1.0), F.col("target")))
+    stuck = F.coalesce(F.abs(F.col("high2") - F.col("low2")) < 1e-14, F.lit(False))
+    return sums.select(
+        "source", "target", "mean",
+        F.when(near | stuck, F.col("lam")).when(newton.isNotNull() & inside, newton).otherwise(halved).alias("lam"),
+        F.col("low2").alias("low"), F.col("high2").alias("high"), (near | stuck).alias("done"),
+    )
+
+
 def mix(
     docs: DataFrame,
     cycle: tuple[float, ...] = (3.0, 1.0, 2.0),

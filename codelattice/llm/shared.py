@@ -1,47 +1,25 @@
-"""What several corpus operators need: shared-folder tables, size checks, connected components."""
+"""What several corpus operators need: size-checked joins, small Arrow batches, connected components."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
 import sys
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelattice.tables import BROADCAST_ROWS, drop_stored, stored
+
 #: Rows of an Arrow batch that a Python function turns into Python objects at once.
 ROWS_AT_ONCE = 500
-#: Sides of at most this many rows may be broadcast by the operators (rows here are some tens of bytes).
-BROADCAST_ROWS = 50_000
-
-_own_folder: list[str] = []
-_written: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="codelattice-"))
-        atexit.register(shutil.rmtree, _own_folder[0], True)
-    return f"file://{_own_folder[0]}"
+#: Tables in the shared folder: written, read back, and deleted when nothing reads them any more.
+materialise, discard = stored, drop_stored
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.stored_at = path
-    return table
+def sized(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The side of a join broadcast if it is counted to be small, dealt out by the key with the other side if not."""
+    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side.hint("merge")
 
 
 def slices(batches, rows: int = ROWS_AT_ONCE):
@@ -75,20 +53,6 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote and nothing will read again."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Delete every table that this process has written to the shared folder, once all results have been consumed."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
@@ -124,11 +88,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _star(all_links: DataFrame, kept: DataFrame, smallest) -> DataFrame:
     """Each kept link (u, v) with m, the smallest neighbour of u.
 
-    The minimum is grouped by the negated id: the join then deals out both sides itself, which is
+    The minimum is grouped by the complement of the id: the join then deals out both sides itself, which is
     what lets Spark split the links of a hub over several tasks.
     """
-    least = all_links.groupBy((-F.col("u")).alias("k")).agg(F.min("v").alias("m"))
-    return kept.join(least, kept["u"] == -least["k"]).select("u", "v", smallest.alias("m"))
+    least = all_links.groupBy(F.bitwise_not("u").alias("k")).agg(F.min("v").alias("m"))
+    return kept.join(least, kept["u"] == F.bitwise_not(least["k"])).select("u", "v", smallest.alias("m"))
 
 
 def _fingerprint(links: DataFrame) -> tuple:

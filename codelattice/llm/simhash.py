@@ -19,12 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.shared import components, give_back, materialise, slices, small_batches
+from codelattice.llm.shared import components, give_back, materialise, sized, slices, small_batches
 
 #: Fingerprints that one bucket should get on average; more only mean more leading bits.
 ROWS_PER_BUCKET = 32_000
 #: A task writes out variants for at most about this many fingerprints at once; beyond, it splits by further bits.
 ROWS_AT_ONCE = 128_000
+#: Buckets of more than so many times their average number are cut by so many further bits.
+MOST_IN_BUCKET, FURTHER_BITS = 8, 8
 SEED = 42
 
 
@@ -140,6 +142,35 @@ def forest(size: int, pairs: np.ndarray) -> np.ndarray:
     return label
 
 
+def _buckets(prints: DataFrame, bits: int, half: int, most: int) -> DataFrame:
+    """(bits, bucket, fp): every fingerprint in each bucket of leading bits that a variant of it has.
+
+    Buckets of more than most fingerprints are cut by further bits, as often as need be, before the
+    shuffle to the tasks that write the variants out, so that no task gets a very frequent prefix whole.
+    """
+    masks = F.explode(F.array(*[F.lit(m) for m in _masks(bits, half)]))
+    dealt = prints.select("fp", masks.alias("mask")).select(
+        F.lit(bits).alias("bits"), F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("mask").cast("long")).alias("bucket"), "fp"
+    )
+    parts = None
+    while True:
+        sizes = dealt.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+        large = materialise(sizes.select("b"), "large-buckets") if bits + FURTHER_BITS < 60 else None
+        if large is None or not large.limit(1).count():
+            return dealt if parts is None else parts.unionByName(dealt)
+        side = sized(large)
+        fits = dealt.join(side, F.col("bucket") == F.col("b"), "left_anti")
+        parts = fits if parts is None else parts.unionByName(fits)
+        further = F.explode(F.array(*[F.lit(m) for m in _masks(FURTHER_BITS, half)]))
+        bits += FURTHER_BITS
+        own = F.shiftrightunsigned("fp", 64 - bits)
+        low = own.bitwiseAND((1 << FURTHER_BITS) - 1).bitwiseXOR(F.col("mask").cast("long"))
+        deeper = dealt.join(side, F.col("bucket") == F.col("b"), "left_semi").select("bucket", "fp", further.alias("mask"))
+        deeper = deeper.select(F.lit(bits).alias("bits"), F.shiftleft("bucket", FURTHER_BITS).bitwiseOR(low).alias("bucket"), "fp")
+        flips = F.bit_count(F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("bucket")))
+        dealt = materialise(deeper.where(flips <= half), "deeper-buckets")
+
+
 def simhash_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -153,8 +184,8 @@ def simhash_groups(
     Null text: as empty, fingerprint zero, which links like any other.  Texts of fewer words than
     a shingle: the whole word sequence is the only shingle.  Equal fingerprints collapse to one
     before the ball is written out, so copies cost nothing.  component_id is the smallest id
-    reachable; rows with a null id have a fingerprint, link like others, but name no component
-    (a component of null ids only is null).  Repeated rows come back as often as they came.
+    reachable; rows with a null id have a fingerprint, link and bridge like others, but name no
+    component (a component of null ids only is null).  Repeated rows come back as often as they came.
     An empty table gives an empty result; other columns are not looked at.
     """
     half = radius // 2
@@ -164,27 +195,22 @@ def simhash_groups(
     prints = materialise(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
     unique = materialise(prints.groupBy("fp").agg(F.min("id").alias("rep")), "unique")
     bits = leading_bits(unique.count(), half, rows_per_bucket)
-    masks = _masks(bits, half)
 
     def link(key, pdf):
         fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        rep = pdf["rep"].to_numpy(np.int64)
-        root = forest(len(fp), link_bucket(fp, int(key[0]), bits, radius))
+        root = forest(len(fp), link_bucket(fp, int(key[1]), int(key[0]), radius))
         give_back()
         moved = np.flatnonzero(root != np.arange(len(fp)))
-        return pd.DataFrame({"a": rep[moved], "b": rep[root[moved]]})
+        return pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[root[moved]].view(np.int64)})
 
-    dealt = unique.where(F.col("rep").isNotNull()).select(
-        "fp", "rep", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")
-    )
-    dealt = dealt.select(
-        F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("mask").cast("long")).alias("bucket"), "fp", "rep"
-    )
-    edges = dealt.groupBy("bucket").applyInPandas(link, "a long, b long")
+    dealt = _buckets(unique.select("fp"), bits, half, MOST_IN_BUCKET * rows_per_bucket)
+    edges = dealt.groupBy("bits", "bucket").applyInPandas(link, "a long, b long")
+    # fingerprints are the nodes, so those of rows without an id link, and bridge, like any other
     found = components(edges)
-    named = unique.join(found, unique["rep"] == found["node"], "left").select(
-        F.col("fp").alias("ufp"), F.coalesce("component", "rep").alias("component_id")
-    )
+    root = F.coalesce("component", "fp").alias("root")
+    rooted = materialise(unique.join(found, unique["fp"] == found["node"], "left").select("fp", "rep", root), "rooted")
+    least = rooted.groupBy(F.bitwise_not("root").alias("r_key")).agg(F.min("rep").alias("component_id"))
+    named = rooted.join(least, F.col("root") == F.bitwise_not("r_key")).select(F.col("fp").alias("ufp"), "component_id")
     return prints.join(named, prints["fp"] == named["ufp"]).select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),

@@ -235,6 +235,34 @@ def test_ball_splits_large_buckets(monkeypatch):
     assert grouped(range(len(prints)), simhash.link_bucket(prints, 7, 6, 4).tolist()) == grouped(range(len(prints)), whole.tolist())
 
 
+def test_simhash_of_null_ids_links_and_bridges(spark, monkeypatch):
+    base = 0x0123456789ABCDEF
+    far = [base, base ^ 0b1111, base ^ 0b11111111]  # the ends are 8 bits apart and meet over the middle only
+    frame = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (None, "b"), (None, "d")], "doc_id long, text string")
+    prints = dict(zip("abcd", [*far, 1 << 63]))
+    table = spark.createDataFrame([(t, prints[t] - (1 << 64) if prints[t] >> 63 else prints[t]) for t in "abcd"], "t string, fp long")
+    made = lambda docs, *_: docs.join(table, F.col("text") == F.col("t")).select(F.col("doc_id").alias("id"), "fp")
+    monkeypatch.setattr(simhash, "fingerprints", made)
+    found = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_groups(frame).collect()}
+    assert found == {(1, f"{far[0]:016x}", 1), (None, f"{far[1]:016x}", 1), (2, f"{far[2]:016x}", 1), (None, "8" + "0" * 15, None)}
+
+
+def test_simhash_cuts_frequent_prefixes(spark):
+    draw = np.random.default_rng(6)
+    prints = [int(x) for x in np.unique(np.uint64(7 << 58) | draw.integers(0, 1 << 24, 600, dtype=np.uint64) << np.uint64(20))]
+    frame = spark.createDataFrame([(x,) for x in prints], "fp long")
+    whole, cut = (simhash._buckets(frame, 6, 2, most).groupBy("bits", "bucket").agg(F.collect_list("fp").alias("fps")).collect() for most in (10**6, 40))
+    assert {r.bits for r in whole} == {6} and max(r.bits for r in cut) > 6 and max(len(r.fps) for r in cut if r.bits < 52) <= 600
+    found = []
+    for rows in (whole, cut):
+        pairs = set()
+        for r in rows:
+            fps = np.array(r.fps, np.int64).view(np.uint64)
+            pairs |= {(int(fps[a]), int(fps[b])) for a, b in simhash.link_bucket(fps, r.bucket, r.bits, 4)}
+        found.append(grouped(prints, pairs))
+    assert found[0] == found[1] == grouped(prints, [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4])
+
+
 # 4 byte-level BPE ----------------------------------------------------------------------------------------------
 
 
