@@ -1,9 +1,11 @@
 """Line dedup by content-defined chunks of lines.
 
-Rolling hashes over the hashes of neighbouring lines choose chunk boundaries, so an inserted or
-missing line moves the boundaries next to it only.  Chunks of several lines (and single lines of
-50 words or more, which are chunks of their own) whose hash occurs more than once are fetched,
-grouped by their whole bytes, and removed everywhere but at their first occurrence.
+A rolling hash slides over the hashes of a text's lines.  A chunk is a run of lines whose ends are
+chosen by its content: from every line on, the shortest run of enough words, and up to every line
+likewise.  Chunks overlap and their ends depend on nothing outside them, so a passage that repeats
+anywhere yields the same chunks, and together they cover all of it.  Chunks whose rolling hash
+occurs more than once are fetched, grouped by their whole bytes, and every line of a chunk that is
+not the chunk's first occurrence goes.
 """
 
 from __future__ import annotations
@@ -12,151 +14,184 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.llm.shared import materialise, slices, small_batches
 
-#: A boundary falls after a line with probability 1 / DIVISOR, judged from the last WINDOW lines.
-DIVISOR = 3
-WINDOW = 2
-#: A line of this many words is a chunk of its own.
-LONG_LINE_WORDS = 50
+#: Words of a chunk at least: shorter repeats are left alone.
+MIN_WORDS = 50
+#: Bits of the filter that says which texts a join may need; its 4 KB parts are broadcast, 16 MB at most.
+FILTER_BITS = 1 << 27
 _M = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def chunk_lines(data: bytes, divisor: int = DIVISOR, window: int = WINDOW, long_words: int = LONG_LINE_WORDS) -> list[tuple[int, int, int, bool]]:
-    """(first byte, end byte, hash, may be removed) of every chunk; chunks cover the text.
+def line_chunks(data: bytes, min_words: int = MIN_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """(first byte, end byte) of every line, and (first line, last line, hash) of every chunk, each once.
 
-    Lines end at a line feed, which belongs to its line; a last line without one is hashed and
-    compared without it, so a chunk is the same whether or not a text ends after it.
+    Lines end at a line feed, which belongs to its line but is not hashed, so a run is the same
+    whether or not the text ends after it.  Words are separated by ASCII white space.  The hash is a
+    polynomial in the lines' hashes modulo 2^64, from sums of all lines up to each.
     """
-    chunks = []
-    begin = at = lines = 0
-    recent: list[int] = []
-    for line in data.split(b"\n"):
-        end = min(at + len(line) + 1, len(data))
-        if at >= len(data) and lines == 0:
+    parts = data.split(b"\n")
+    if parts and not parts[-1]:
+        parts.pop()
+    spans, at = [], 0
+    words, rolled = [0], [0]
+    powers = [1]
+    for line in parts:
+        spans.append((at, min(at + len(line) + 1, len(data))))
+        at += len(line) + 1
+        words.append(words[-1] + len(line.split()))
+        rolled.append((rolled[-1] * _M + xxhash.xxh64_intdigest(line)) & _MASK)
+        powers.append(powers[-1] * _M & _MASK)
+    if words[-1] < min_words:
+        return spans, []
+    runs = set()
+    end = 0
+    for begin in range(len(parts)):  # the shortest run from each line on
+        while end < len(parts) and words[end] - words[begin] < min_words:
+            end += 1
+        if words[end] - words[begin] < min_words:
             break
-        long_line = len(line) >= 2 * long_words - 1 and len(line.split()) >= long_words
-        if long_line and lines:
-            chunks.append((begin, at, lines > 1))
-            begin, lines = at, 0
-        own = xxhash.xxh64_intdigest(line)
-        recent = [*recent[1 - window :], own] if window > 1 else [own]
-        lines += 1
-        rolled = 0
-        for h in recent:
-            rolled = (rolled * _M + h) & _MASK
-        if long_line or ((rolled >> 17) % divisor == 0 and len(recent) == window):
-            chunks.append((begin, end, lines > 1 or long_line))
-            begin, lines, recent = end, 0, []
-        at = end
-    if lines:
-        chunks.append((begin, len(data), lines > 1))
-    return [(a, b, xxhash.xxh64_intdigest(data[a:b].removesuffix(b"\n")), many) for a, b, many in chunks if b > a]
+        runs.add((begin, end))
+    begin = 0
+    for end in range(1, len(parts) + 1):  # and up to each line
+        if words[end] < min_words:
+            continue
+        while words[end] - words[begin + 1] >= min_words:
+            begin += 1
+        runs.add((begin, end))
+    return spans, [(a, b - 1, (rolled[b] - rolled[a] * powers[b - a]) & _MASK) for a, b in sorted(runs)]
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def dedup_lines(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    divisor: int = DIVISOR,
-    window: int = WINDOW,
-    long_words: int = LONG_LINE_WORDS,
-) -> DataFrame:
-    """The table with repeated chunks of lines taken out of its texts, and removed_chunks, removed_chars.
-
-    A chunk stays at its first occurrence, by id and then by place in the text, and goes everywhere
-    else, in the same text too.  White-space-only chunks stay.  Null and empty texts come back as
-    they are; a text that loses every chunk comes back empty with removed_chunks > 0.  Rows that
-    repeat an id and its text count as one document, so both keep or lose the same chunks; rows with
-    a null id come after all others and are told apart by their text.  An empty table gives an
-    empty result.  All columns come back, so names of the working columns may clash with none:
-    they are only used beside id and text.
+def needed_filter(keys: DataFrame) -> DataFrame:
+    """(part, bits): the bitmap of the keys' (long key) places, in parts of 32,768 bits: at most 4,096 rows."""
+    place = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    return keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
+    )
+
+
+def may_need(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Adds needed: false only where the row's key is not among those of the filter.
+
+    The filter has a fixed size, so it can be broadcast however many keys it holds; where it is
+    full, rows take the join as if there were none.
+    """
+    place = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    set_ = F.shiftright(byte, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))) != 0
+    marked = rows.withColumn("bit", bit).withColumn("own", F.bitmap_bucket_number(place))
+    met = marked.join(F.broadcast(wanted), F.col("own") == F.col("part"), "left")
+    return met.withColumn("needed", F.coalesce(set_, F.lit(False))).drop("bit", "own", "part", "bits")
+
+
+def _key(identity: Column, text: Column) -> Column:
+    return F.xxhash64(identity.isNull(), identity, text)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The table with repeated runs of lines taken out of its texts, and removed_lines, removed_chars.
+
+    A line goes if it is part of a run of lines of min_words words or more, one line or many, that
+    occurs earlier too: in a row with a smaller id, or further up in the same text, overlaps
+    included.  Null ids come after all others, in the order of a hash of id and text.  Null and empty
+    texts come back as they are; a text that loses every line comes back empty with removed_lines
+    > 0.  Rows that repeat an id and its text count as one document, so all of them keep or lose the
+    same lines.  An empty table gives an empty result.  All columns come back, whatever their names;
+    columns called removed_lines and removed_chars are replaced.
     """
     small_batches(docs.sparkSession)
-    names = ["id", "tkey", "no", "first", "size", "hash"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = own.select(_key(F.col("id"), F.col("text")).alias("key"), "id", F.col("text").cast("binary").alias("data"))
+    rows = rows.where("data is not null and length(data) > 0")
+    names = ["key", "id", "first", "last", "hash"]
 
     def scan(batches):
         for batch in slices(batches):
+            keys, ids = (batch.column(k).to_pylist() for k in (0, 1))
+            place, first, last, hashes = [], [], [], []
+            for n, data in enumerate(batch.column(2).to_pylist()):
+                for a, b, h in line_chunks(data, min_words)[1]:
+                    place.append(n)
+                    first.append(a)
+                    last.append(b)
+                    hashes.append(_signed(h))
+            columns = [pa.array([keys[n] for n in place], pa.int64()), pa.array([ids[n] for n in place], pa.int64())]
+            columns += [pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(hashes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    chunks = materialise(rows.mapInArrow(scan, "key long, id long, first int, last int, hash long"), "chunks")
+    repeated = chunks.groupBy(F.bitwise_not("hash").alias("other")).agg(F.count("*").alias("n")).where("n > 1").select("other")
+    # both sides of the joins are dealt out at every size: neither is bounded, and a frequent chunk is split
+    found = chunks.join(repeated.hint("merge"), chunks["hash"] == F.bitwise_not("other"), "left_semi")
+    spots = found.groupBy("key").agg(F.collect_set(F.struct("first", "last", "hash")).alias("spots"))
+    spots = materialise(spots.select(F.col("key").alias("s_key"), "spots"), "spots")
+    wanted = materialise(needed_filter(spots.select(F.col("s_key").alias("key"))), "needed")
+
+    # the bytes themselves of every chunk whose hash repeats; rows repeated count once
+    texts = may_need(rows, wanted).where("needed").select("key", "id", "data")
+    fetched = texts.join(spots.hint("merge"), F.col("key") == F.col("s_key")).select("key", "id", "data", "spots")
+
+    def cut(batches):
+        for batch in slices(batches, 100):
+            keys, ids = (batch.column(k).to_pylist() for k in (0, 1))
             out = []
-            for key, tkey, data in zip(*[c.to_pylist() for c in batch.columns]):
-                for no, (a, b, h, many) in enumerate(chunk_lines(data, divisor, window, long_words)):
-                    if many and data[a:b].strip():
-                        out.append((key, tkey, no, a, b - a, _signed(h)))
+            for key, id_, data, wanted_ in zip(keys, ids, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                spans, _ = line_chunks(data, 1 << 60)
+                for s in wanted_:
+                    body = data[spans[s["first"]][0] : spans[s["last"]][1]].removesuffix(b"\n")
+                    out.append((key, id_, s["first"], s["last"], s["hash"], body))
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             columns = zip(*out) if out else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*names, "body"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).cast("binary").alias("data"))
-    rows = rows.where("data is not null and length(data) > 0")
-    chunks = materialise(
-        rows.mapInArrow(scan, "id long, tkey long, no int, first long, size long, hash long"), "chunks"
-    )
-    repeated = (
-        chunks.groupBy((-F.col("hash")).alias("negative")).agg(F.count("*").alias("n")).where("n > 1").select("negative")
-    )
-    found = chunks.join(repeated, chunks["hash"] == -repeated["negative"], "left_semi")
-    wanted = materialise(
-        found.groupBy("id", "tkey").agg(F.collect_set(F.struct("no", "first", "size", "hash")).alias("spots")), "spots"
-    )
-    # the bytes themselves of every chunk whose hash repeats; whole rows repeated count once
-    named = wanted.select(F.col("id").alias("w_id"), F.col("tkey").alias("w_tkey"), "spots")
-    # both sides of the joins with whole texts are dealt out at every size: neither is bounded
-    fetched = rows.join(named.hint("merge"), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tkey") == F.col("w_tkey")))
-    fetched = fetched.select("id", "tkey", "data", F.explode("spots").alias("s")).select(
-        "id",
-        "tkey",
-        F.col("s.no").alias("no"),
-        F.col("s.hash").alias("hash"),
-        F.expr("substring(data, cast(s.first as int) + 1, cast(s.size as int))").alias("body"),
-    )
-    # a chunk at a text's end has no line feed
-    bare = F.expr("if(right(hex(body), 2) = '0A', substring(body, 1, length(body) - 1), body)")
-    fetched = materialise(fetched.select("id", "tkey", "no", "hash", bare.alias("body")), "bodies")
-    order = F.struct(F.col("id").isNull().alias("late"), "id", "tkey", "no")
-    groups = fetched.groupBy((-F.col("hash")).alias("negative"), F.col("body").alias("g_body")).agg(
-        F.min(order).alias("stays"), F.max(order).alias("last")
-    )
-    groups = groups.where("stays != last")
-    going = fetched.join(groups, (fetched["hash"] == -groups["negative"]) & (F.col("body") == F.col("g_body")))
-    going = going.where(order != F.col("stays")).select("id", "tkey", "no")
-    lists = going.groupBy(F.col("id").alias("l_id"), F.col("tkey").alias("l_tkey")).agg(
-        F.collect_set("no").alias("going")
+    bodies = fetched.mapInArrow(cut, "key long, id long, first int, last int, hash long, body binary")
+    bodies = materialise(bodies, "bodies")
+    order = F.struct(F.col("id").isNull().alias("late"), "id", "key", "first")
+    groups = bodies.groupBy(F.bitwise_not("hash").alias("other"), F.col("body").alias("g_body")).agg(
+        F.min(order).alias("stays"), F.max(order).alias("end")
     )
+    groups = groups.where("stays != end").hint("merge")
+    going = bodies.join(groups, (F.col("hash") == F.bitwise_not("other")) & (F.col("body") == F.col("g_body")))
+    going = going.where(order != F.col("stays")).select("key", "first", "last")
+    lists = going.groupBy(F.col("key").alias("l_key")).agg(F.collect_set(F.struct("first", "last")).alias("going"))
     lists = materialise(lists, "going")
+    changed = materialise(needed_filter(lists.select(F.col("l_key").alias("key"))), "changed")
 
-    schema = docs.schema
-    columns = docs.columns
-    wrapped = docs.select(
-        F.struct(*[docs[c] for c in columns]).alias("row"),
-        docs[id_col].cast("long").alias("id"),
-        F.xxhash64(docs[text_col]).alias("tkey"),
-    )
-    joined = wrapped.join(lists.hint("merge"), F.col("id").eqNullSafe(F.col("l_id")) & (F.col("tkey") == F.col("l_tkey")), "left")
-    cut = joined.select("row", F.col(f"row.`{text_col}`").alias("text"), F.coalesce("going", F.array().cast("array<int>")).alias("going"))
-    untouched = cut.where("size(going) = 0").select("row", "text", F.lit(0).alias("removed"))
+    marked = may_need(own.select(_key(F.col("id"), F.col("text")).alias("key"), "text", "row"), changed)
+    here = marked.where("not needed").select("row", "text", F.lit(0).alias("removed"))
+    there = marked.where("needed").join(lists.hint("merge"), F.col("key") == F.col("l_key"), "left")
+    same = there.where("going is null").select("row", "text", F.lit(0).alias("removed"))
 
-    @F.pandas_udf("string")
-    def without(text: pd.Series, going: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<text string, removed int>")
+    def without(text: pd.Series, going: pd.Series) -> pd.DataFrame:
         out = []
-        for value, numbers in zip(text, going):
+        for value, runs in zip(text, going):
             data = value.encode()
-            drop = set(np.asarray(numbers).tolist())
-            parts = enumerate(chunk_lines(data, divisor, window, long_words))
-            out.append(b"".join(data[a:b] for no, (a, b, _, _) in parts if no not in drop).decode())
-        return pd.Series(out, dtype=object)
-
-    touched = cut.where("size(going) > 0").select("row", without("text", "going").alias("text"), F.size("going").alias("removed"))
-    both = untouched.unionByName(touched)
+            spans, _ = line_chunks(data, 1 << 60)
+            gone = np.zeros(len(spans) + 1, np.int64)
+            for run in runs:
+                gone[run["first"]] += 1
+                gone[run["last"] + 1] -= 1
+            gone = np.cumsum(gone) > 0
+            out.append((b"".join(data[a:b] for (a, b), g in zip(spans, gone) if not g).decode(), int(gone.sum())))
+        return pd.DataFrame(out, columns=["text", "removed"])
+
+    touched = there.where("going is not null").select("row", without("text", "going").alias("w"))
+    touched = touched.select("row", F.col("w.text").alias("text"), F.col("w.removed").alias("removed"))
+    both = here.unionByName(same).unionByName(touched)
+    added = ("removed_lines", "removed_chars")
+    before, after = (F.coalesce(F.length(c), F.lit(0)) for c in (F.col(f"row.`{text_col}`"), F.col("text")))
     return both.select(
-        *[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in schema.names],
-        F.col("removed").alias("removed_chunks"),
-        (F.coalesce(F.length(f"row.`{text_col}`"), F.lit(0)) - F.coalesce(F.length("text"), F.lit(0))).alias("removed_chars"),
+        *[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in added],
+        F.col("removed").alias("removed_lines"),
+        (before - after).alias("removed_chars"),
     )

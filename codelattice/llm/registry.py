@@ -80,9 +80,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the chunks of lines that occur earlier in the corpus."""
+    """All documents without the runs of lines of 50 words or more that occur earlier in the corpus."""
     return lines.dedup_lines(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "text", "removed_chunks", "removed_chars"
+        "doc_id", "text", "removed_lines", "removed_chars"
     )
 
 

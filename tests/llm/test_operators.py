@@ -469,41 +469,94 @@ def test_toxicity_odd_rows(spark):
 
 
 def plain_dedup(docs):
-    """(doc_id, text) after removal, by one pass in order of id."""
-    seen, out = set(), []
-    for i, text in sorted(docs):
-        data = (text or "").encode()
-        kept = b""
-        for a, b, _, many in lines.chunk_lines(data):
-            body = data[a:b].removesuffix(b"\n")
-            if many and data[a:b].strip() and body in seen:
-                continue
-            if many and data[a:b].strip():
-                seen.add(body)
-            kept += data[a:b]
-        out.append((i, None if text is None else kept.decode()))
+    """{id: text} without every line of a run of 50 words or more that occurs earlier, found from the runs themselves.
+
+    Written without the operator: minimal runs are listed from every line in both directions as
+    joined text, in order of id and place, and looked up in a set of all runs seen so far.
+    """
+
+    def runs_of(text):
+        lines = text.split("\n")
+        sizes = [len(x.encode().split()) for x in lines]
+        for a in range(len(lines)):
+            total = 0
+            for b in range(a, len(lines)):
+                total += sizes[b]
+                whole = total >= 50
+                if whole and (total - sizes[b] < 50 or total - sizes[a] < 50):
+                    yield a, b, "\n".join(lines[a : b + 1])
+                if whole and total - sizes[a] >= 50:
+                    break
+
+    seen, out = set(), {}
+    for i, text in sorted(docs, key=lambda d: d[0]):
+        if not text:
+            out[i] = text
+            continue
+        gone = set()
+        for a, b, body in runs_of(text):  # in order of the first line
+            if body in seen:
+                gone.update(range(a, b + 1))
+            seen.add(body)
+        lines = text.split("\n")
+        ends = [x + "\n" for x in lines[:-1]] + [lines[-1]]
+        out[i] = "".join(x for n, x in enumerate(ends) if n not in gone)
     return out
 
 
 def test_lines_as_brute_force(spark):
     sf_dir = "/root/testdata/sf0.01"
     docs = truth(spark, sf_dir, ("doc_id", "text"))
-    found = sorted((r.doc_id, r.text) for r in registry.op10_lines(spark, sf_dir).collect())
-    assert found == sorted(plain_dedup(docs))
-    assert sum(a != b for a, b in zip(found, sorted(docs))) > 20
-
-
-def test_chunks_cover_the_text_and_resist_shifts():
+    found = {r.doc_id: r.text for r in registry.op10_lines(spark, sf_dir).collect()}
+    assert found == plain_dedup(docs)
+    assert sum(found[i] != t for i, t in docs) > 20
+
+
+def test_lines_catch_every_repeated_passage_of_fifty_words(spark):
+    draw = random.Random(12)
+    sentence = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    docs, planted, short = [], [], []
+    for n, sizes in enumerate([(60,), (30, 30), (20, 20, 20), (15,) * 4, (12,) * 6, (10,) * 12, (49, 1), (25, 24, 3)]):
+        passage = [sentence(k) for k in sizes]
+        planted += passage
+        for copy in range(3):
+            lead, tail = [[sentence(draw.randrange(3, 30)) for _ in range(draw.randrange(1, 5))] for _ in range(2)]
+            docs.append((n * 10 + copy, "\n".join([*lead, *passage, *tail])))
+    for n, sizes in enumerate([(40,), (20, 20), (9,) * 5]):
+        passage = [sentence(k) for k in sizes]
+        short.append("\n".join(passage))
+        docs += [(900 + n * 10 + copy, "\n".join([sentence(60), *passage, sentence(60)])) for copy in range(2)]
+    rows = {r.doc_id: r.text.split("\n") for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, text in docs:
+        own = text.split("\n")
+        expected = own if i % 10 == 0 or i >= 900 else [x for x in own if x not in planted]
+        assert [x for x in rows[i] if x] == expected
+    assert all(any(s in "\n".join(rows[i]) for i in (900 + 10 * n, 901 + 10 * n)) for n, s in enumerate(short))
+
+
+def test_chunks_resist_shifts():
     draw = random.Random(4)
     text = "\n".join(" ".join(f"w{draw.randrange(1000)}" for _ in range(draw.randrange(1, 70))) for _ in range(200)).encode()
-    spans = lines.chunk_lines(text)
+    spans, chunks = lines.line_chunks(text)
     assert [s[0] for s in spans[1:]] == [s[1] for s in spans[:-1]] and spans[0][0] == 0 and spans[-1][1] == len(text)
-    shifted = {h for _, _, h, _ in lines.chunk_lines(b"new first line\n" + text)}
-    assert sum(h not in shifted for _, _, h, _ in spans) <= 3
+    shifted = {h for _, _, h in lines.line_chunks(b"new first line\n" + text)[1]}
+    assert sum(h not in shifted for _, _, h in chunks) <= 1
+    again = lines.line_chunks(text + b"\n")
+    assert again[1] == chunks and b"".join((text + b"\n")[a:b] for a, b in again[0]) == text + b"\n"
+
+
+def test_filter_of_needed_texts_drops_none(spark):
+    keys = spark.range(-500, 500).select(F.xxhash64("id").alias("key"))
+    marked = lines.may_need(spark.range(-5000, 5000).select("id", F.xxhash64("id").alias("key")), lines.needed_filter(keys))
+    rows = marked.groupBy(F.col("id").between(-500, 499).alias("own"), "needed").count().collect()
+    assert {(r.own, r.needed): r["count"] for r in rows}.get((True, True)) == 1000
+    assert sum(r["count"] for r in rows if not r.own and r.needed) <= 5 and sum(r["count"] for r in rows) == 10_000
+    none = lines.may_need(keys, lines.needed_filter(keys.limit(0)))
+    assert none.where("needed").count() == 0 and none.count() == 1000
 
 
 def test_lines_odd_rows(spark):
-    passage = "first shared line of the passage here\nsecond shared line of it\nthird\nfourth one\nfifth and last\n" * 2
+    passage = "first shared line of the passage here with words\nsecond shared line of it\nthird\nfourth one\nfifth and last of all of its lines\n" * 3
     long_line = " ".join(f"term{i}" for i in range(60))
     extra = [(20, passage + "own words"), (21, "other start\n" + passage), (22, long_line), (23, "head\n" + long_line + "\ntail"), (24, "\n\n\n\n"), (24, "\n\n\n\n")]
     frame = odd_docs(spark).unionByName(spark.createDataFrame([(*r, "en", "a", 0, 7, "h", "s", "i") for r in extra], DOCS))
@@ -513,8 +566,12 @@ def test_lines_odd_rows(spark):
     for r in rows:
         by[r.doc_id].append(r)
     assert by[3][0].text is None and by[4][0].text == "" and by[24][0].text == "\n\n\n\n"
-    assert by[22][0].text == long_line and long_line not in by[23][0].text and by[23][0].text.startswith("head")
-    assert by[21][0].removed_chunks > 0 and len(by[2]) == 2 and by[21][0].hash == "h"
+    assert by[22][0].text == long_line and by[23][0].text == "head\ntail"
+    # a run of ten short lines that repeats five: the second half is an earlier run again
+    assert by[21][0].removed_lines > 0 and by[21][0].text.startswith("other start\n") and len(by[2]) == 2 and by[21][0].hash == "h"
+    clash = frame.select("*", F.lit("mine").alias("removed_chars"), F.lit(1).alias("key"), F.lit(2).alias("row"), F.lit(3).alias("needed"), F.lit(4).alias("bits"))
+    again = lines.dedup_lines(clash).collect()
+    assert len(again) == 18 and again[0].removed_chars != "mine" and {(r.key, r.row, r.needed, r.bits) for r in again} == {(1, 2, 3, 4)}
     assert lines.dedup_lines(empty_docs(spark)).count() == 0
 
 
