@@ -10,6 +10,7 @@ shuffled volume by some tens without losing a variant.
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -28,24 +29,45 @@ ROWS_AT_ONCE = 128_000
 #: Buckets of more than so many times their average number are cut by so many further bits.
 MOST_IN_BUCKET, FURTHER_BITS = 8, 8
 SEED = 42
+#: Fingerprints of a text's sketch, and the leading bits of each by which texts of lower similarity meet.
+TABLES, WIDTH = 6, 40
 
 
-def simhash(data: bytes | None, words_per_shingle: int = 4) -> int:
-    """64-bit SimHash of a text in UTF-8, as an unsigned number; 0 where there is no word."""
+def shingle_hashes(data: bytes | None, words_per_shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of a text in UTF-8, repeats included; of fewer words the whole sequence; none of no word."""
     words = (data or b"").lower().split()  # of bytes: A-Z, and ASCII white space, only
-    if not words:
-        return 0
     text = b" ".join(words)
     if len(words) < words_per_shingle:
-        return xxhash.xxh64_intdigest(text, SEED)
+        return np.array([xxhash.xxh64_intdigest(text, SEED)] if words else [], np.uint64)
     ends = list(accumulate(len(w) + 1 for w in words))
     digest = xxhash.xxh64_intdigest
     starts = [0, *ends]
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(text[s : e - 1], SEED) for s, e in zip(starts, ends[words_per_shingle - 1 :])),
         dtype=np.uint64,
         count=len(words) - words_per_shingle + 1,
     )
+
+
+def simhash(data: bytes | None, words_per_shingle: int = 4) -> int:
+    """64-bit SimHash of a text in UTF-8, as an unsigned number; 0 where there is no word."""
+    return majority(shingle_hashes(data, words_per_shingle))
+
+
+def sketch(data: bytes | None, words_per_shingle: int, parts: int) -> list[int]:
+    """So many SimHashes of a text, from as many permutations of its shingles' hashes."""
+    hashes = shingle_hashes(data, words_per_shingle)
+    found = []
+    for part in range(parts):
+        x = hashes + np.uint64((part + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        found.append(majority(x ^ (x >> np.uint64(31))))
+    return found
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_280):  # 256 x 255: byte-wide sums of 255 rows cannot overflow
         block = hashes[at : at + 65_280]
@@ -90,9 +112,10 @@ def _masks(bits: int, radius: int) -> list[int]:
     return [sum(1 << i for i in chosen) for k in range(radius + 1) for chosen in combinations(range(bits), k)]
 
 
-def link_bucket(fp: np.ndarray, prefix: int, bits: int, radius: int) -> np.ndarray:
+def link_bucket(fp: np.ndarray, prefix: int, bits: int, radius: int, width: int = 64) -> np.ndarray:
     """Links (index pairs) between fingerprints that share a variant with these leading bits.
 
+    Fingerprints of fewer bits than 64 fill their words from the top.
     Fingerprints that meet in one variant are chained in order rather than paired: any two of
     them are within the radius, so the chain has the components of all pairs.
     """
@@ -102,15 +125,15 @@ def link_bucket(fp: np.ndarray, prefix: int, bits: int, radius: int) -> np.ndarr
     member = np.flatnonzero(distance <= half)
     if len(member) < 2:
         return np.empty((0, 2), np.int64)
-    if len(member) > ROWS_AT_ONCE and bits < 60:
-        found = [member[link_bucket(fp[member], prefix << 4 | more, bits + 4, radius)] for more in range(16)]
+    if len(member) > ROWS_AT_ONCE and bits < width - 4:
+        found = [member[link_bucket(fp[member], prefix << 4 | more, bits + 4, radius, width)] for more in range(16)]
         return np.unique(np.concatenate(found), axis=0)
     low = np.uint64((1 << (64 - bits)) - 1)
     base = (fp & low) | (np.uint64(prefix) << shift)
     values, owners = [], []
     for flips in range(half + 1):
         own = member[distance[member] <= half - flips]
-        masks = np.array([m for m in _masks(64 - bits, flips) if m.bit_count() == flips], np.uint64)
+        masks = np.array([m << (64 - width) for m in _masks(width - bits, flips) if m.bit_count() == flips], np.uint64)
         if len(own) and len(masks):
             values.append((base[own][:, None] ^ masks[None, :]).ravel())
             owners.append(np.repeat(own.astype(np.int32), len(masks)))
@@ -142,35 +165,110 @@ def forest(size: int, pairs: np.ndarray) -> np.ndarray:
     return label
 
 
-def _buckets(prints: DataFrame, bits: int, half: int, most: int) -> DataFrame:
-    """(bits, bucket, fp): every fingerprint in each bucket of leading bits that a variant of it has.
+def _buckets(prints: DataFrame, bits: int, half: int, most: int, width: int = 64) -> DataFrame:
+    """(..., bits, bucket, fp): every fingerprint in each bucket of leading bits that a variant of it has.
 
-    Buckets of more than most fingerprints are cut by further bits, as often as need be, before the
-    shuffle to the tasks that write the variants out, so that no task gets a very frequent prefix whole.
+    prints: fp, a number part that keeps fingerprints of different kinds apart, and whatever else is
+    to be carried.  Buckets of more than most fingerprints are cut by further bits, as often as need
+    be, before the shuffle to the tasks that write the variants out, so that no task gets a very
+    frequent prefix whole.
     """
+    carried = [c for c in prints.columns if c != "fp"]
     masks = F.explode(F.array(*[F.lit(m) for m in _masks(bits, half)]))
-    dealt = prints.select("fp", masks.alias("mask")).select(
-        F.lit(bits).alias("bits"), F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("mask").cast("long")).alias("bucket"), "fp"
+    dealt = prints.select(*carried, "fp", masks.alias("mask")).select(
+        *carried, F.lit(bits).alias("bits"), F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("mask").cast("long")).alias("bucket"), "fp"
     )
     parts = None
     while True:
-        sizes = dealt.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") > most)
-        large = materialise(sizes.select("b"), "large-buckets") if bits + FURTHER_BITS < 60 else None
+        large = None
+        if bits + FURTHER_BITS < width - 4:
+            sizes = dealt.groupBy(F.col("part").alias("p"), F.col("bucket").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+            large = materialise(sizes.select("p", "b"), "large-buckets")
         if large is None or not large.limit(1).count():
             return dealt if parts is None else parts.unionByName(dealt)
         side = sized(large)
-        fits = dealt.join(side, F.col("bucket") == F.col("b"), "left_anti")
+        same = (F.col("part") == F.col("p")) & (F.col("bucket") == F.col("b"))
+        fits = dealt.join(side, same, "left_anti")
         parts = fits if parts is None else parts.unionByName(fits)
         further = F.explode(F.array(*[F.lit(m) for m in _masks(FURTHER_BITS, half)]))
         bits += FURTHER_BITS
         own = F.shiftrightunsigned("fp", 64 - bits)
         low = own.bitwiseAND((1 << FURTHER_BITS) - 1).bitwiseXOR(F.col("mask").cast("long"))
-        deeper = dealt.join(side, F.col("bucket") == F.col("b"), "left_semi").select("bucket", "fp", further.alias("mask"))
-        deeper = deeper.select(F.lit(bits).alias("bits"), F.shiftleft("bucket", FURTHER_BITS).bitwiseOR(low).alias("bucket"), "fp")
+        deeper = dealt.join(side, same, "left_semi").select(*carried, "bucket", "fp", further.alias("mask"))
+        deeper = deeper.select(*carried, F.lit(bits).alias("bits"), F.shiftleft("bucket", FURTHER_BITS).bitwiseOR(low).alias("bucket"), "fp")
         flips = F.bit_count(F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("bucket")))
         dealt = materialise(deeper.where(flips <= half), "deeper-buckets")
 
 
+def differing_bits(similarity: float) -> float:
+    """The share of SimHash bits in which texts of this Jaccard similarity (and about equal size) differ on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_groups(
+    docs: DataFrame,
+    key_col: str,
+    text_col: str = "text",
+    words_per_shingle: int = 5,
+    similarity: float = 0.8,
+    tables: int = TABLES,
+    width: int = WIDTH,
+    radius: int = 4,
+    rows_per_bucket: int = 4 * ROWS_PER_BUCKET,
+) -> DataFrame:
+    """(key_col, component): groups of texts whose shingle sets are about as similar as asked, or more.
+
+    One SimHash of 64 bits whose radius covers a similarity of 0.8 would need balls of some 18 bits.
+    A sketch of several SimHashes does with small ones: texts whose leading width bits of any of them
+    lie within the radius meet by their variants, and the pairs that met are linked if their whole
+    sketches differ in no more bits than texts of that similarity do, plus one standard deviation.
+
+    key_col: a long that identifies the text; rows without one, and repeated keys, count once at most.
+    Null and wordless texts have the empty sketch and link with one another only.  component is the
+    smallest key reachable.  An empty table gives an empty result.
+    """
+    half = radius // 2
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in slices(batches):
+            found = np.array([sketch(x, words_per_shingle, tables) for x in batch.column(1).to_pylist()], np.uint64).reshape(-1, tables)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, tables), pa.int32()), pa.array(found.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "bits"])
+
+    rows = docs.where(F.col(key_col).isNotNull()).select(F.col(key_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("data"))
+    sketches = materialise(rows.mapInArrow(run, "node long, bits array<long>").groupBy("node").agg(F.min("bits").alias("bits")), "sketches")
+    # texts of one and the same sketch are represented by one of them
+    unique = materialise(sketches.groupBy("bits").agg(F.min("node").alias("rep")), "unique")
+    rest = -(1 << (64 - width))
+    codes = unique.select("rep", F.posexplode("bits").alias("part", "bits")).select("part", F.col("bits").bitwiseAND(rest).alias("fp"), F.col("rep").alias("node"))
+    held = materialise(codes.groupBy("part", "fp").agg(F.min("node").alias("node")), "codes")
+    # of texts with an equal code all but one are paired with that one
+    twins = codes.alias("c").join(held.alias("h").hint("merge"), (F.col("c.part") == F.col("h.part")) & (F.col("c.fp") == F.col("h.fp")))
+    twins = twins.where("c.node != h.node").select(F.col("c.node").alias("a"), F.col("h.node").alias("b"))
+    bits = leading_bits(unique.count(), half, rows_per_bucket)
+
+    def meet(key, pdf):
+        fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+        node = pdf["node"].to_numpy(np.int64)
+        found = link_bucket(fp, int(key[2]), int(key[1]), radius, width)
+        give_back()
+        return pd.DataFrame({"a": node[found[:, 0]], "b": node[found[:, 1]]})
+
+    dealt = _buckets(held, bits, half, MOST_IN_BUCKET * rows_per_bucket, width)
+    met = dealt.groupBy("part", "bits", "bucket").applyInPandas(meet, "a long, b long").unionByName(twins)
+    met = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    one, other = (unique.select(F.col("rep").alias(f"rep_{n}"), F.col("bits").alias(f"bits_{n}")).hint("merge") for n in "ab")
+    both = met.join(one, F.col("a") == F.col("rep_a")).join(other, F.col("b") == F.col("rep_b"))
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+    total, share = 64 * tables, differing_bits(similarity)
+    limit = int(total * share + math.sqrt(total * share * (1 - share)))
+    found = components(both.where(apart <= limit).select("a", "b"))
+    rooted = unique.join(found, unique["rep"] == found["node"], "left").select(F.col("bits").alias("u_bits"), F.coalesce("component", "rep").alias("root"))
+    rooted = materialise(rooted, "rooted")
+    return sketches.join(rooted.hint("merge"), F.col("bits") == F.col("u_bits")).select(F.col("node").alias(key_col), F.col("root").alias("component"))
+
+
 def simhash_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -203,7 +301,7 @@ def simhash_groups(
         moved = np.flatnonzero(root != np.arange(len(fp)))
         return pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[root[moved]].view(np.int64)})
 
-    dealt = _buckets(unique.select("fp"), bits, half, MOST_IN_BUCKET * rows_per_bucket)
+    dealt = _buckets(unique.select(F.lit(0).alias("part"), "fp"), bits, half, MOST_IN_BUCKET * rows_per_bucket)
     edges = dealt.groupBy("bits", "bucket").applyInPandas(link, "a long, b long")
     # fingerprints are the nodes, so those of rows without an id link, and bridge, like any other
     found = components(edges)

@@ -249,9 +249,9 @@ def test_simhash_of_null_ids_links_and_bridges(spark, monkeypatch):
 
 def test_simhash_cuts_frequent_prefixes(spark):
     draw = np.random.default_rng(6)
-    prints = [int(x) for x in np.unique(np.uint64(7 << 58) | draw.integers(0, 1 << 24, 600, dtype=np.uint64) << np.uint64(20))]
-    frame = spark.createDataFrame([(x,) for x in prints], "fp long")
-    whole, cut = (simhash._buckets(frame, 6, 2, most).groupBy("bits", "bucket").agg(F.collect_list("fp").alias("fps")).collect() for most in (10**6, 40))
+    prints = [int(x) for x in np.unique(np.uint64(7 << 58) | draw.integers(0, 1 << 24, 200, dtype=np.uint64) << np.uint64(20))]
+    frame = spark.createDataFrame([(0, x) for x in prints], "part int, fp long")
+    whole, cut = (simhash._buckets(frame, 6, 2, most).groupBy("bits", "bucket").agg(F.collect_list("fp").alias("fps")).collect() for most in (10**6, 15))
     assert {r.bits for r in whole} == {6} and max(r.bits for r in cut) > 6 and max(len(r.fps) for r in cut if r.bits < 52) <= 600
     found = []
     for rows in (whole, cut):
@@ -263,6 +263,31 @@ def test_simhash_cuts_frequent_prefixes(spark):
     assert found[0] == found[1] == grouped(prints, [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4])
 
 
+def test_similar_groups_find_texts_of_a_jaccard_of_four_fifths(spark):
+    draw = random.Random(21)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    rows, expected = [], {}
+    shingled = lambda t: {" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    for n in range(300):
+        base = [word() for _ in range(draw.choice([120, 300, 900]))]
+        other = list(base)
+        for place in draw.sample(range(len(other)), int(len(other) * draw.choice([0.005, 0.01, 0.02, 0.15]))):
+            other[place] = word()
+        texts = " ".join(base), " ".join(other)
+        a, b = map(shingled, texts)
+        rows += [(2 * n, texts[0]), (2 * n + 1, texts[1])]
+        expected[n] = len(a & b) / len(a | b)
+    rows += [(10_000, None), (10_001, ""), (10_002, " \n"), (10_003, "two words"), (10_004, "Two  WORDS"), (None, "x"), (0, rows[0][1])]
+    found = {r.k: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, "k long, text string"), "k").collect()}
+    assert set(found) == {r[0] for r in rows} - {None}
+    near = [found[2 * n + 1] == 2 * n for n, j in expected.items() if j >= 0.8]
+    far = [found[2 * n + 1] == 2 * n for n, j in expected.items() if j < 0.6]
+    assert len(near) > 150 and np.mean(near) >= 0.95 and len(far) > 40 and not any(far)
+    assert {found[k] for k in (10_000, 10_001, 10_002)} == {10_000} and found[10_004] == 10_003
+    assert len({c // 2 for k, c in found.items() if k < 1000}) == 300
+    assert simhash.similar_groups(spark.createDataFrame([], "k long, text string"), "k").count() == 0
+
+
 # 4 byte-level BPE ----------------------------------------------------------------------------------------------
 
 
