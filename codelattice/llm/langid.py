@@ -345,4 +345,6 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             if model is not None:
                 yield batch.filter(pa.array(~classify(model, batch.column(place).to_pylist())[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    # numbered names, because any name may come
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

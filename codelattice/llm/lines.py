@@ -109,7 +109,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns called removed_lines and removed_chars are replaced.
     """
     small_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = own.select(_key(F.col("id"), F.col("text")).alias("key"), "id", F.col("text").cast("binary").alias("data"))
     rows = rows.where("data is not null and length(data) > 0")
     names = ["key", "id", "first", "last", "hash"]
