@@ -1,11 +1,13 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs, one per shard.
 
-Each shard builds its graph in one task and audits it: sampled vectors are searched through the
-graph and by brute force, and the beam is widened until the audit passes.  Every vector then
-queries every shard, in blocks that meet a copy of the shard's graph; what the beam returns is
-verified by cosine in double precision.  A query whose whole beam is within the threshold may have
-more partners than the beam is wide; it is compared with the whole shard in matrix blocks instead.
-Counts of links and a spanning forest leave the task, never all pairs of a group.
+Each shard builds its graph in one task and audits it: sampled vectors, of the shard and of others,
+are searched as queries are and by brute force, and the beam is widened until the audit passes; a
+shard whose audit does not pass is scanned whole.  Vectors travel in packed blocks.  Every block
+meets every shard: a task gets a shard's graph first and then a stream of blocks, one at a time, so
+it holds one graph and one block whatever their number.  What the beam returns is verified by cosine
+in double precision.  A query whose whole beam is within the threshold may have more partners than
+the beam is wide; it is compared with the whole shard in matrix blocks instead.  Counts of links and
+a spanning forest leave the task, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -14,25 +16,28 @@ import io
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from codelattice.llm.shared import components, materialise
+from codelattice.llm.shared import components, give_back, materialise, sized, small_batches
 from codelattice.llm.simhash import forest
 
-#: Vectors that a shard's graph holds on average beyond the least number of shards, and that number.
-SHARD_ROWS = 100_000
-LEAST_SHARDS = 6
-#: Queries in one block.
-BLOCK_ROWS = 8_192
+#: Bytes of a shard's vectors in double precision on average, and the least number of shards.
+SHARD_BYTES, LEAST_SHARDS = 32 << 20, 6
+#: Queries that travel and are searched together at most, and cells of the table of vectors met by them.
+BLOCK_ROWS, MET_CELLS = 1_024, 1 << 25
+#: Shards' worth of queries that one copy of a graph meets: copies of graphs are so much less than queries.
+SHARDS_PER_SLICE, LEAST_SLICES = 8, 2
 #: Links per vector: chosen at insertion, and kept in all.
 CHOSEN, WIDTH = 16, 32
-#: Beam at insertion; first beam of a query.
-BUILD_BEAM, FIRST_BEAM = 64, 48
-#: Audited vectors per shard, and the recall of nearest neighbours and of links that passes.
-AUDIT_ROWS, NEAREST_RECALL, LINK_RECALL = 400, 0.95, 0.995
-#: Ratio of a layer's vectors to those of the layer above; a top layer is scanned.
-RATIO, TOP = 16, 512
+#: Beam at insertion; first beam of a query; vectors of a beam that are expanded at once.
+BUILD_BEAM, FIRST_BEAM, EXPAND = 48, 32, 4
+#: Audited vectors per shard, own and others' each, and the recall of nearest neighbours and of links that passes.
+AUDIT_ROWS, NEAREST_RECALL, LINK_RECALL = 300, 0.95, 0.995
+#: Ratio of a layer's vectors to those of the layer above; a top layer is compared whole.
+RATIO, TOP = 16, 48
 AT_ONCE = 1_024
 SLACK = 1e-3
 
@@ -43,44 +48,58 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
-def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int, expand: int = 4):
-    """(ids, similarities) of the best beam vectors found from the entries, best first; -1 where fewer were."""
+def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int):
+    """(ids, similarities) of the best beam vectors found from the entries (distinct or -1), best first; -1 where fewer were."""
+    at_once = max(16, MET_CELLS // max(1, len(links)))
+    parts = [
+        _beam_search(vectors, links, queries[at : at + at_once], entries[at : at + at_once], beam)
+        for at in range(0, len(queries), at_once)
+    ]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty((0, beam), np.int64), np.empty((0, beam), np.float32))
+
+
+def _beam_search(vectors, links, queries, entries, beam):
     n = len(queries)
-    ids = np.full((n, beam), -1, np.int64)
-    sims = np.full((n, beam), -np.inf, np.float32)
-    take = min(beam, entries.shape[1])
-    ids[:, :take] = entries[:, :take]
-    found = np.einsum("qed,qd->qe", vectors[ids[:, :take]], queries)
-    sims[:, :take] = np.where(ids[:, :take] >= 0, found, -np.inf)
-    open_ = ids >= 0
+    met = np.full((n, len(links)), -1, np.int16)  # the column in which a query met a vector last
+    row = np.arange(n)[:, None]
+    real = entries >= 0
+    met[np.broadcast_to(row, entries.shape)[real], entries[real]] = 0
+    found = np.einsum("qed,qd->qe", vectors[entries], queries)
+    found[~real] = -np.inf
+    width = max(beam, entries.shape[1])
+    ids, sims = np.full((n, width), -1, np.int64), np.full((n, width), -np.inf, np.float32)
+    ids[:, : entries.shape[1]], sims[:, : entries.shape[1]] = entries, found
+    if width > beam:
+        top = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
+        ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
+    open_ = sims > -np.inf
     active = np.arange(n)
+    k = min(EXPAND, beam)
+    columns = np.arange(k * links.shape[1], dtype=np.int16)
     while len(active):
         waiting = np.where(open_[active], sims[active], -np.inf)
-        k = min(expand, beam)
-        best = np.argpartition(-waiting, k - 1, axis=1)[:, :k]
+        best = np.argpartition(-waiting, k - 1, axis=1)[:, :k] if k < beam else np.broadcast_to(np.arange(beam), waiting.shape)
         ready = np.take_along_axis(waiting, best, 1) > -np.inf
         more = ready.any(axis=1)
         active, best, ready = active[more], best[more], ready[more]
         if not len(active):
             break
-        rows = active[:, None]
-        open_[rows, best] &= ~ready
-        near = np.where(ready[:, :, None], links[ids[rows, best]], -1).reshape(len(active), -1)
-        # one vector may be met from several sides: keep one of each, and none already in the beam
-        near = np.sort(near, axis=1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        known = (near[:, :, None] == ids[active][:, None, :]).any(axis=2)
-        near[known] = -1
-        sim = np.einsum("qed,qd->qe", vectors[near], queries[active])
-        sim[near < 0] = -np.inf
-        # only what beats the beam's last can enter
+        open_[active[:, None], best] &= ~ready
+        near = np.where(ready[:, :, None], links[ids[active[:, None], best]], -1).reshape(len(active), -1)
+        place = np.nonzero(near >= 0)
+        q, v = active[place[0]], near[place]
+        fresh = met[q, v] < 0
+        place, q, v = (place[0][fresh], place[1][fresh]), q[fresh], v[fresh]
+        met[q, v] = columns[place[1]]  # of one vector met from several sides the last stays
+        last = met[q, v] == columns[place[1]]
+        place, q, v = (place[0][last], place[1][last]), q[last], v[last]
+        sim = np.full(near.shape, -np.inf, np.float32)
+        sim[place] = np.einsum("pd,pd->p", vectors[v], queries[q])
         all_sims = np.concatenate([sims[active], sim], axis=1)
-        all_ids = np.concatenate([ids[active], near], axis=1)
-        all_open = np.concatenate([open_[active], near >= 0], axis=1)
         top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
         sims[active] = np.take_along_axis(all_sims, top, 1)
-        ids[active] = np.take_along_axis(all_ids, top, 1)
-        open_[active] = np.take_along_axis(all_open, top, 1) & (sims[active] > -np.inf)
+        ids[active] = np.take_along_axis(np.concatenate([ids[active], near], axis=1), top, 1)
+        open_[active] = np.take_along_axis(np.concatenate([open_[active], sim > -np.inf], axis=1), top, 1)
     order = np.argsort(-sims, axis=1, kind="stable")
     sims, ids = np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
     ids[sims == -np.inf] = -1
@@ -128,20 +147,29 @@ def _connect(links: np.ndarray, vectors: np.ndarray, new: np.ndarray, picked: np
 
 
 class Graph:
-    """A shard's layers over vectors in insertion order: a layer is the first so many of them."""
+    """A shard's layers over its vectors in an insertion order of its own: a layer is the first so many of them.
+
+    Searches take and give places in the vectors as they were handed to build.  islands: vectors
+    that no link path reaches from the layer above; they are compared with every query.
+    """
 
-    def __init__(self, vectors: np.ndarray, sizes: list[int], links: list[np.ndarray], beam: int = FIRST_BEAM):
-        self.vectors, self.sizes, self.links, self.beam = vectors, sizes, links, beam
+    def __init__(self, vectors, order, sizes, links, islands=None, beam: int = FIRST_BEAM, whole: bool = False):
+        self.vectors, self.order, self.sizes, self.links = vectors, order, sizes, links
+        self.islands = np.empty(0, np.int64) if islands is None else islands
+        self.beam, self.whole, self.recall, self.nearest_recall = beam, whole, 1.0, 1.0
 
     @classmethod
     def build(cls, vectors: np.ndarray) -> Graph:
+        """A graph over unit vectors, inserted in a shuffled order: one in order of likeness would leave parts unreachable."""
+        order = np.random.default_rng(3).permutation(len(vectors))
+        vectors = vectors[order]
         sizes = [len(vectors)]
-        while sizes[-1] > TOP:
+        while sizes[-1] > TOP or len(sizes) == 1:
             sizes.append(max(1, sizes[-1] // RATIO))
         sizes.reverse()
-        graph = cls(vectors, sizes[:1], [])
+        graph = cls(vectors, order, sizes[:1], [])
         for size in sizes[1:]:
-            links = np.full((size, WIDTH), -1, np.int64)
+            links = np.full((size, WIDTH), -1, np.int32)
             begin = graph.sizes[-1]
             if graph.links:
                 links[:begin] = graph.links[-1]
@@ -151,65 +179,104 @@ class Graph:
                     _insert(vectors, links, new, np.empty((len(new), 0), np.int64))
             for at, end in _batches(begin, size):
                 new = np.arange(at, end)
-                entries = graph.descend(vectors[new], 8)
-                ids, _ = beam_search(vectors, links, vectors[new], entries, BUILD_BEAM)
+                ids, _ = beam_search(vectors, links, vectors[new], graph._descend(vectors[new], 8), BUILD_BEAM)
                 _insert(vectors, links, new, ids)
             graph.sizes.append(size)
             graph.links.append(links)
+        graph.islands = _unreached(graph.links[-1], graph.sizes[-2])
         return graph
 
-    def descend(self, queries: np.ndarray, beam: int) -> np.ndarray:
-        """The best vectors of the lowest finished layer, as entries to the next."""
+    def _descend(self, queries: np.ndarray, beam: int, layers: int | None = None) -> np.ndarray:
+        """The best vectors of the lowest of so many layers, as entries to the next."""
         top = self.vectors[: self.sizes[0]]
         k = min(beam, len(top))
         sims = queries @ top.T
         entries = np.argpartition(-sims, k - 1, axis=1)[:, :k].astype(np.int64)
-        for links in self.links:
+        for links in self.links[:layers]:
             entries, _ = beam_search(self.vectors, links, queries, entries, beam)
         return entries
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, similarities), best first."""
+        """(places, similarities), best first; -1 where fewer were found."""
         beam = min(beam, len(self.vectors))
-        if not self.links:  # small enough to be scanned
-            sims = queries @ self.vectors.T
-            ids = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
-            return ids, np.take_along_axis(sims, ids, 1)
-        upper = Graph(self.vectors, self.sizes[:-1], self.links[:-1])
-        return beam_search(self.vectors, self.links[-1], queries, upper.descend(queries, 8), beam)
-
-    def audit(self, threshold: float, seed: int = 5) -> None:
-        """Widen the beam until sampled vectors find their nearest neighbours and their links."""
+        entries = self._descend(queries, 8, len(self.links) - 1)
+        if len(self.islands):
+            sims = queries @ self.vectors[self.islands].T
+            k = min(8, len(self.islands))
+            entries = np.concatenate([entries, self.islands[np.argpartition(-sims, k - 1, axis=1)[:, :k]]], axis=1)
+        ids, sims = beam_search(self.vectors, self.links[-1], queries, entries, beam)
+        return np.where(ids >= 0, self.order[ids], -1), sims
+
+    def partners(self, queries: np.ndarray, least: float):
+        """Pairs (query, place) of similarity least or more, in parts: from the beam, or where it is full from all of the shard."""
+        for at in range(0, len(queries), AT_ONCE):
+            block = np.arange(at, min(len(queries), at + AT_ONCE))
+            full = np.ones(len(block), bool)
+            if not self.whole:
+                ids, sims = self.search(queries[block], self.beam)
+                full = (ids >= 0).all(axis=1) & (sims[:, -1] >= least) & (self.beam < len(self.vectors))
+                row, col = np.nonzero((sims >= least) & (ids >= 0) & ~full[:, None])
+                yield block[row], ids[row, col]
+            dense = block[full]
+            for begin in range(0, len(dense), 256):
+                part = dense[begin : begin + 256]
+                row, col = np.nonzero(queries[part] @ self.vectors.T >= least)
+                yield part[row], self.order[col]
+
+    def audit(self, threshold: float, others: np.ndarray, seed: int = 5) -> None:
+        """Widen the beam until sampled vectors, and others, find their nearest neighbours and all their links.
+
+        Every link of the sample counts.  If a quarter of the shard in the beam does not do, the
+        shard is scanned whole, which is exact.
+        """
         n = len(self.vectors)
-        sample = np.random.default_rng(seed).permutation(n)[:AUDIT_ROWS]
-        sims = self.vectors[sample] @ self.vectors.T
-        sims[np.arange(len(sample)), sample] = -np.inf
-        nearest = sims.argmax(axis=1)
+        own = np.random.default_rng(seed).permutation(n)[:AUDIT_ROWS]
+        queries = np.concatenate([self.vectors[own], others])
+        itself = np.concatenate([self.order[own], np.full(len(others), -1)])
+        sims = np.empty((len(queries), n), np.float32)
+        sims[:, self.order] = queries @ self.vectors.T
+        sims[np.arange(len(own)), itself[: len(own)]] = -np.inf
         linked = sims >= threshold
-        while self.beam < n:
-            ids, _ = self.search(self.vectors[sample], self.beam)
-            hit = (ids == nearest[:, None]).any(axis=1).mean()
-            got = np.zeros_like(linked)
-            got[np.arange(len(sample))[:, None], ids] = ids >= 0
-            # where the beam is full of links the whole shard is scanned, so nothing is missed there
-            few = linked.sum(axis=1) < self.beam - 1
-            links = linked[few].sum()
-            share = (got & linked)[few].sum() / links if links else 1.0
-            if hit >= NEAREST_RECALL and share >= LINK_RECALL:
-                break
+        nearest = sims.argmax(axis=1)
+        self.beam = min(FIRST_BEAM, n)
+        while True:
+            found = np.zeros_like(linked)
+            for q, p in self.partners(queries, threshold - SLACK):
+                found[q, p] = True
+            ids, _ = self.search(queries, self.beam)
+            self.nearest_recall = float((ids == nearest[:, None]).any(axis=1).mean()) if n > 1 else 1.0
+            self.recall = float((found & linked).sum() / linked.sum()) if linked.any() else 1.0
+            if self.nearest_recall >= NEAREST_RECALL and self.recall >= LINK_RECALL:
+                return
+            if self.beam >= n / 4:
+                self.whole, self.recall, self.nearest_recall = True, 1.0, 1.0
+                return
             self.beam *= 2
-        self.beam = min(self.beam, n)
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, sizes=np.array(self.sizes), beam=self.beam, **{f"links{i}": x.astype(np.int32) for i, x in enumerate(self.links)})
+        links = {f"links{i}": x for i, x in enumerate(self.links)}
+        np.savez(out, sizes=np.array(self.sizes), order=self.order.astype(np.int32), islands=self.islands.astype(np.int32), search=np.array([self.beam, self.whole]), **links)
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes, vectors: np.ndarray) -> Graph:
         saved = np.load(io.BytesIO(data))
-        sizes = saved["sizes"].tolist()
-        return cls(vectors, sizes, [saved[f"links{i}"].astype(np.int64) for i in range(len(sizes) - 1)], int(saved["beam"]))
+        sizes, order = saved["sizes"].tolist(), saved["order"].astype(np.int64)
+        beam, whole = saved["search"].tolist()
+        return cls(vectors[order], order, sizes, [saved[f"links{i}"] for i in range(len(sizes) - 1)], saved["islands"].astype(np.int64), beam, bool(whole))
+
+
+def _unreached(links: np.ndarray, entries: int) -> np.ndarray:
+    """The vectors of a layer that no path of links reaches from its first entries vectors."""
+    reached = np.zeros(len(links), bool)
+    reached[:entries] = True
+    front = np.arange(entries)
+    while len(front):
+        near = np.unique(links[front])
+        front = near[(near >= 0) & ~reached[near]]
+        reached[front] = True
+    return np.flatnonzero(~reached)
 
 
 def _batches(begin: int, end: int):
@@ -237,32 +304,20 @@ def _insert(vectors: np.ndarray, links: np.ndarray, new: np.ndarray, found: np.n
 def block_links(graph: Graph, names: np.ndarray, base: np.ndarray, copies: np.ndarray, query_names: np.ndarray, queries: np.ndarray, threshold: float):
     """(links of each query in this shard, counting copies; forest edges as two arrays of names)."""
     counts = np.zeros(len(queries), np.int64)
-    narrow = unit(queries)
-    wide, wide_base = queries.astype(np.float64), base.astype(np.float64)
-    length, base_length = np.linalg.norm(wide, axis=1), np.linalg.norm(wide_base, axis=1)
-    edges_a, edges_b = [], []
-    for at in range(0, len(queries), AT_ONCE):
-        block = np.arange(at, min(len(queries), at + AT_ONCE))
-        ids, sims = graph.search(narrow[block], graph.beam)
-        full = (ids >= 0).all(axis=1) & (sims[:, -1] >= threshold - SLACK) & (graph.beam < len(base))
-        row, col = np.nonzero((sims >= threshold - SLACK) & (ids >= 0) & ~full[:, None])
-        found = [(block[row], ids[row, col])]
-        dense = block[full]
-        for begin in range(0, len(dense), 256):
-            part = dense[begin : begin + 256]
-            row, col = np.nonzero(narrow[part] @ graph.vectors.T >= threshold - SLACK)
-            found.append((part[row], col))
-        for q, b in found:
-            for begin in range(0, len(q), 200_000):
-                qs, bs = q[begin : begin + 200_000], b[begin : begin + 200_000]
-                cosine = np.einsum("pd,pd->p", wide[qs], wide_base[bs]) / (length[qs] * base_length[bs])
-                real = (cosine >= threshold) & (query_names[qs] != names[bs])
-                qs, bs = qs[real], bs[real]
-                counts += np.bincount(qs, copies[bs], len(queries)).astype(np.int64)
-                kept = _spanning(query_names[qs], names[bs])
-                edges_a.append(kept[0])
-                edges_b.append(kept[1])
-    return counts, *_spanning(np.concatenate(edges_a or [names[:0]]), np.concatenate(edges_b or [names[:0]]))
+    wide = queries.astype(np.float64)
+    length, base_length = np.linalg.norm(wide, axis=1), np.linalg.norm(base, axis=1)
+    edges_a, edges_b = [names[:0]], [names[:0]]
+    for q, b in graph.partners(unit(queries), threshold - SLACK):
+        for begin in range(0, len(q), 200_000):
+            qs, bs = q[begin : begin + 200_000], b[begin : begin + 200_000]
+            cosine = np.einsum("pd,pd->p", wide[qs], base[bs]) / (length[qs] * base_length[bs])
+            real = (cosine >= threshold) & (query_names[qs] != names[bs])
+            qs, bs = qs[real], bs[real]
+            counts += np.bincount(qs, copies[bs], len(queries)).astype(np.int64)
+            kept = _spanning(query_names[qs], names[bs])
+            edges_a.append(kept[0])
+            edges_b.append(kept[1])
+    return counts, *_spanning(np.concatenate(edges_a), np.concatenate(edges_b))
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,81 +333,135 @@ def embedding_groups(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = 0.95,
-    shard_rows: int = SHARD_ROWS,
+    shard_bytes: int = SHARD_BYTES,
     least_shards: int = LEAST_SHARDS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """One row per input row: (id_col, n_links, component_id, kept).
+    """One row per input row: (id_col, n_links, component_id, kept, audit_recall).
 
     Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing,
     as do rows with a null id (component_id null, kept false) and vectors of other lengths.  Equal
     vectors collapse to one before the search and count as links of each other; n_links counts
-    every other row linked directly.  Rows that share an id are one node of the graph.  An empty
-    table gives an empty result; other columns are not looked at.
+    every other row linked directly.  Rows that share an id are one node of the graph.  audit_recall
+    is the least share of links that any shard's audit found.  An empty table gives an empty result;
+    other columns are not looked at.
     """
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    spark = small_batches(table.sparkSession)
+    single = isinstance(table.schema[vector_col].dataType, T.ArrayType) and isinstance(table.schema[vector_col].dataType.elementType, T.FloatType)
+    cell, packed_type = ("float", np.dtype("<f4")) if single else ("double", np.dtype("<f8"))
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{cell}>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.select("id", F.when(usable, F.col("v")).alias("v"))
     real = rows.where("v is not null")
-    unique = materialise(real.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    n = unique.count()
-    shards = max(least_shards, -(-n // shard_rows))
-    blocks = max(1, -(-n // block_rows))
-    dealt = unique.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "rep"), F.lit(shards)))
+    unique = materialise(real.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "vectors")
+    bytes_ = F.col("n") * F.col("s_dim") * 8
+    sizes = unique.groupBy(F.col("dim").alias("s_dim")).agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("shards", F.greatest(F.lit(least_shards), F.ceil(bytes_ / shard_bytes)).cast("int"))
+    sizes = materialise(sizes.withColumn("slices", F.greatest(F.lit(LEAST_SLICES), F.ceil(F.col("shards") / SHARDS_PER_SLICE)).cast("int")), "sizes")
+    tasks = sizes.agg(F.sum(F.col("shards") * F.col("slices"))).first()[0] or 1
+    placed = unique.join(sized(sizes), F.col("dim") == F.col("s_dim")).select("*", F.pmod(F.xxhash64(F.lit("shard"), "rep"), "shards").cast("int").alias("shard"))
+    every_shard = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
+    drawn = F.pmod(F.xxhash64(F.lit("probe"), "rep"), F.lit(1_000_000)) < 1e6 * AUDIT_ROWS / F.col("n")
+    probes = placed.where(drawn).select("dim", every_shard, "rep", "v", F.lit(0).cast("long").alias("copies"))
+
+    fields = ["dim", "shard", "names", "copies", "base", "graph", "recall"]
 
     def build(key, pdf):
-        pdf = pdf.sort_values("rep", ignore_index=True)
-        order = np.random.default_rng(3).permutation(len(pdf))
-        base = np.stack(pdf["v"].to_numpy())[order]
+        own = pdf["copies"].to_numpy() > 0
+        if not own.any():
+            return pd.DataFrame([], columns=fields)
+        held = pdf[own].sort_values("rep", ignore_index=True)
+        base = np.stack(held["v"].to_numpy()).astype(packed_type)
+        others = pdf[~own & ~pdf["rep"].isin(held["rep"])].sort_values("rep")
         graph = Graph.build(unit(base))
-        graph.audit(threshold)
-        return pd.DataFrame(
-            {
-                "dim": [key[0]],
-                "shard": [key[1]],
-                "names": [pdf["rep"].to_numpy(np.int64)[order].tobytes()],
-                "copies": [pdf["copies"].to_numpy(np.int64)[order].tobytes()],
-                "base": [base.tobytes()],
-                "graph": [graph.dump()],
-            }
-        )
+        graph.audit(threshold, unit(np.stack(others["v"].to_numpy())) if len(others) else base[:0].astype(np.float32))
+        packed = [held["rep"].to_numpy(np.int64).tobytes(), held["copies"].to_numpy(np.int64).tobytes(), base.tobytes(), graph.dump()]
+        give_back()
+        return pd.DataFrame([[key[0], key[1], *packed, graph.recall]], columns=fields)
 
     graphs = materialise(
-        dealt.groupBy("dim", "shard").applyInPandas(
-            build, "dim int, shard long, names binary, copies binary, base binary, graph binary"
+        placed.select("dim", "shard", "rep", "v", "copies").unionByName(probes).groupBy("dim", "shard").applyInPandas(
+            build, "dim int, shard int, names binary, copies binary, base binary, graph binary, recall double"
         ),
         "graphs",
     )
-
-    def query(key, graph_pdf, pdf):
-        empty = pd.DataFrame({"a": [], "b": [], "n": []}, dtype="Int64")
-        if not len(graph_pdf) or not len(pdf):
-            return empty
-        row = graph_pdf.iloc[0]
-        names, copies = np.frombuffer(row["names"], np.int64), np.frombuffer(row["copies"], np.int64)
-        base = np.frombuffer(row["base"], np.float64).reshape(len(names), -1)
-        graph = Graph.load(row["graph"], unit(base))
-        own = pdf["rep"].to_numpy(np.int64)
-        counts, a, b = block_links(graph, names, base, copies, own, np.stack(pdf["v"].to_numpy()), threshold)
-        linked = np.flatnonzero(counts)
-        return pd.concat(
-            [
-                pd.DataFrame({"a": own[linked], "b": None, "n": counts[linked]}, dtype="Int64"),
-                pd.DataFrame({"a": a, "b": b, "n": None}, dtype="Int64"),
-            ]
-        )
-
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")).alias("shard")
-    left = graphs.select("*", every_block)
-    right = dealt.select(
-        "dim", "rep", "v", F.pmod(F.xxhash64(F.lit("block"), "rep"), F.lit(blocks)).cast("int").alias("block"), every_shard
-    )
-    keys = ["dim", "shard", "block"]
-    found = materialise(
-        left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(query, "a long, b long, n long"), "found"
+    recall = graphs.agg(F.min("recall")).first()[0]
+
+    def pack(batches):
+        """Vectors in blocks of one length each."""
+        waiting: dict[int, list] = {}
+        count: dict[int, int] = {}
+
+        def block(dim):
+            parts = waiting.pop(dim)
+            count.pop(dim)
+            columns = [[dim], [b"".join(p[0].tobytes() for p in parts)], [b"".join(p[1].tobytes() for p in parts)]]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["dim", "names", "base"])
+
+        for batch in batches:
+            dims, names = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(packed_type)
+            ends = np.cumsum(dims)
+            for dim in np.unique(dims).tolist():
+                which = np.flatnonzero(dims == dim)
+                cells = flat[((ends[which] - dim)[:, None] + np.arange(dim)[None, :]).ravel()].reshape(-1, dim)
+                for at in range(0, len(which), block_rows):
+                    part = slice(at, at + block_rows)
+                    waiting.setdefault(dim, []).append((names[which[part]].astype(np.int64), cells[part]))
+                    count[dim] = count.get(dim, 0) + len(which[part])
+                    if count[dim] >= block_rows:
+                        yield block(dim)
+        for dim in list(waiting):
+            yield block(dim)
+
+    blocks = materialise(unique.select("dim", "rep", "v").mapInArrow(pack, "dim int, names binary, base binary"), "blocks")
+    blocks = blocks.join(sized(sizes), F.col("dim") == F.col("s_dim")).select("*", F.pmod(F.xxhash64("names"), "slices").cast("int").alias("slice"))
+    none = F.lit(None).cast("binary")
+    asked = blocks.select("dim", every_shard, "slices", "slice", F.lit(1).alias("kind"), "names", none.alias("copies"), "base", none.alias("graph"))
+    told = graphs.join(sized(sizes), F.col("dim") == F.col("s_dim")).select(
+        "dim", "shard", "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("kind"), "names", "copies", "base", "graph"
     )
+
+    def meet(batches):
+        graph = at = None
+        edges, many = [], 0
+        out = ["a", "b", "n"]
+
+        def spanned():
+            nonlocal edges, many
+            a, b = _spanning(*[np.concatenate([e[k] for e in edges]) for k in (0, 1)])
+            edges, many = [(a, b)], 0
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=out)
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim, shard, part, kind, names, copies, base, graph_ = (batch.column(k)[r].as_py() for k in range(8))
+                own = np.frombuffer(names, np.int64)
+                vectors = np.frombuffer(base, packed_type).reshape(len(own), dim)
+                if kind == 0:
+                    if edges:
+                        yield spanned()
+                    edges, many, at = [], 0, (dim, shard, part)
+                    held, held_copies, held_base = own, np.frombuffer(copies, np.int64), vectors.astype(np.float64)
+                    graph = Graph.load(graph_, unit(vectors))
+                    continue
+                if at != (dim, shard, part):
+                    continue  # a shard without vectors has no graph
+                counts, a, b = block_links(graph, held, held_base, held_copies, own, vectors, threshold)
+                linked = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(own[linked]), pa.nulls(len(linked), pa.int64()), pa.array(counts[linked])], names=out)
+                edges.append((a, b))
+                many += len(a)
+                if many > 500_000:
+                    spanned()
+        if edges:
+            yield spanned()
+
+    keys = ["dim", "shard", "slice"]
+    stream = told.unionByName(asked).repartitionById(tasks, F.col("shard") * F.col("slices") + F.col("slice"))
+    stream = stream.sortWithinPartitions(*keys, "kind").select(*keys, "kind", "names", "copies", "base", "graph")
+    found = materialise(stream.mapInArrow(meet, "a long, b long, n long"), "found")
     numbers = found.where("b is null").groupBy(F.col("a").alias("c_rep")).agg(F.sum("n").alias("n"))
     groups = components(found.where("b is not null").select("a", "b"))
     named = unique.join(numbers, unique["rep"] == numbers["c_rep"], "left").join(
@@ -369,5 +478,6 @@ def embedding_groups(
     linked = real.join(named, F.col("v") == F.col("u_v")).select("id", "n_links", F.col("component").alias("component_id"))
     alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(
-        F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
-    )
+        F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"),
+        F.lit(recall).cast("double").alias("audit_recall"),
+    )

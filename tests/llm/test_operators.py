@@ -145,18 +145,19 @@ def test_embedding_links_as_brute_force(spark):
     frame = spark.createDataFrame([(int(i), [float(x) for x in vectors[i]], 0) for i in order], "vec_id long, embedding array<float>, label int")
     links, pairs = brute_links(ids, vectors)
     root = grouped(ids, pairs)
-    for options in ({}, {"shard_rows": 40, "block_rows": 100}):
+    for options in ({}, {"shard_bytes": 40 * 24 * 8, "block_rows": 100}):
         found = {r.vec_id: r for r in hnsw.embedding_groups(frame, **options).collect()}
         assert {i: r.n_links for i, r in found.items()} == {i: links[i] for i in ids}
         assert {i: r.component_id for i, r in found.items()} == root
-        assert all(r.kept == (i == root[i]) for i, r in found.items())
+        assert all(r.kept == (i == root[i]) and r.audit_recall >= 0.995 for i, r in found.items())
 
 
 def test_graph_recall_on_random_vectors():
     draw = np.random.default_rng(2)
     vectors = hnsw.unit(draw.normal(size=(3_000, 32)))
     graph = hnsw.Graph.build(vectors)
-    graph.audit(0.95)
+    graph.audit(0.95, hnsw.unit(draw.normal(size=(50, 32))))
+    assert graph.links and not graph.whole
     loaded = hnsw.Graph.load(graph.dump(), vectors)
     queries = hnsw.unit(vectors[::50] + draw.normal(size=(60, 32)) * 0.02)
     ids, _ = loaded.search(queries, loaded.beam)
@@ -165,6 +166,41 @@ def test_graph_recall_on_random_vectors():
     assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids.tolist(), best.tolist())]) >= 0.9
 
 
+def test_graph_of_clusters_in_order_finds_every_link():
+    draw = np.random.default_rng(4)
+    centers = np.repeat(draw.normal(size=(60, 24)), 50, axis=0)
+    vectors = hnsw.unit(centers + draw.normal(size=centers.shape) * 0.03)
+    for base in (vectors, vectors[:40]):  # a shard of a few vectors is a graph as well
+        graph = hnsw.Graph.build(base)
+        graph.audit(0.95, base[:0])
+        assert graph.links
+        found = {(int(a), int(b)) for part in graph.partners(base, 0.95) for a, b in zip(*part)}
+        true = {(int(a), int(b)) for a, b in zip(*np.nonzero(base @ base.T >= 0.95))}
+        assert len(found & true) >= 0.995 * len(true) and graph.recall >= 0.995
+
+
+def test_graph_compares_what_no_path_reaches():
+    draw = np.random.default_rng(4)
+    vectors = hnsw.unit(draw.normal(size=(400, 16)))
+    graph = hnsw.Graph.build(vectors)
+    cut = np.arange(390, 400)
+    graph.links[-1][np.isin(graph.links[-1], cut)] = -1
+    graph.links[-1][cut] = -1
+    assert set(hnsw._unreached(graph.links[-1], graph.sizes[-2])) >= set(cut)
+    graph.islands = cut
+    ids, _ = graph.search(graph.vectors[cut], 32)
+    assert (ids[:, 0] == graph.order[cut]).all()
+
+
+def test_audit_that_cannot_pass_scans_the_shard(monkeypatch):
+    draw = np.random.default_rng(4)
+    vectors = hnsw.unit(draw.normal(size=(500, 16)) * 0.1 + 1)
+    graph = hnsw.Graph.build(vectors)
+    monkeypatch.setattr(hnsw.Graph, "search", lambda self, queries, beam: (np.full((len(queries), beam), -1), np.full((len(queries), beam), -np.inf, np.float32)))
+    graph.audit(0.95, vectors[:0])
+    assert graph.whole and sum(len(q) for q, _ in graph.partners(vectors, 0.95)) == (vectors @ vectors.T >= 0.95).sum()
+
+
 def test_embedding_odd_rows(spark):
     rows = [
         (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]),
