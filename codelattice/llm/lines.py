@@ -21,8 +21,8 @@ from codelattice.llm.shared import materialise, slices, small_batches
 
 #: Words of a chunk at least: shorter repeats are left alone.
 MIN_WORDS = 50
-#: Bits of the filter that says which texts a join may need; its 4 KB parts are broadcast, 16 MB at most.
-FILTER_BITS = 1 << 27
+#: Bits of the filter that says which texts a join may need; its 1,024 parts of 4 KB are broadcast.
+FILTER_BITS = 1 << 25
 _M = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -71,7 +71,7 @@ def _signed(value: int) -> int:
 
 
 def needed_filter(keys: DataFrame) -> DataFrame:
-    """(part, bits): the bitmap of the keys' (long key) places, in parts of 32,768 bits: at most 4,096 rows."""
+    """(part, bits): the bitmap of the keys' (long key) places, in parts of 32,768 bits: at most 1,024 rows."""
     place = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
     return keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
