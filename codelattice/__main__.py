@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codelattice.plans import layout as L
 from codelattice.plans import recognition as R
 from codelattice.sources import images as I
+from codelattice.tables import stored
 
 
 def _images(spark: SparkSession, path: str) -> DataFrame:
@@ -21,14 +22,19 @@ def _images(spark: SparkSession, path: str) -> DataFrame:
     return I.read_table(spark, path) if path.endswith(".parquet") else I.read_pngs(spark, path)
 
 
-def build(spark: SparkSession, source: str, folder: str, count: int, samples: int, label: int | None = None, phases: list[L.Phase] | None = None) -> None:
-    """Lay out the codes of the first count images and store points and sample embeddings in the folder."""
+def build(spark: SparkSession, source: str, folder: str, count: int, samples: int, label: int | None = None, phases: list[L.Phase] | None = None, resume: bool = False) -> None:
+    """Lay out the codes of the first count images and store points, sample embeddings and the log of steps in the folder.
+
+    With resume the layout goes on from the points that the folder holds.
+    """
     images = _images(spark, source)
-    codes = R.encode_images(I.first_images(images, label, count))
-    points = R.layout_points(codes)
+    if resume:
+        points = stored(spark.read.parquet(f"{folder}/points"), "points")
+        side = max(points.agg(F.greatest(F.max("y"), F.max("x"))).first()[0] + 1, L.grid_side(points.count(), 0.5))
+    else:
+        points, side = R.layout_points(R.encode_images(I.first_images(images, label, count))), None
     options = L.Options(R.DEFAULT.code_length, eta=0.0, empty_ratio=0.5)
-    state, _ = L.run(points, options, phases or R.tuned_phases(points))
-    state.write.mode("overwrite").parquet(f"{folder}/points")
+    L.run(points, options, phases or R.tuned_phases(points), side, resume, log=f"{folder}/steps", save=f"{folder}/points")
     recogniser = R.Recogniser.over(spark.read.parquet(f"{folder}/points"))
     every = R.encode_images(images)
     chosen = I.first_images(images, None, samples, need_codes=True, codes=every)
@@ -56,12 +62,13 @@ def main(argv: list[str] | None = None) -> None:
             command.add_argument("--count", type=int, default=64)
             command.add_argument("--samples", type=int, default=64)
             command.add_argument("--label", type=int)
+            command.add_argument("--resume", action="store_true", help="go on from the layout in the folder")
         else:
             command.add_argument("--temperature", type=float, default=0.35)
     asked = parser.parse_args(argv)
     spark = SparkSession.builder.appName("codelattice").getOrCreate()
     if asked.command == "layout":
-        build(spark, asked.images, asked.folder, asked.count, asked.samples, asked.label)
+        build(spark, asked.images, asked.folder, asked.count, asked.samples, asked.label, resume=asked.resume)
         return
     found, queries = predict(spark, asked.images, asked.folder, asked.temperature)
     if asked.command == "predict":

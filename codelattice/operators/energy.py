@@ -60,49 +60,44 @@ def short_weights(raw: DataFrame, eps: float = EPS) -> DataFrame:
     return raw.select("point_id", value.alias("weight"))
 
 
-def moments(points: DataFrame, evaluated: DataFrame, name: str, level: float, eta: float | None) -> tuple[DataFrame, DataFrame]:
-    """Per point the moments of its weights over the evaluated points, and the weights themselves.
-
-    (point_id, s0, sy, sx, sq) with s0 the sum of weights, sy and sx the sums weighted by position
-    and sq by its square; (i, k, s) for the exclusion of a pair's own members.
-    """
+def moments(points: DataFrame, evaluated: DataFrame, name: str, level: float, eta: float | None) -> DataFrame:
+    """(i, s0, sy, sx, sq): per point the sum of its weights over the evaluated points, the sums weighted by position and by its square."""
     met = overlaps(points, evaluated)
     s = weight(name, level, eta, F.col("common"), F.col("ones_i"), F.col("ones_k"))
-    weights = met.select("i", "k", s.alias("s")).where("s > 0")
-    place = evaluated.select(F.col("point_id").alias("k"), "y", "x")
-    y, x = F.col("y").cast("double"), F.col("x").cast("double")
-    sums = weights.join(place, "k").groupBy("i").agg(
+    place = evaluated.select(F.col("point_id").alias("k"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    rows = met.select("i", "k", s.alias("s")).where("s > 0").join(place, "k")
+    y, x = F.col("y"), F.col("x")
+    return rows.groupBy("i").agg(
         F.sum("s").alias("s0"), F.sum(F.col("s") * y).alias("sy"), F.sum(F.col("s") * x).alias("sx"),
         F.sum(F.col("s") * (y * y + x * x)).alias("sq"),
     )
-    return sums, weights
 
 
 def pair_energy_long(pairs: DataFrame, points: DataFrame, evaluated: DataFrame, name: str, level: float, eta: float | None) -> DataFrame:
     """(seq, energy_c, energy_s): sums of weight times squared distance, as they are and swapped.
 
-    A sum of s(k) * |p - k|^2 over all k is s0 * |p|^2 - 2 p . (sy, sx) + sq, so each point's
-    moments serve all its pairs, and a pair costs two lookups and the exclusion of its members.
+    A sum of s(k) * |p - k|^2 over all k is s0 * |p|^2 - 2 p . (sy, sx) + sq, so the moments of the
+    points that are in pairs serve all pairs.  What a pair's other member has put into the sum is
+    taken out by the weight of just these two, computed from their codes.
     """
-    sums, weights = moments(points, evaluated, name, level, eta)
-    sums, weights = stored(sums, "moments"), stored(weights, "weights")
-    place = evaluated.select(F.col("point_id").alias("k"), F.col("y").alias("ky"), F.col("x").alias("kx"))
-    sides = []
+    both = None
     for own, other in (("idx_a", "idx_b"), ("idx_b", "idx_a")):
         side = pairs.where(F.col(own).isNotNull()).select("seq", "y1", "x1", "y2", "x2", F.col(own).alias("i"), F.col(other).alias("other"), F.lit(own == "idx_a").alias("first"))
-        sides.append(side)
-    both = sides[0].unionByName(sides[1])
-    # a pair's other member is left out of the sum; a point never meets itself
-    out = both.join(weights.withColumnRenamed("i", "wi"), (F.col("i") == F.col("wi")) & (F.col("other") == F.col("k")), "left").drop("wi", "k")
-    out = out.join(place.withColumnRenamed("k", "pk"), F.col("other") == F.col("pk"), "left").drop("pk")
-    out = out.join(sums.withColumnRenamed("i", "mi"), F.col("i") == F.col("mi"), "left")
+        both = side if both is None else both.unionByName(side)
+    in_pairs = points.join(both.select(F.col("i").alias("point_id")).distinct(), "point_id", "left_semi")
+    sums = moments(in_pairs, evaluated, name, level, eta).withColumnRenamed("i", "mi")
+    codes = points.select(F.col("point_id").alias("pi"), F.col("bits").alias("own_bits"))
+    members = evaluated.select(F.col("point_id").alias("pk"), F.col("bits").alias("other_bits"), F.col("y").cast("double").alias("ky"), F.col("x").cast("double").alias("kx"))
+    out = both.join(codes, F.col("i") == F.col("pi")).join(members, F.col("other") == F.col("pk"), "left")
+    common = F.size(F.array_intersect("own_bits", "other_bits"))
+    s = F.when(F.col("pk").isNull(), 0.0).otherwise(weight(name, level, eta, common, F.size("own_bits"), F.size("other_bits")))
+    out = out.select("seq", "first", "i", "y1", "x1", "y2", "x2", "ky", "kx", s.alias("s")).join(sums, F.col("i") == F.col("mi"), "left")
 
     def total(y, x):
         y, x = F.col(y).cast("double"), F.col(x).cast("double")
         whole = F.col("s0") * (y * y + x * x) - 2 * (y * F.col("sy") + x * F.col("sx")) + F.col("sq")
-        ky, kx = F.col("ky").cast("double"), F.col("kx").cast("double")
-        member = F.coalesce(F.col("s") * ((y - ky) * (y - ky) + (x - kx) * (x - kx)), F.lit(0.0))
-        return F.coalesce(whole, F.lit(0.0)) - member
+        member = F.col("s") * ((y - F.col("ky")) * (y - F.col("ky")) + (x - F.col("kx")) * (x - F.col("kx")))
+        return F.coalesce(whole, F.lit(0.0)) - F.coalesce(member, F.lit(0.0))
 
     here, there = total("y1", "x1"), total("y2", "x2")
     parts = out.select("seq", F.when(F.col("first"), here).otherwise(there).alias("c"), F.when(F.col("first"), there).otherwise(here).alias("s"))
@@ -114,7 +109,8 @@ def pair_energy_long(pairs: DataFrame, points: DataFrame, evaluated: DataFrame,
 
 def pair_stats(pairs: DataFrame, points: DataFrame, evaluated: DataFrame, name: str, level: float, eta: float | None) -> DataFrame:
     """(seq, n, min/max/sum of s1, s2, d1, d2) over the evaluated points that have a weight with a pair's member."""
-    met = overlaps(points, evaluated)
+    members = pairs.select(F.col("idx_a").alias("point_id")).unionByName(pairs.select(F.col("idx_b").alias("point_id"))).where("point_id is not null").distinct()
+    met = overlaps(points.join(members, "point_id", "left_semi"), evaluated)
     s = weight(name, level, eta, F.col("common"), F.col("ones_i"), F.col("ones_k"))
     weights = met.select(F.col("i").alias("wi"), "k", s.alias("s")).where("s > 0")
     halves = []

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelattice.tables import ordered_index, small
@@ -46,46 +49,45 @@ def thinned(log: DataFrame, every: int, event: str = "event", seq: str = "seq")
     return rows.where((F.col("__n") - F.col("__first")) % every == 0).select(log.columns)
 
 
-def base_radius(step: Column, start: int, end: int, total: int) -> Column:
+def decayed(step: int, start: int, end: int, total: int) -> int:
     """Linear decay from start to end over the steps, rounded half to even, not below end."""
-    if total <= 1:
-        return F.lit(end)
-    decayed = start - (start - end) * (step / F.lit(max(1, total - 1)))
-    return F.greatest(F.lit(end), F.bround(decayed, 0).cast("int"))
+    return end if total <= 1 else max(end, round(start - (start - end) * (step / (total - 1))))
+
+
+def followed(swaps: Iterable[tuple[int, int]], start: int, end: int, total: int, trigger: float, level: float, raise_by: float | None) -> Iterator[tuple[int, float, float, int]]:
+    """(radius, ratio, threshold, most) for each (step, swaps) in order: the radius of the step, the ratio of
+    its swaps to the reference number, the threshold after it, and the largest radius that later steps may use.
+
+    A ratio at or below the trigger halves the decayed radius of the step into that bound, makes the
+    step the reference, and raises the threshold, to 1 at most.
+    """
+    most, reference = max(start, end), 0
+    for step, n in swaps:
+        radius = decayed(step, start, end, total)
+        used, reference = min(radius, most), reference or max(1, n)
+        ratio = n / reference
+        if ratio <= trigger:
+            most, reference = min(most, max(end, radius // 2)), max(1, n)
+            level = min(1.0, level + (raise_by or 0.0))
+        yield used, ratio, level, most
 
 
 def adaptive(log: DataFrame, start: int, end: int, total: int, trigger: float, lambda_start: float, lambda_step: float | None, run: str = "run", step: str = "step", swaps: str = "swaps") -> DataFrame:
     """(run, step, radius, ratio, lambda): the radius used at each step, the swap ratio after it and the threshold then.
 
-    A ratio to the reference number of swaps at or below the trigger lowers the radius cap to half
-    the step's radius, makes this step the reference, and raises the threshold.  The state depends
-    on every step before, so a run's steps are folded in order as one array.
+    Every step depends on all before it, so a run is followed in order by one task, in time and
+    memory in proportion to its steps; runs are independent.
     """
-    steps = F.array_sort(F.collect_list(F.struct(F.col(step).alias("step"), F.col(swaps).cast("long").alias("swaps"))))
-    row = "array<struct<step:bigint,radius:int,ratio:double,lambda:double>>"
-    start_state = F.struct(
-        F.lit(None).cast("long").alias("initial"), F.lit(max(start, end)).alias("cap"), F.lit(float(lambda_start)).alias("lam"),
-        F.array().cast(row).alias("out"),
-    )
-
-    def fold(state, s):
-        base = base_radius(s["step"], start, end, total)
-        initial = F.coalesce(state["initial"], F.greatest(F.lit(1).cast("long"), s["swaps"]))
-        ratio = s["swaps"] / initial
-        hit = ratio <= trigger
-        half = F.greatest(F.lit(end), F.floor(base * 0.5).cast("int"))
-        raised = F.least(F.lit(1.0), state["lam"] + lambda_step) if lambda_step is not None else state["lam"]
-        lam = F.when(hit, raised).otherwise(state["lam"])
-        entry = F.struct(s["step"].cast("long").alias("step"), F.least(base, state["cap"]).alias("radius"), ratio.alias("ratio"), lam.alias("lambda"))
-        return F.struct(
-            F.when(hit, F.greatest(F.lit(1).cast("long"), s["swaps"])).otherwise(initial).alias("initial"),
-            F.when(hit, F.least(state["cap"], half)).otherwise(state["cap"]).alias("cap"),
-            lam.alias("lam"),
-            F.concat(state["out"], F.array(entry)).cast(row).alias("out"),
-        )
-
-    folded = log.groupBy(run).agg(F.aggregate(steps, start_state, fold, lambda s: s["out"]).alias("rows"))
-    return folded.select(run, F.inline("rows"))
+    kind = log.schema[run].dataType.simpleString()
+
+    def follow(key, pdf):
+        pdf = pdf.sort_values("step", ignore_index=True)
+        pairs = zip(pdf["step"].tolist(), pdf["swaps"].tolist())
+        found = list(followed(pairs, start, end, total, trigger, float(lambda_start), lambda_step))
+        return pd.DataFrame({run: [key[0]] * len(pdf), "step": pdf["step"], "radius": [f[0] for f in found], "ratio": [f[1] for f in found], "lambda": [f[2] for f in found]})
+
+    rows = log.select(run, F.col(step).cast("long").alias("step"), F.col(swaps).cast("long").alias("swaps"))
+    return rows.groupBy(run).applyInPandas(follow, f"`{run}` {kind}, step long, radius int, ratio double, lambda double")
 
 
 def auto_radius(accepted: DataFrame, run: str = "run") -> DataFrame:

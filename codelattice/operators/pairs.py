@@ -7,28 +7,54 @@ from pyspark.sql import functions as F
 
 from codelattice.functions import bits as B
 from codelattice.functions.similarity import similarity
-from codelattice.tables import BROADCAST_ROWS
+from codelattice.tables import BROADCAST_ROWS, stored
 
 
-def overlaps(left: DataFrame, right: DataFrame, distinct_ids: bool = True) -> DataFrame:
+#: Meetings over an inverted index that cost as much as one comparison of packed codes.
+MEETINGS_PER_COMPARISON = 3
+
+
+def meetings(left: DataFrame, right: DataFrame) -> tuple[int, int]:
+    """(rows that an inverted index of both sides makes, largest bit + 1), from the number of codes that hold each bit."""
+    held = lambda side: side.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count("*").alias("n"))
+    a, b = held(left).withColumnRenamed("n", "n_a"), held(right).withColumnRenamed("n", "n_b")
+    row = a.join(b, "bit").agg(F.sum(F.col("n_a").cast("decimal(38,0)") * F.col("n_b")), F.max("bit")).first()
+    return (int(row[0]), row[1] + 1) if row[0] is not None else (0, 0)
+
+
+def overlaps(left: DataFrame, right: DataFrame, distinct_ids: bool = True, ordered: bool = False, rows_per_block: int = 512) -> DataFrame:
     """(i, k, common, ones_i, ones_k) of every pair that shares an active bit; both sides are (point_id, bits).
 
-    The bits are the join key, so pairs without a common bit, whose similarity is 0, never exist.
+    Sparse codes meet on their bits, so pairs without a common bit, whose similarity is 0, never
+    exist.  Where the bits are so dense that this makes more rows than there are pairs to compare,
+    blocks of packed codes meet instead.  ordered: only pairs with i < k.
     """
-    a = left.select(F.col("point_id").alias("i"), F.size("bits").alias("ones_i"), F.explode("bits").alias("bit"))
-    b = right.select(F.col("point_id").alias("k"), F.size("bits").alias("ones_k"), F.explode("bits").alias("bit"))
-    met = a.join(b, "bit")
-    if distinct_ids:
-        met = met.where("i != k")
-    return met.groupBy("i", "k", "ones_i", "ones_k").agg(F.count("*").cast("int").alias("common"))
+    keep = F.col("i") < F.col("k") if ordered else (F.col("i") != F.col("k")) if distinct_ids else F.lit(True)
+    many, length = meetings(left, right)
+    rows = right.count()
+    if many <= MEETINGS_PER_COMPARISON * left.count() * rows:
+        a = left.select(F.col("point_id").alias("i"), F.size("bits").alias("ones_i"), F.explode("bits").alias("bit"))
+        b = right.select(F.col("point_id").alias("k"), F.size("bits").alias("ones_k"), F.explode("bits").alias("bit"))
+        met = a.join(b, "bit").where(keep)
+        return met.groupBy("i", "k", "ones_i", "ones_k").agg(F.count("*").cast("int").alias("common"))
+    # words of bits up to the largest that both sides have; ones count all bits
+    own = lambda side, key, ones: side.select(F.col("point_id").alias(key), F.size("bits").alias(ones), B.pack(F.col("bits"), length).alias("words"))
+    blocks = -(-rows // rows_per_block)
+    number = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("block")
+    packed = own(right, "k", "ones_k").groupBy(number).agg(F.collect_list(F.struct("k", "ones_k", "words")).alias("others"))
+    if rows <= BROADCAST_ROWS:
+        packed = F.broadcast(packed)
+    facing = stored(own(left, "i", "ones_i").repartition(left.sparkSession.sparkContext.defaultParallelism), "packed").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = facing.join(packed, "block").select("i", "ones_i", "words", F.explode("others").alias("o")).select("i", "ones_i", "words", "o.k", "o.ones_k", F.col("o.words").alias("o_words"))
+    # one expression per word, which generated code unrolls
+    common = sum((F.bit_count(F.get("words", F.lit(w)).bitwiseAND(F.get("o_words", F.lit(w)))) for w in range((length + 63) // 64)), F.lit(0))
+    return met.where(keep).select("i", "k", common.cast("int").alias("common"), "ones_i", "ones_k").where("common > 0")
 
 
 def similarity_pairs(points: DataFrame, name: str) -> DataFrame:
     """(i, j, sim) for i < j with sim > 0: the upper half of the similarity matrix without its zeros and diagonal."""
-    a = points.select(F.col("point_id").alias("i"), F.size("bits").alias("ones_i"), F.explode("bits").alias("bit"))
-    b = points.select(F.col("point_id").alias("j"), F.size("bits").alias("ones_j"), F.explode("bits").alias("bit"))
-    met = a.join(b, "bit").where("i < j").groupBy("i", "j", "ones_i", "ones_j").agg(F.count("*").alias("common"))
-    return met.select("i", "j", similarity(name, F.col("common"), F.col("ones_i"), F.col("ones_j")).alias("sim"))
+    met = overlaps(points, points, ordered=True)
+    return met.select("i", F.col("k").alias("j"), similarity(name, F.col("common"), F.col("ones_i"), F.col("ones_k")).alias("sim"))
 
 
 def similarity_block(rows: DataFrame, columns: DataFrame, name: str) -> DataFrame:

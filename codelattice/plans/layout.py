@@ -10,14 +10,18 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.functions.display import hue_rgb, rescaled_hue
 from codelattice.operators import energy
 from codelattice.operators.greedy import accept_swaps
+from codelattice.operators.monitors import decayed, followed
 from codelattice.plans.sampling import filled_up, random_pairs, short_pairs, uniform
-from codelattice.tables import drop_stored, ordered_index, stored
+from codelattice.tables import drop_stored, ordered_index, stored, sweep, written
+
+#: A row of the log of steps.
+STEP_LOG = "run string, step long, swaps long, pairs long, energy double, mode string, radius double, lambda double"
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,7 @@ class Options:
     stop_window: int = 20
     stop_delta: float = 5e-4
     stop_ratio: float = 0.003
+    stall_window: int = 1
 
 
 @dataclass
@@ -74,9 +79,9 @@ def with_members(ends: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def evaluated_subset(state: DataFrame, size: int, seed: int, epoch: int) -> DataFrame:
-    """About size of the points, drawn by a hash; all where there are no more."""
+    """So many of the points, drawn by a hash; all where there are no more."""
     n = state.count()
-    return state if n <= size else state.where(uniform(seed, "subset", epoch, F.col("point_id")) < size / n)
+    return state if n <= size else state.orderBy(uniform(seed, "subset", epoch, F.col("point_id")), "point_id").limit(size)
 
 
 @dataclass(frozen=True)
@@ -109,43 +114,17 @@ class Phase:
     energy_every: int = 1
 
 
-class Schedule:
-    """The adaptive state of a phase on the driver: a few numbers that each step's swaps move on."""
-
-    def __init__(self, config: Adaptive, steps: int):
-        self.config, self.steps = config, max(1, steps)
-        self.cap, self.reference = max(config.start, config.end), None
-
-    def base(self, step: int) -> int:
-        if self.steps <= 1:
-            return self.config.end
-        way = step / (self.steps - 1)
-        return max(self.config.end, round(self.config.start - (self.config.start - self.config.end) * way))
-
-    def radius(self, step: int) -> int:
-        return min(self.base(step), self.cap)
-
-    def after(self, step: int, swaps: int, level: float) -> float:
-        """The threshold for the next step."""
-        self.reference = max(1, swaps) if self.reference is None else self.reference
-        if swaps / self.reference > self.config.trigger:
-            return level
-        self.reference = max(1, swaps)
-        self.cap = min(self.cap, max(self.config.end, self.base(step) // 2))
-        return level if self.config.lambda_step is None else min(1.0, level + self.config.lambda_step)
-
-
 def step(state: DataFrame, options: Options, side: int, phase: Phase, radius: float | None, number: int, level: float) -> tuple[DataFrame, DataFrame]:
-    """One step: the new state and the swaps made (stored)."""
-    spark = state.sparkSession
+    """One step over a state with numbered points: the new state and the swaps made; all else that it stores is deleted."""
+    mark = written()
     reach = max(1.0, float(radius or options.energy_radius or 7))
     if phase.mode == "long":
-        ends = random_pairs(spark, phase.pairs, side, radius, options.seed, number)
+        ends = random_pairs(state, phase.pairs, side, radius, options.seed, number)
     else:
         raw = energy.local_energy(state, options.length, reach, options.similarity, level, options.eta) if phase.weighted else None
         weights = None if raw is None else energy.short_weights(raw)
         ends = stored(short_pairs(state, options.length, options.similarity, side, phase.pairs, reach, options.seed, number, phase.cutoff, weights, phase.tiles), "ends")
-        ends = filled_up(ends, phase.pairs, side, reach, options.seed, number)
+        ends = filled_up(ends, state, phase.pairs, side, reach, options.seed, number)
     sampled = stored(with_members(ends, state), "pairs")
     if phase.mode == "long":
         known = evaluated_subset(state, options.subset, options.seed, number // max(1, phase.refresh))
@@ -159,48 +138,84 @@ def step(state: DataFrame, options: Options, side: int, phase: Phase, radius: fl
     )
     moved = state.join(moves, F.col("point_id") == F.col("m_id"), "left")
     others = [c for c in state.columns if c not in ("y", "x")]
-    return stored(moved.select(*others, F.coalesce("ny", "y").alias("y"), F.coalesce("nx", "x").alias("x")), "layout"), taken
+    following = stored(moved.select(*others, F.coalesce("ny", "y").alias("y"), F.coalesce("nx", "x").alias("x")), "layout")
+    sweep(state.sparkSession, mark, keep=(following, taken))
+    return following, taken
+
 
+def write_step(spark: SparkSession, folder: str, run_name: str, number: int, phase: Phase, swaps: int, value: float | None, radius: float | None, level: float) -> None:
+    """Append a step to the log that streaming.telemetry watches; energy is null where it was not measured."""
+    row = (run_name, number, swaps, phase.pairs, value, phase.mode, None if radius is None else float(radius), level)
+    spark.createDataFrame([row], STEP_LOG).coalesce(1).write.mode("append").parquet(folder)
 
-def run(points: DataFrame, options: Options, phases: list[Phase], side: int | None = None) -> tuple[DataFrame, Progress]:
-    """Place points (point_id, bits, ...) and run the phases.
 
-    A phase ends early when a step's swaps are at most stop_ratio of its pairs, or when the average
-    energy has changed by less than stop_delta over stop_window measurements.
+def numbered(points: DataFrame) -> DataFrame:
+    """Adds number, the place of every point in the order of ids, from which points are drawn evenly."""
+    return ordered_index(points, [F.col("point_id").asc()], "number")
+
+
+def run(
+    points: DataFrame, options: Options, phases: list[Phase], side: int | None = None, resume: bool = False,
+    log: str | None = None, save: str | None = None, run_name: str = "layout",
+) -> tuple[DataFrame, Progress]:
+    """Place points (point_id, bits, ...) and run the phases; with resume the points keep the y and x they have.
+
+    A phase ends early when its last stall_window steps' swaps are on average at most stop_ratio of
+    their pairs, or when the average energy has changed by less than stop_delta over stop_window
+    measurements.  log: a folder to which every step is appended.  save: a folder that gets the
+    layout (without its working column) whenever a phase ends, early or not, so a run can be resumed.
     """
+    spark = points.sparkSession
     side = side or grid_side(points.count(), options.empty_ratio)
-    state = stored(place(points, side, options.seed), "layout")
+    mark = written()
+    points = numbered(points.drop("number"))
+    state = stored(points if resume else place(points, side, options.seed), "layout")
+    sweep(spark, mark, keep=(state,))
     progress = Progress()
     reach = options.energy_radius or max(1, min(side // 2, 15))
     number, level = 0, options.level
     distance, distances = 0.0, 0
     for phase in phases:
-        schedule = Schedule(phase.adaptive, phase.steps) if phase.adaptive else None
+        made: list[tuple[int, int]] = []
         recent: list[float] = []
+        plan, entry_level, widest = phase.adaptive, level, None
         for k in range(phase.steps):
-            radius = schedule.radius(k) if schedule else phase.radius
+            radius = phase.radius
+            if plan:
+                now = decayed(k, plan.start, plan.end, phase.steps)
+                radius = now if widest is None else min(now, widest)
             if radius is None and phase.mode == "short" and distances:
                 radius = max(1, round(distance / distances))
+            mark = written()
             following, taken = step(state, options, side, phase, radius, number, level)
-            drop_stored(state)
-            state = following
-            number += 1
             far = F.sqrt(((F.col("y1") - F.col("y2")) * (F.col("y1") - F.col("y2")) + (F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2"))).cast("double"))
             swaps, total = taken.agg(F.count("*"), F.coalesce(F.sum(far), F.lit(0.0))).first()
+            before, state = state, following
             if phase.mode == "long":
                 distance, distances = distance + total, distances + swaps
             progress.swaps.append(swaps)
-            if swaps <= options.stop_ratio * phase.pairs:
-                break
+            made.append((k, swaps))
+            value = None
             if k % phase.energy_every == 0:
                 raw = energy.local_energy(state, options.length, reach, options.similarity, level, options.eta)
-                progress.energies.append(energy.average_energy(raw).first()[0])
-                recent = [*recent, progress.energies[-1]][-options.stop_window - 1 :]
-            if schedule:
-                level = schedule.after(k, swaps, level)
+                value = energy.average_energy(raw).first()[0]
+                progress.energies.append(value)
+                recent = [*recent, value][-options.stop_window - 1 :]
+            sweep(spark, mark, keep=(state,))
+            drop_stored(before)
+            if log:
+                write_step(spark, log, run_name, number, phase, swaps, value, radius, level)
+            number += 1
+            last = made[-options.stall_window :]
+            if len(last) == options.stall_window and sum(n for _, n in last) <= options.stop_ratio * phase.pairs * len(last):
+                break
+            if plan:
+                *_, (_, _, level, widest) = followed(made, plan.start, plan.end, phase.steps, plan.trigger, entry_level, plan.lambda_step)
             if len(recent) > options.stop_window and max(abs(a - b) for a, b in zip(recent, recent[1:])) < options.stop_delta:
                 break
-    return state, progress
+        if save:
+            state.drop("number").write.mode("overwrite").parquet(save)
+    return state.drop("number"), progress
 
 
 def render(points: DataFrame, placement: DataFrame, height: int, width: int) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions import bits as B
 from codelattice.functions.similarity import similarity
 
-ATTEMPTS = 5
+ATTEMPTS, DRAWS = 5, 50
 
 
 def uniform(*parts) -> Column:
@@ -19,28 +19,50 @@ def uniform(*parts) -> Column:
     return F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).bitwiseAND((1 << 52) - 1) / float(1 << 52)
 
 
-def near_cell(y: Column, x: Column, radius: float, low_y, high_y, low_x, high_x, *parts) -> tuple[Column, Column]:
-    """A cell drawn evenly from the disc about (y, x), brought to the edge of the bounds (inclusive) where outside."""
-    length, turn = F.sqrt(uniform(*parts, 1)) * float(radius), uniform(*parts, 2) * (2 * math.pi)
-    hold = lambda v, low, high: F.greatest(low, F.least(high, F.bround(v, 0).cast("int")))
-    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return (
-        hold(y + length * F.sin(turn), as_column(low_y), as_column(high_y)),
-        hold(x + length * F.cos(turn), as_column(low_x), as_column(high_x)),
-    )
+def other_cell(y: Column, x: Column, low_y: Column, high_y: Column, low_x: Column, high_x: Column, *parts) -> Column:
+    """struct(y, x): a cell of the bounds (inclusive) drawn evenly, never (y, x) itself; null where there is no other."""
+    wide = high_x - low_x + 1
+    others = (high_y - low_y + 1) * wide - 1
+    own = (y - low_y) * wide + (x - low_x)
+    drawn = F.floor(uniform(*parts) * others)
+    place = F.when(drawn >= own, drawn + 1).otherwise(drawn)
+    cell = F.struct((low_y + F.floor(place / wide)).cast("int").alias("y"), (low_x + place % wide).cast("int").alias("x"))
+    return F.when(others > 0, cell)
 
 
-def random_pairs(spark: SparkSession, count: int, side: int, radius: float | None, *parts) -> DataFrame:
-    """(seq, y1, x1, y2, x2): random cells and other cells, within the radius where one is given."""
-    rows = spark.range(count).withColumnRenamed("id", "seq")
-    draw = lambda n: F.floor(uniform(*parts, F.col("seq"), n) * side).cast("int")
-    rows = rows.withColumn("y1", draw(3)).withColumn("x1", draw(4))
-    if radius is None:
-        rows = rows.withColumn("y2", draw(5)).withColumn("x2", draw(6))
-    else:
-        y2, x2 = near_cell(F.col("y1"), F.col("x1"), radius, 0, side - 1, 0, side - 1, *parts, F.col("seq"))
-        rows = rows.select("*", y2.alias("y2"), x2.alias("x2"))
-    return rows.where("y1 != y2 or x1 != x2")  # a 1 x 1 grid has no other cell
+def near_cell(y: Column, x: Column, radius: float, low_y, high_y, low_x, high_x, *parts) -> Column:
+    """struct(y, x): a cell drawn evenly from those of the disc about (y, x) and the bounds, never (y, x) itself.
+
+    Fifty draws from the square about the cell are made and the first that fits is taken; where none
+    does, a cell of the bounds is drawn evenly.
+    """
+    bounds = [v if isinstance(v, Column) else F.lit(v) for v in (low_y, high_y, low_x, high_x)]
+    reach = int(radius)
+    aside = lambda n, axis: (F.floor(uniform(*parts, n, axis) * (2 * reach + 1)) - reach).cast("int")
+    moves = F.transform(F.sequence(F.lit(1), F.lit(DRAWS)), lambda n: F.struct(aside(n, 1).alias("dy"), aside(n, 2).alias("dx")))
+
+    def fits(m):
+        there = (m["dy"] * m["dy"] + m["dx"] * m["dx"]).between(1, reach * reach)
+        return there & (y + m["dy"]).between(bounds[0], bounds[1]) & (x + m["dx"]).between(bounds[2], bounds[3])
+
+    first = F.get(F.filter(moves, fits), F.lit(0))
+    near = F.struct((y + first["dy"]).cast("int").alias("y"), (x + first["dx"]).cast("int").alias("x"))
+    return F.when(first.isNotNull(), near).otherwise(other_cell(y, x, *bounds, *parts, 0))
+
+
+def random_pairs(state: DataFrame, count: int, side: int, radius: float | None, *parts) -> DataFrame:
+    """(seq, y1, x1, y2, x2): points drawn evenly, and other cells, within the radius where one is given.
+
+    state: (number, y, x, ...) with the points numbered from 0.
+    """
+    n = state.count()
+    rows = state.sparkSession.range(count).select(F.col("id").alias("seq"), F.floor(uniform(*parts, F.col("id"), 3) * n).alias("drawn"))
+    rows = rows.join(state.select("number", F.col("y").alias("y1"), F.col("x").alias("x1")), F.col("drawn") == F.col("number"))
+    ends = [F.lit(v) for v in (0, side - 1, 0, side - 1)]
+    own = (F.col("y1"), F.col("x1"))
+    other = other_cell(*own, *ends, *parts, F.col("seq"), 5) if radius is None else near_cell(*own, radius, *ends, *parts, F.col("seq"))
+    # a 1 x 1 grid has no other cell
+    return rows.select("seq", "y1", "x1", other.alias("o")).where("o is not null").select("seq", "y1", "x1", F.col("o.y").alias("y2"), F.col("o.x").alias("x2"))
 
 
 def tile_cuts(side: int, tiles: int, *parts) -> tuple[list[int], list[int]]:
@@ -92,8 +114,8 @@ def short_pairs(
     drawn = rows.join(F.broadcast(sums), "tile").withColumn("copies", copies).where("copies > 0")
     slots = drawn.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("slot"))
     tries = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(ATTEMPTS))).alias("attempt"))
-    y2, x2 = near_cell(F.col("y"), F.col("x"), radius, F.col("y_low"), F.col("y_high"), F.col("x_low"), F.col("x_high"), seed, step, F.col("point_id"), F.col("slot"), F.col("attempt"))
-    tries = tries.select("*", y2.alias("y2"), x2.alias("x2")).where("y != y2 or x != x2")
+    other = near_cell(F.col("y"), F.col("x"), radius, F.col("y_low"), F.col("y_high"), F.col("x_low"), F.col("x_high"), seed, step, F.col("point_id"), F.col("slot"), F.col("attempt"))
+    tries = tries.select("*", other.alias("o")).where("o is not null").select("*", F.col("o.y").alias("y2"), F.col("o.x").alias("x2")).drop("o")
     other = rows.select(F.col("y").alias("oy"), F.col("x").alias("ox"), F.col("words").alias("o_words"), F.col("ones").alias("o_ones"))
     met = tries.join(other, (F.col("y2") == F.col("oy")) & (F.col("x2") == F.col("ox")), "left")
     if cutoff is not None:
@@ -105,7 +127,7 @@ def short_pairs(
     return first.select(order.alias("seq"), "p.y1", "p.x1", "p.y2", "p.x2")
 
 
-def filled_up(pairs: DataFrame, count: int, side: int, radius: float | None, seed: int, step: int) -> DataFrame:
+def filled_up(pairs: DataFrame, state: DataFrame, count: int, side: int, radius: float | None, seed: int, step: int) -> DataFrame:
     """The pairs, and random ones from the whole grid for those missing from count."""
     missing = count - pairs.count()
-    return pairs if missing <= 0 else pairs.unionByName(random_pairs(pairs.sparkSession, missing, side, radius, seed, step, "fill"))
+    return pairs if missing <= 0 else pairs.unionByName(random_pairs(state, missing, side, radius, seed, step, "fill"))

@@ -89,6 +89,11 @@ def q_sim_all_pairs(spark, sf_dir):
     return similarity_pairs(codes(spark, sf_dir), "cosine").select("i", "j", F.round("sim", 9).alias("sim"))
 
 
+def q_sim_all_pairs_dense(spark, sf_dir):
+    """The same over codes with half of their bits active."""
+    return similarity_pairs(codes(spark, sf_dir, DENSE), "cosine").select("i", "j", F.round("sim", 9).alias("sim"))
+
+
 def q_sim_block(spark, sf_dir):
     rows = codes(spark, sf_dir)
     return similarity_block(rows.where("label = 3"), rows, "jaccard").select("i", "k", F.round("sim", 9).alias("sim"))
@@ -211,6 +216,7 @@ ORACLE = {
         SELECT point_id, round(CASE WHEN s >= 0.5 THEN s ELSE 0 END, 9) AS hard, round(s * 0.5::DOUBLE, 9) AS flat,
                round(s * (1 / (1 + exp(-10::DOUBLE * (s - 0.5::DOUBLE)))), 9) AS soft FROM s""",
     "q_sim_all_pairs": f"WITH {CODES_SQL}, {OVERLAP_SQL} SELECT i, k AS j, round(s, 9) AS sim FROM cosines WHERE i < k",
+    "q_sim_all_pairs_dense": f"WITH {DENSE_SQL}, {OVERLAP_SQL} SELECT i, k AS j, round(s, 9) AS sim FROM cosines WHERE i < k",
     "q_sim_block": f"""WITH {CODES_SQL}, {OVERLAP_SQL} SELECT i, k, round(common / (a.ones + b.ones - common)::DOUBLE, 9) AS sim
         FROM overlap JOIN codes a ON i = a.point_id JOIN codes b ON k = b.point_id WHERE a.label = 3""",
     "q_angle_similarity": f"""WITH {EVENTS_SQL}, d AS (SELECT seq, abs(angle - (image_id * 37 % 360)::DOUBLE) % 360 AS d FROM measured)

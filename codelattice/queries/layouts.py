@@ -9,7 +9,7 @@ from codelattice.operators import energy as N
 from codelattice.operators.greedy import accept_swaps, spread_out
 from codelattice.operators.spatial import coverage, fill_radius
 from codelattice.plans import layout as L
-from codelattice.queries.fixtures import DETECTORS_SQL, LENGTH, OVERLAP_SQL, PAIRS_SQL, POINTS_SQL, codes, detectors, pairs, points, side_of, table
+from codelattice.queries.fixtures import CODES_SQL, DENSE, DENSE_SQL, DETECTORS_SQL, LENGTH, OVERLAP_SQL, PAIRS_SQL, POINTS_SQL, codes, detectors, pairs, points, side_of, table
 
 SIM = ("cosine", 0.65, 10.0)
 HARD = ("cosine", 0.6, None)
@@ -64,6 +64,13 @@ def q_pair_energy_long(spark, sf_dir):
     return _rounded(_long(spark, sf_dir))
 
 
+def q_pair_energy_long_dense(spark, sf_dir):
+    """The same over codes with half of their bits active."""
+    placed = points(spark, sf_dir)
+    dense = placed.drop("bits").join(codes(spark, sf_dir, DENSE).select("point_id", "bits"), "point_id")
+    return _rounded(N.pair_energy_long(pairs(spark, sf_dir, placed), dense, dense, *SIM))
+
+
 def q_pair_energy_short(spark, sf_dir):
     return _rounded(_short(spark, sf_dir))
 
@@ -175,7 +182,7 @@ def q_render(spark, sf_dir):
 def q_layout_run(spark, sf_dir):
     """A short run over all codes; its random choices have no SQL, and tests check its invariants."""
     options = L.Options(LENGTH, level=0.5, subset=100_000, empty_ratio=0.5)
-    state, _ = L.run(codes(spark, sf_dir), options, [L.Phase("long", 1, 200), L.Phase("short", 1, 200, 4, cutoff=0.2, weighted=True, tiles=4)], side_of(spark, sf_dir))
+    state, _ = L.run(codes(spark, sf_dir), options, [L.Phase("long", 2, 200), L.Phase("short", 2, 200, 4, cutoff=0.2, weighted=True, tiles=4)], side_of(spark, sf_dir))
     return state.select("point_id", "y", "x")
 
 
@@ -221,7 +228,38 @@ LEVELS_SQL = f"""{POINTS_SQL}, {OVERLAP_SQL}, {DETECTORS_SQL}, activation AS (
     HAVING sum(value * energy) / own >= 0.1
 )"""
 
+#: Ordered greedy selections: one row per round, with what has been used so far as a list.
+SWAPS_SQL = f"""WITH RECURSIVE {POINTS_SQL}, {PAIRS_SQL}, ordered AS (
+    SELECT *, y1 * side + x1 AS a, y2 * side + x2 AS b, row_number() OVER (ORDER BY seq) AS n FROM pairs, side
+), walk AS (
+    SELECT 0::BIGINT AS n, []::BIGINT[] AS used, NULL::BIGINT AS seq, false AS took
+    UNION ALL
+    SELECT o.n, CASE WHEN list_contains(used, o.a) OR list_contains(used, o.b) THEN used ELSE list_concat(used, [o.a::BIGINT, o.b::BIGINT]) END, o.seq,
+           NOT (list_contains(used, o.a) OR list_contains(used, o.b))
+    FROM walk w JOIN ordered o ON o.n = w.n + 1
+) SELECT seq, y1, x1, y2::INT AS y2, x2::INT AS x2 FROM walk JOIN pairs USING (seq) WHERE took"""
+SPACED_SQL = f"""WITH RECURSIVE {POINTS_SQL}, ordered AS (SELECT point_id, y, x, row_number() OVER (ORDER BY point_id) AS n FROM points
+), walk AS (
+    SELECT 0::BIGINT AS n, []::STRUCT(y INT, x INT)[] AS held, NULL::BIGINT AS point_id, false AS took
+    UNION ALL
+    SELECT o.n, CASE WHEN len(list_filter(held, lambda h: (h.y - o.y) * (h.y - o.y) + (h.x - o.x) * (h.x - o.x) < 23.04)) > 0 THEN held ELSE list_append(held, {{'y': o.y, 'x': o.x}}) END,
+           o.point_id, len(list_filter(held, lambda h: (h.y - o.y) * (h.y - o.y) + (h.x - o.x) * (h.x - o.x) < 23.04)) = 0
+    FROM walk w JOIN ordered o ON o.n = w.n + 1
+) SELECT p.point_id AS rank, y, x FROM walk JOIN points p USING (point_id) WHERE took"""
+MERGED_SQL = f"""WITH RECURSIVE {LEVELS_SQL}, ranked AS (
+    SELECT image_id, list_distinct([bit % 97, bit * 3 % 97, bit * 7 % 97]) AS bits, row_number() OVER (PARTITION BY image_id ORDER BY level * "lambda" DESC, detector_id) AS n
+    FROM levels JOIN detectors USING (detector_id)
+), walk AS (
+    SELECT DISTINCT image_id, 0::BIGINT AS n, []::BIGINT[] AS have FROM ranked
+    UNION ALL
+    SELECT w.image_id, r.n, CASE WHEN len(list_distinct(list_concat(have, r.bits))) <= 20 THEN list_distinct(list_concat(have, r.bits)) ELSE have END
+    FROM walk w JOIN ranked r ON r.image_id = w.image_id AND r.n = w.n + 1
+) SELECT image_id, array_to_string(list_sort(arg_max(have, n)), ',') AS bits FROM walk GROUP BY image_id"""
+
 ORACLE = {
+    "q_apply_swaps": SWAPS_SQL,
+    "q_spread_out": SPACED_SQL,
+    "q_embedding_codes": MERGED_SQL,
     "q_place": f"WITH {POINTS_SQL} SELECT point_id, y, x FROM points",
     "q_local_energy": f"WITH {ENERGY_SQL} SELECT point_id, round(CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () ELSE 0 END, 6) AS energy FROM raw",
     "q_avg_energy": f"WITH {ENERGY_SQL} SELECT round(avg(raw) / max(raw), 6) AS avg_energy FROM raw",
@@ -233,6 +271,7 @@ ORACLE = {
         ) SELECT center_id, coalesce(min(radius) FILTER (covered >= 28), arg_min(radius, struct_pack(c := -covered, r := radius))) AS radius,
             CASE WHEN bool_or(covered >= 28) THEN arg_min(covered, radius) FILTER (covered >= 28) ELSE max(covered) END AS covered FROM counted GROUP BY center_id""",
     "q_pair_energy_long": f"WITH {_long_sql(_SOFT)} SELECT seq, round(energy_c, 4) AS energy_c, round(energy_s, 4) AS energy_s FROM long",
+    "q_pair_energy_long_dense": f"WITH {_long_sql(_SOFT).replace(CODES_SQL, DENSE_SQL)} SELECT seq, round(energy_c, 4) AS energy_c, round(energy_s, 4) AS energy_s FROM long",
     "q_pair_energy_short": f"""WITH {POINTS_SQL}, {OVERLAP_SQL}, {PAIRS_SQL}, ws AS (SELECT i, k, {_SOFT} AS s FROM cosines), {_SHORT}
         SELECT seq, round(energy_c, 4) AS energy_c, round(energy_s, 4) AS energy_s FROM short""",
     "q_pair_stats": f"""WITH {POINTS_SQL}, {OVERLAP_SQL}, {PAIRS_SQL}, w AS (SELECT i, k, s FROM cosines WHERE s >= 0.6), rows AS (

@@ -2,9 +2,15 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from codelattice import tables
 from codelattice.operators import activation as A
+from codelattice.operators import monitors as M
+from codelattice.operators import pairs as joins
 from codelattice.operators.greedy import accept_swaps, spread_out
 from codelattice.plans import layout as L
+from codelattice.plans import sampling
 from codelattice.queries.layouts import _levels, q_apply_swaps, q_embedding_codes
 from codelattice.queries.fixtures import pairs, points
 
@@ -87,9 +93,54 @@ def test_layout_run_keeps_every_point_on_its_own_cell(spark):
     assert len(progress.swaps) == len(progress.energies) == 3 and sum(progress.swaps) > 0
 
 
-def test_schedule_follows_the_swaps():
-    schedule = L.Schedule(L.Adaptive(start=9, end=1, trigger=0.1), 5)
-    assert [schedule.radius(k) for k in range(5)] == [9, 7, 5, 3, 1]
-    assert schedule.after(0, 100, 0.5) == 0.5
-    assert schedule.after(1, 10, 0.5) == 0.55 and schedule.cap == 3 and schedule.radius(2) == 3
-    assert L.Schedule(L.Adaptive(start=9, end=2), 1).radius(0) == 2
+def test_radius_follows_the_swaps():
+    def after(*swaps):
+        return [(r, level, most) for r, _, level, most in M.followed(enumerate(swaps), 9, 1, 5, 0.1, 0.5, 0.05)]
+
+    assert [r for r, _, _ in after(100, 100, 100, 100, 100)] == [9, 7, 5, 3, 1]
+    assert after(100, 10, 10) == [(9, 0.5, 9), (7, 0.55, 3), (3, 0.55, 3)]
+    assert [r for r, *_ in M.followed([(0, 5)], 9, 2, 1, 0.1, 0.5, None)] == [2]
+
+
+def test_a_run_stores_its_state_only_and_logs_every_step(spark, tmp_path):
+    draw = random.Random(1)
+    codes = spark.createDataFrame([(i, sorted(draw.sample(range(32), 6))) for i in range(60)], "point_id long, bits array<int>")
+    options = L.Options(32, level=0.3, empty_ratio=0.5, stop_ratio=-1.0, subset=20)
+    log, save = str(tmp_path / "steps"), str(tmp_path / "points")
+    before = tables.written()
+    state, progress = L.run(codes, options, [L.Phase("long", 2, 40), L.Phase("short", 1, 40, adaptive=L.Adaptive(3))], log=log, save=save)
+    assert tables.written() == before + 1
+    steps = spark.read.parquet(log).orderBy("step").collect()
+    assert [(r.step, r.swaps, r.mode) for r in steps] == list(zip(range(3), progress.swaps, ["long", "long", "short"]))
+    assert [r.energy for r in steps] == progress.energies
+    saved = spark.read.parquet(save)
+    rows = lambda df: sorted((r.point_id, r.y, r.x) for r in df.collect())
+    assert rows(saved) == rows(state) and "number" not in saved.columns
+    idle = L.Options(32, level=0.3, empty_ratio=0.5, stop_ratio=1.0, stall_window=2)
+    again, progress = L.run(saved, idle, [L.Phase("long", 5, 1)], L.grid_side(60, 0.5), resume=True)
+    assert len(progress.swaps) == 2 and sum(a != b for a, b in zip(rows(again), rows(saved))) <= 4
+
+
+def test_draws_are_even_and_stay_within_disc_and_bounds(spark):
+    places = spark.range(20_000).select("id", F.lit(1).alias("y"), F.lit(8).alias("x"))
+    found = places.select(sampling.near_cell(F.col("y"), F.col("x"), 2, 0, 8, 0, 8, 7, F.col("id")).alias("c")).groupBy("c").count().collect()
+    cells = {(y, x) for y in range(9) for x in range(9) if 0 < (y - 1) ** 2 + (x - 8) ** 2 <= 4}
+    assert {(r.c.y, r.c.x) for r in found} == cells and max(r["count"] for r in found) < 1.2 * min(r["count"] for r in found)
+    alone = places.limit(50).select(sampling.near_cell(F.col("y"), F.col("x"), 0.5, 1, 2, 8, 9, 7, F.col("id")).alias("c")).collect()
+    assert {(r.c.y, r.c.x) for r in alone} == {(1, 9), (2, 8), (2, 9)}
+    assert places.limit(1).select(sampling.near_cell(F.col("y"), F.col("x"), 3, 1, 1, 8, 8, 7, F.col("id")).alias("c")).first().c is None
+    state = spark.createDataFrame([(0, 2, 2), (1, 3, 3)], "number long, y int, x int")
+    ends = sampling.random_pairs(state, 500, 5, None, 3).collect()
+    assert len(ends) == 500 and {(r.y1, r.x1) for r in ends} == {(2, 2), (3, 3)} and all((r.y1, r.x1) != (r.y2, r.x2) for r in ends)
+    assert len({(r.y2, r.x2) for r in ends}) == 25
+
+
+def test_dense_codes_meet_in_blocks_as_over_the_index(spark):
+    draw = random.Random(2)
+    frame = spark.createDataFrame([(i, sorted(draw.sample(range(130), draw.choice([0, 40, 70])))) for i in range(90)], "point_id long, bits array<int>")
+    many, length = joins.meetings(frame, frame)
+    assert many > joins.MEETINGS_PER_COMPARISON * 90 * 90 and 128 < length <= 130
+    bits = {r.point_id: set(r.bits) for r in frame.collect()}
+    expected = {(i, k, len(bits[i] & bits[k])) for i in bits for k in bits if i != k and bits[i] & bits[k]}
+    assert {(r.i, r.k, r.common) for r in joins.overlaps(frame, frame, rows_per_block=16).collect()} == expected
+    assert {(r.i, r.k) for r in joins.overlaps(frame, frame, ordered=True).collect()} == {(i, k) for i, k, _ in expected if i < k}

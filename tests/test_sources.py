@@ -64,10 +64,19 @@ def test_bits_of_any_values(spark):
     assert row[0] == [0, 3]
 
 
-def test_watched_log_asks_for_a_stop(spark, tmp_path):
+def test_watched_log_asks_for_a_stop_once(spark, tmp_path):
     folder, seen = str(tmp_path / "log"), []
-    spark.createDataFrame([("r", s, 0, 100, 1.0) for s in range(5)], telemetry.STEP_LOG).write.parquet(folder)
-    query = telemetry.watch(telemetry.read_step_log(spark, folder), folder, str(tmp_path / "c"), lambda df: seen.extend(df.collect()), window=3)
+    rows = lambda run, steps, swaps, energy: [(run, s, swaps(s), 100, energy(s), "long", 3.0, 0.5) for s in steps]
+    calm = rows("calm", range(8), lambda s: 50, lambda s: 1.0 if s >= 2 else 2.0 + s)
+    idle = rows("idle", range(8), lambda s: 0 if s == 6 else 40, lambda s: None if s % 2 else float(s))
+    write = lambda r: spark.createDataFrame(r, telemetry.STEP_LOG).coalesce(1).write.mode("append").parquet(folder)
+    write(calm[:4] + idle[:4])
+    query = telemetry.watch(telemetry.read_step_log(spark, folder), str(tmp_path / "c"), lambda df: seen.extend(df.collect()), window=3)
+    query.processAllAvailable()
+    write(calm[4:] + idle[4:])
     query.processAllAvailable()
     query.stop()
-    assert {r.why for r in seen} == {"energy", "swaps"}
+    found = sorted((r.run, r.step, r.why) for r in seen)
+    assert found == [("calm", 5, "energy"), ("calm", 6, "energy"), ("calm", 7, "energy"), ("idle", 6, "swaps")]
+    whole = telemetry.stops_of(spark.read.parquet(folder), window=3).collect()
+    assert sorted((r.run, r.step, r.why) for r in whole) == found
