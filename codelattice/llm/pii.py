@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "date": r"(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)",
-    "ip": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?:\d{1,3}[.-])?\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
+    "ip": r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
+    "ssn": r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?:\d{1,3}[.-])?\d{3}[.-]\d{3}[.-]\d{4}(?!\d)|(?:\d{1,3} )?\d{3} \d{3} \d{4}(?! ?\d)",
     "card": r"\d{13,19}(?!\d)|(?<!\d{4}-)\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?(?!\d)|\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)",
 }
 #: What may not stand before a value, by kind: only what would make it the end of a longer one.
@@ -29,7 +29,7 @@ BEFORE = {
     "date": r"(?<![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9])(?<!\d\.)",
     "ssn": r"(?<![A-Za-z0-9])(?<!\d-)",
-    "phone": r"(?<![A-Za-z0-9])(?<!\d[.-])",
+    "phone": r"(?<![A-Za-z0-9])(?<!\d[ .-])",
     "card": r"(?<![A-Za-z0-9])(?<!\d\.)",
 }
 ANY = "(?:" + "|".join(f"(?:{BEFORE[k]}(?:{p}))" for k, p in PATTERNS.items()) + ")"
@@ -38,6 +38,10 @@ ROUNDS = 8
 DIGITS_AT_ONCE, LETTERS_AT_ONCE = 30, 20
 #: The pattern's dates, 1900-01-01 to 2099-12-31, are 17 x 4297 days and permuted among these.
 FIRST_DAY, DATE_LEFT, DATE_RIGHT = "1900-01-01", 17, 4_297
+#: Social security numbers that are given out: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
+AREAS, GROUPS, SERIALS = 898, 99, 9_999
+#: Digits of a telephone number, country code included.
+PHONE_DIGITS = (7, 15)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -151,6 +155,8 @@ def kind_of(value: Column) -> Column:
         fits = value.rlike(f"^(?:{pattern})$")
         if name == "card":
             fits = fits & let(_digits(value), lambda d: luhn_sum(d) % 10 == 0)
+        elif name == "phone":
+            fits = fits & F.length(_digits(value)).between(*PHONE_DIGITS)
         elif name == "date":
             fits = fits & F.coalesce(F.datediff(F.try_to_timestamp(value, F.lit("yyyy-MM-dd")), F.lit(FIRST_DAY)).between(0, DATE_LEFT * DATE_RIGHT - 1), F.lit(False))
         found = F.when(fits, name) if found is None else found.when(fits, name)
@@ -188,6 +194,19 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         octets = lambda x: F.concat_ws(".", F.floor(x / 256).cast("string"), (x % 256).cast("string"))
         return let(state, lambda s: F.concat_ws(".", octets(s["a"]), octets(s["b"])))
 
+    def ssn(v):
+        part = lambda at, n: F.substring(v, at, n).cast("long")
+        area = part(1, 3) - 1 - (part(1, 3) > 666).cast("long")
+        state = feistel(area * GROUPS + part(5, 2) - 1, part(8, 4) - 1, F.lit(AREAS * GROUPS), F.lit(SERIALS), key, tweak)
+
+        def written(s):
+            new = F.floor(s["a"] / GROUPS) + 1
+            new = new + (new >= 666).cast("long")
+            digits = ((new, 3), (s["a"] % GROUPS + 1, 2), (s["b"] + 1, 4))
+            return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in digits])
+
+        return let(state, written)
+
     def date(v):
         day = F.datediff(F.try_to_timestamp(v, F.lit("yyyy-MM-dd")), F.lit(FIRST_DAY))
         moved = let(day, lambda n: feistel(F.floor(n / DATE_RIGHT), n % DATE_RIGHT, F.lit(DATE_LEFT), F.lit(DATE_RIGHT), key, tweak))
@@ -199,6 +218,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         .when(kind == "card", card(value))
         .when(kind == "ip", ip(value))
         .when(kind == "date", date(value))
+        .when(kind == "ssn", ssn(value))
         .otherwise(digits_only(value))
     )
 
@@ -207,7 +227,9 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """One row per input row: (id_col, text with pseudonyms, n_pii, kinds).
 
     kinds holds the kind of every replaced value in order.  Values that look like a kind but fail
-    its validation (a card's check digit, a day that does not exist) stay.  Null text stays null
+    its validation (a card's check digit, a day that does not exist, a social security number of an
+    area, group or serial that is not given out, a telephone number of under 7 or over 15 digits, an
+    address with a leading zero) stay.  Null text stays null
     with n_pii 0; empty texts stay empty.  Nothing is looked at but id and text; an empty table
     gives an empty result; equal rows give equal results.
     """

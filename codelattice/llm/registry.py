@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -18,7 +19,9 @@ URL_RULES = (
     ("example.net/de/8", "block"),
     ("org/es/", "block"),
 )
-PII_KEY = "op6"
+#: The setting that holds the key of op6's pseudonyms; without it each session draws one, so nobody who reads this undoes them.
+PII_KEY = "spark.codelattice.pii.key"
+_drawn_key = secrets.token_hex(16)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +58,7 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their personal data under format-preserving pseudonyms."""
-    return pii.pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, _drawn_key))
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

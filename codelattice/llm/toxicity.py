@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelattice.llm.shared import slices, small_batches
+from codelattice.llm.shared import materialise, slices, small_batches
 
 #: Labelled documents, toxic and others each, that the model is fitted on.
 DOCS_PER_CLASS = 2_000
@@ -65,14 +65,14 @@ class Model:
         return sum(weights[f] for f in features_of(text) if f in weights)
 
 
-def fit(texts: list[str], grades: np.ndarray, vocabulary: int = VOCABULARY, l2: float = RIDGE, steps: int = 30) -> Model:
-    """Maximum likelihood with a ridge penalty, by Fisher scoring with step halving."""
+def fit(found: list[list[str]], grades: np.ndarray, telling: list[str], l2: float = RIDGE, steps: int = 30) -> Model:
+    """Maximum likelihood with a ridge penalty, by Fisher scoring with step halving, from each document's telling features."""
     levels = max(1, int(grades.max())) if len(grades) else 1
-    place = {f: i for i, f in enumerate(_telling(texts, grades, vocabulary))}
-    n, width = len(texts), len(place)
+    place = {f: i for i, f in enumerate(telling)}
+    n, width = len(found), len(place)
     x = np.zeros((n, width), np.float32)
-    for i, text in enumerate(texts):
-        x[i, [place[f] for f in features_of(text) if f in place]] = 1
+    for i, features in enumerate(found):
+        x[i, [place[f] for f in features]] = 1
     above = np.array([(grades > k).mean() if n else 0.5 for k in range(levels)]).clip(1e-3, 1 - 1e-3)
     start = np.maximum.accumulate(np.log((1 - above) / above) + 1e-3 * np.arange(levels))
     values = np.concatenate([np.zeros(width), start])
@@ -118,17 +118,10 @@ def fit(texts: list[str], grades: np.ndarray, vocabulary: int = VOCABULARY, l2:
     return Model({f: float(values[i]) for f, i in place.items()}, values[width:])
 
 
-def _telling(texts: list[str], grades: np.ndarray, vocabulary: int) -> list[str]:
-    """The features of at least MIN_DOCS documents with the largest z-scores, MIN_Z at least, against independence of toxicity."""
-    counts: dict[str, list[int]] = {}
-    for text, grade in zip(texts, grades):
-        for f in features_of(text):
-            both = counts.setdefault(f, [0, 0])
-            both[0] += 1
-            both[1] += grade > 0
-    share = float((grades > 0).mean()) if len(grades) else 0.5
+def _telling(counts: list[tuple[str, int, int]], share: float, vocabulary: int) -> list[str]:
+    """Of features (name, documents, toxic documents) those of MIN_DOCS or more with the largest z-scores, MIN_Z at least, against independence of toxicity."""
     spread = max(share * (1 - share), 1e-9)
-    scored = ((abs(high - n * share) / (n * spread) ** 0.5, f) for f, (n, high) in counts.items() if n >= MIN_DOCS)
+    scored = ((abs(high - n * share) / (n * spread) ** 0.5, f) for f, n, high in counts if n >= MIN_DOCS)
     return [f for _, f in sorted((-z, f) for z, f in scored if z >= MIN_Z)[:vocabulary]]
 
 
@@ -140,9 +133,15 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on whole texts of a sample of graded documents, as many of grade 0 as of higher grades, about per_class at most.
 
     graded: (id_col, grade from 0 up).  Rows without a grade or a text are not learnt from; an id
-    graded twice is learnt from twice.  The sample is drawn by a hash of the id and is all that
-    reaches the driver.
+    graded twice is learnt from twice.  The sample is drawn by a hash of the id.  Features are counted
+    where the texts are; what reaches the driver is the VOCABULARY most telling features and which of
+    them each sampled document has, whatever the size of the texts.
+
+    Where grades above 0 all are 1, a yes or no, they are graded by degree: a document is of grade 2 if
+    it has more telling features that speak for toxicity, as a share of its words, than the median of
+    them, and of grade 1 otherwise.
     """
+    small_batches(docs.sparkSession)
     known = graded.where("grade is not null").select(F.col(id_col).cast("long").alias("g_id"), F.col("grade").cast("int"))
     sizes = dict(known.groupBy((F.col("grade") > 0).alias("high")).count().collect())
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("g_id")), F.lit(1_000_000))
@@ -150,9 +149,31 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     share = {high: min(1_000_000, int(1e6 * wanted / n) + 1) for high, n in sizes.items()}
     picked = known.where(draw < F.when(F.col("grade") > 0, share.get(True, 0)).otherwise(share.get(False, 0)))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(picked), F.col("d_id") == F.col("g_id")).select("d_id", "text", "grade").collect()
-    rows.sort(key=lambda r: (r["d_id"], r["text"], r["grade"]))
-    return fit([r["text"] for r in rows], np.array([r["grade"] for r in rows], np.int64))
+
+    def extract(batches):
+        for batch in slices(batches):
+            ids, grades, found = batch.column(0), batch.column(1), [features_of(t) for t in batch.column(2).to_pylist()]
+            words = pa.array([sum(not f.endswith("-") for f in own) for own in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, grades, words, pa.array([sorted(f) for f in found], pa.list_(pa.string()))], names=["id", "grade", "words", "features"])
+
+    # the sample is bounded by its parameter, two numbers a document
+    rows = texts.join(F.broadcast(picked), F.col("d_id") == F.col("g_id")).select("d_id", "grade", "text")
+    rows = materialise(rows.mapInArrow(extract, "id long, grade int, words int, features array<string>"), "features")
+    n, high = rows.agg(F.count("*"), F.count(F.when(F.col("grade") > 0, 1))).first()
+    counted = rows.select(F.explode("features").alias("f"), (F.col("grade") > 0).cast("int").alias("high"))
+    counted = counted.groupBy("f").agg(F.count("*").alias("n"), F.sum("high").alias("high")).where(F.col("n") >= MIN_DOCS)
+    overall = high / n if n else 0.5
+    score = F.abs(F.col("high") - F.col("n") * overall) / F.sqrt(F.col("n") * max(overall * (1 - overall), 1e-9))
+    best = counted.orderBy(score.desc(), "f").limit(VOCABULARY).collect()
+    telling = _telling([tuple(r) for r in best], overall, VOCABULARY)
+    speaking = {r["f"] for r in best if r["f"] in set(telling) and r["high"] > r["n"] * overall}
+    held = F.array_intersect("features", F.array(*[F.lit(f) for f in telling])) if telling else F.array().cast("array<string>")
+    sample = sorted(rows.select("id", "grade", "words", held.alias("held")).collect(), key=lambda r: (r["id"], r["grade"], r["words"], r["held"]))
+    grades = np.array([r["grade"] for r in sample], np.int64)
+    if grades.max(initial=0) == 1:
+        degree = np.array([sum(f in speaking for f in r["held"]) / max(1, r["words"]) for r in sample])
+        grades = np.where((grades == 1) & (degree > np.median(degree[grades == 1])), 2, grades)
+    return fit([r["held"] for r in sample], grades, telling)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] = ()) -> DataFrame:
@@ -184,6 +205,5 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def grades_from_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Severity grades from the two labels: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
-    return labels.select(id_col, grade.alias("grade"))
+    """Grades from the label toxic: 0 or 1; train grades the toxic ones by degree."""
+    return labels.select(id_col, F.col("toxic").cast("int").alias("grade"))

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import datetime
 import hashlib
 import random
 import re
@@ -407,6 +408,59 @@ def test_pii_formats_and_links(spark):
     assert pii.pseudonymise(frame.limit(0), "key").count() == 0
 
 
+def plain_feistel(a, b, left, right, key, tweak):
+    """The network written out: eight rounds that add a keyed hash of one half to the other, in turn."""
+    for k in range(8):
+        shift = int(hashlib.sha256(f"{key}|{tweak}|{k}|{a if k % 2 else b}".encode()).hexdigest()[:14], 16)
+        if k % 2:
+            b = (b + shift) % right
+        else:
+            a = (a + shift) % left
+    return a, b
+
+
+def plain_pseudonym(value, kind, key):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        w, x, y, z = map(int, value.split("."))
+        a, b = plain_feistel(w * 256 + x, y * 256 + z, 65_536, 65_536, key, kind)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "date":
+        day = (datetime.date.fromisoformat(value) - datetime.date(1900, 1, 1)).days
+        a, b = plain_feistel(day // 4_297, day % 4_297, 17, 4_297, key, kind)
+        return str(datetime.date(1900, 1, 1) + datetime.timedelta(a * 4_297 + b))
+    if kind == "ssn":
+        areas = [n for n in range(1, 900) if n != 666]
+        a, b = plain_feistel(areas.index(int(digits[:3])) * 99 + int(digits[3:5]) - 1, int(digits[5:]) - 1, 898 * 99, 9_999, key, kind)
+        return f"{areas[a // 99]:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    body = digits[:-1] if kind == "card" else digits
+    cut = len(body) // 2
+    a, b = plain_feistel(int("0" + body[:cut]), int(body[cut:]), 10**cut, 10 ** (len(body) - cut), key, f"{kind}/0/{len(body)}")
+    new = str(a).zfill(cut) + str(b).zfill(len(body) - cut)
+    if kind == "card":
+        doubled = [int(c) if n % 2 else sum(divmod(2 * int(c), 10)) for n, c in enumerate(new[::-1])]
+        new += str(-sum(doubled) % 10)
+    left = iter(new)
+    return "".join(next(left) if c.isdigit() else c for c in value)
+
+
+def test_pseudonyms_as_the_network_written_out(spark):
+    draw = random.Random(3)
+    values = [("ip", ".".join(str(draw.randrange(256)) for _ in range(4))) for _ in range(40)]
+    values += [("date", str(datetime.date(1900, 1, 1) + datetime.timedelta(draw.randrange(73_049)))) for _ in range(40)]
+    values += [("ssn", f"{draw.choice([1, 665, 667, 899, 123]):03d}-{draw.randrange(1, 100):02d}-{draw.randrange(1, 10_000):04d}") for _ in range(40)]
+    values += [("phone", f"+{draw.randrange(1, 10)} ({draw.randrange(100, 999)}) {draw.randrange(100, 999)}-{draw.randrange(1000, 9999)}") for _ in range(20)]
+    values += [("phone", f"{draw.randrange(100, 999)} {draw.randrange(100, 999)} {draw.randrange(1000, 9999)}") for _ in range(20)]
+    values += [("card", c) for c in ("4111111111111111", "4111-1111-1111-1111", "3782 822463 10005", "6011000990139424")]
+    frame = spark.createDataFrame([(i, f"see {v} here") for i, (_, v) in enumerate(values)], "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.pseudonymise(frame, "k1").collect()}
+    for i, (kind, value) in enumerate(values):
+        assert found[i].kinds == [kind] and found[i].text == f"see {plain_pseudonym(value, kind, 'k1')} here"
+    plain = ["000-12-3456", "666-12-3456", "912-34-5678", "123-00-4567", "123-45-0000", "01.1.2.3", "+12 34", "12 555 123 4567 8"]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string"), "k1").collect()
+    assert [r.text for r in sorted(rows)] == plain
+
+
 def test_feistel_is_a_permutation(spark):
     digits = spark.range(1000).select(pii.permute_symbols(F.lpad(F.col("id").cast("string"), 3, "0"), 10, 30, "k", F.lit("t")).alias("d"))
     assert sorted(r.d for r in digits.collect()) == [f"{i:03d}" for i in range(1000)]
@@ -493,6 +547,44 @@ def test_language_rejects_a_language_left_out_even_with_wrong_labels(spark, left
         assert np.mean(own) <= 0.005
 
 
+def test_kneser_ney_as_counted_by_hand(spark):
+    """Cross-entropies against the formula written out over dictionaries of counts."""
+    texts = {"aa": ["abra cadabra abra", "abba aab"], "bb": ["the cat sat", "that hat"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)]
+    order = 3
+    counts = {}
+    for lang, own in texts.items():
+        symbols, _ = langid._symbols(own, order)
+        packed = langid._ngrams(symbols, order)
+        counts[lang] = np.unique(packed[symbols[order - 1 :] != langid.EDGE], return_counts=True)
+    model = langid.fit_counts(counts, order)
+
+    def grams(text):
+        symbols = "\x01" * (order - 1) + re.sub("[^a-z]+", " ", text)
+        return [symbols[k : k + order] for k in range(len(symbols) - order + 1)]
+
+    def chance(lang, gram):
+        levels = {order: collections.Counter(g for t in texts[lang] for g in grams(t))}
+        for n in range(order - 1, 0, -1):
+            levels[n] = collections.Counter({g[1:] for g in levels[n + 1]} and [g[1:] for g in levels[n + 1]])
+        p = 1 / 65_536
+        for n in range(1, order + 1):
+            own, level = gram[-n:], levels[n]
+            ones, twos = (sum(c == k for c in level.values()) for k in (1, 2))
+            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+            following = {g: c for g, c in level.items() if g[:-1] == own[:-1]}
+            if following:
+                total = sum(following.values())
+                p = max(level[own] - discount, 0) / total + discount * len(following) / total * p
+        return p
+
+    for text in ("abra cat", "that", "zzz", "the abba sat"):
+        found, _ = langid.cross_entropies(model, [text])
+        for j, lang in enumerate(model.languages):
+            expected = -np.mean([np.log(chance(lang, g)) for g in grams(text)])
+            assert found[0, j] == pytest.approx(expected, rel=1e-4)
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     symbols, _ = langid._symbols(["the cat sat on the mat", "then that thing"], 3)
     packed = langid._ngrams(symbols, 3)
@@ -519,6 +611,34 @@ def test_toxicity_of_held_out_documents(spark):
     assert hit >= 0.8 and false <= 0.03
 
 
+def test_toxicity_as_brute_force(spark):
+    """Likelihood, prediction and grades recomputed by plain loops on a small corpus of three degrees."""
+    draw = random.Random(7)
+    bad, mild, calm = ["vile", "awful"], ["rude"], [f"plain{i}" for i in range(40)]
+    rows = []
+    for i in range(240):
+        words = [draw.choice(calm) for _ in range(30)]
+        grade = i % 3 if i % 2 else 0
+        words[3:3] = {0: [], 1: mild, 2: bad}[grade]
+        rows.append((i, " ".join(words), grade))
+    docs, graded = (spark.createDataFrame([(r[0], r[k]) for r in rows], f"doc_id long, {n}") for k, n in ((1, "text string"), (2, "grade int")))
+    model = toxicity.train(docs, graded, per_class=1000)
+    found = {r.doc_id: r for r in toxicity.predict(docs, model).collect()}
+    for i, text, grade in rows:
+        z = sum(w for f, w in model.weights.items() if f in toxicity.features_of(text))
+        exceed = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        chances = [1 - exceed[0], exceed[0] - exceed[1], exceed[1]]
+        assert found[i].p_toxic == pytest.approx(exceed[0]) and found[i].severity == pytest.approx(sum(exceed))
+        assert found[i].grade == int(np.argmax(chances))
+    assert np.mean([found[i].grade == g for i, _, g in rows]) > 0.95
+    # yes or no: the toxic half with the larger share of telling features becomes grade 2
+    binary = toxicity.train(docs, graded.withColumn("grade", F.least("grade", F.lit(1))), per_class=1000)
+    assert len(binary.thresholds) == 2
+    spoken = {r.doc_id: r.severity for r in toxicity.predict(docs, binary).collect()}
+    level = [np.mean([spoken[i] for i, _, g in rows if g == k]) for k in range(3)]
+    assert level[0] < level[1] < level[2]
+
+
 def test_toxicity_odd_rows(spark):
     graded = spark.createDataFrame([(1, 0), (2, 1), (10, 2), (None, 1), (3, 1)], "doc_id long, grade int")
     model = toxicity.train(odd_docs(spark), graded)
