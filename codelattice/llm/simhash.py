@@ -146,6 +146,28 @@ def link_bucket(fp: np.ndarray, prefix: int, bits: int, radius: int, width: int
     return pairs[np.bitwise_count(fp[pairs[:, 0]] ^ fp[pairs[:, 1]]) <= radius]
 
 
+def spanning_links(fp: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Of links between fingerprints a forest with the same components, the nearest links first.
+
+    Each round keeps one link of every component that can join one of a smaller number.
+    """
+    label = np.arange(len(fp))
+    apart = np.bitwise_count(fp[pairs[:, 0]] ^ fp[pairs[:, 1]])
+    kept = [pairs[:0]]
+    for distance in np.unique(apart):
+        open_ = pairs[apart == distance]
+        while True:
+            a, b = label[open_[:, 0]], label[open_[:, 1]]
+            open_ = open_[a != b]
+            if not len(open_):
+                break
+            low, high = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+            joined, first = np.unique(high, return_index=True)
+            kept.append(open_[first])
+            label = forest(len(fp), np.stack([joined, low[first]], axis=1))[label]
+    return np.concatenate(kept)
+
+
 def forest(size: int, pairs: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each index, by hooking and pointer jumping."""
     label = np.arange(size)
@@ -220,8 +242,9 @@ def similar_groups(
 
     One SimHash of 64 bits whose radius covers a similarity of 0.8 would need balls of some 18 bits.
     A sketch of several SimHashes does with small ones: texts whose leading width bits of any of them
-    lie within the radius meet by their variants, and the pairs that met are linked if their whole
-    sketches differ in no more bits than texts of that similarity do, plus one standard deviation.
+    lie within the radius meet by their variants; of those that met in a bucket a forest of the nearest
+    pairs is taken, so a group of many near copies makes no more pairs than it has members, and these
+    are linked if their whole sketches differ in no more bits than texts of that similarity do, plus one standard deviation.
 
     key_col: a long that identifies the text; rows without one, and repeated keys, count once at most.
     Null and wordless texts have the empty sketch and link with one another only.  component is the
@@ -251,7 +274,7 @@ def similar_groups(
     def meet(key, pdf):
         fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         node = pdf["node"].to_numpy(np.int64)
-        found = link_bucket(fp, int(key[2]), int(key[1]), radius, width)
+        found = spanning_links(fp, link_bucket(fp, int(key[2]), int(key[1]), radius, width))
         give_back()
         return pd.DataFrame({"a": node[found[:, 0]], "b": node[found[:, 1]]})
 

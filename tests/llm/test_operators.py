@@ -303,6 +303,19 @@ def test_simhash_cuts_frequent_prefixes(spark):
     assert found[0] == found[1] == grouped(prints, [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4])
 
 
+def test_spanning_links_keep_components_and_near_links():
+    draw = np.random.default_rng(8)
+    fp = draw.integers(0, 1 << 12, 200, dtype=np.uint64)
+    near = np.array([(a, b) for a in range(200) for b in range(a) if int(fp[a] ^ fp[b]).bit_count() <= 3])
+    kept = simhash.spanning_links(fp, near)
+    parts = len(set(grouped(range(200), near.tolist()).values()))
+    assert len(kept) == 200 - parts and grouped(range(200), kept.tolist()) == grouped(range(200), near.tolist())
+    for distance in range(4):
+        level = lambda pairs: [p for p in pairs.tolist() if int(fp[p[0]] ^ fp[p[1]]).bit_count() <= distance]  # noqa: B023, E731
+        assert grouped(range(200), level(kept)) == grouped(range(200), level(near))
+    assert len(simhash.spanning_links(fp, near[:0])) == 0
+
+
 def test_similar_groups_find_texts_of_a_jaccard_of_four_fifths(spark):
     draw = random.Random(21)
     word = lambda: f"w{draw.randrange(10**6)}"
