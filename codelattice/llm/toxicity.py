@@ -179,8 +179,8 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] = ()) -> DataFrame:
     """One row per input row: (id_col, *keep, p_toxic, severity, grade, toxic).
 
-    p_toxic: probability of any grade above 0; severity: expected grade; grade: the most likely
-    one; toxic: p_toxic >= 0.5.  Null and empty texts have no word and get the base rates.  Rows
+    p_toxic: probability of any grade above 0; severity: expected grade; grade: the median
+    one, above 0 just where the row is toxic; toxic: p_toxic >= 0.5.  Null and empty texts have no word and get the base rates.  Rows
     that repeat come back as often as they came; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
@@ -196,8 +196,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             model = shared.value
             z = np.array([model.margin(text) for text in batch.column(batch.num_columns - 1).to_pylist()], np.float64)
             exceed = _sigmoid(z[:, None] - model.thresholds[None, :])
-            ends = np.concatenate([np.ones((len(z), 1)), exceed, np.zeros((len(z), 1))], axis=1)
-            grade = (ends[:, :-1] - ends[:, 1:]).argmax(axis=1).astype(np.int32)
+            grade = (exceed >= 0.5).sum(axis=1).astype(np.int32)
             found = [exceed[:, 0], exceed.sum(axis=1), grade, exceed[:, 0] >= 0.5]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(x) for x in found], names=schema.names)
 
