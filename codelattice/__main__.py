@@ -1,4 +1,5 @@
-"""Commands: layout builds a layout and its embeddings, predict classifies images, evaluate measures accuracy.
+"""Commands: layout builds a layout and its embeddings, predict classifies images, evaluate measures accuracy,
+export writes a layout and its embeddings as a JSON document, import reads the points of such a document.
 
 Images are a Parquet table (image_id, label, pixels), a folder of PNG files, or a ZIP of them.
 """
@@ -6,13 +7,17 @@ Images are a Parquet table (image_id, label, pixels), a folder of PNG files, or
 from __future__ import annotations
 
 import argparse
+import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelattice.functions import bits as B
 from codelattice.plans import layout as L
 from codelattice.plans import recognition as R
 from codelattice.sources import images as I
+from codelattice.sources import layouts as S
 from codelattice.tables import stored
 
 
@@ -51,6 +56,32 @@ def predict(spark: SparkSession, source: str, folder: str, temperature: float) -
     return R.classify(queries, memory, temperature), queries
 
 
+def export(spark: SparkSession, folder: str, document: str, length: int = R.DEFAULT.code_length) -> None:
+    """Write the folder's layout and embeddings to a JSON document.
+
+    Of a document that is there already the other top-level keys stay, and its entries' label, value, hue and ones win.
+    """
+    existing = {}
+    if os.path.exists(document):
+        with open(document, encoding="utf-8") as file:
+            existing = json.load(file)
+    rows = spark.read.parquet(f"{folder}/points")
+    height, width = rows.agg(F.max("y") + 1, F.max("x") + 1).first()
+    entries = rows.select(F.col("point_id").alias("index"), "y", "x", "label", B.to01(F.col("bits"), length).alias("value"), "hue", "ones")
+    if existing.get("layout"):
+        held = S.read_json(spark, document).select(F.explode("layout").alias("e")).select("e.*")
+        entries = S.merged_payload(entries, held)
+    embedded = spark.read.parquet(f"{folder}/embeddings").select("label", B.to01(F.col("bits"), length).alias("embedding"))
+    side = max(height, width)
+    S.write_json(entries, document, {"width": max(side, existing.get("width") or 0), "height": max(side, existing.get("height") or 0)}, embedded, existing)
+
+
+def import_points(spark: SparkSession, document: str, folder: str, pair_radius: int | None = None) -> None:
+    """Store the points of a JSON document in the folder, from which layout --resume goes on."""
+    points = S.points_of(S.read_json(spark, document), pair_radius)
+    S.write_table(points.drop("path"), f"{folder}/points")
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="codelattice", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -65,8 +96,15 @@ def main(argv: list[str] | None = None) -> None:
             command.add_argument("--resume", action="store_true", help="go on from the layout in the folder")
         else:
             command.add_argument("--temperature", type=float, default=0.35)
+    for name in ("export", "import"):
+        command = commands.add_parser(name)
+        command.add_argument("folder")
+        command.add_argument("document", help="a JSON file")
     asked = parser.parse_args(argv)
     spark = SparkSession.builder.appName("codelattice").getOrCreate()
+    if asked.command in ("export", "import"):
+        export(spark, asked.folder, asked.document) if asked.command == "export" else import_points(spark, asked.document, asked.folder)
+        return
     if asked.command == "layout":
         build(spark, asked.images, asked.folder, asked.count, asked.samples, asked.label, resume=asked.resume)
         return

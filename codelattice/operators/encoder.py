@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelattice.functions.display import hue_rgb
+
 
 @dataclass(frozen=True)
 class Layer:
@@ -175,12 +177,52 @@ def hue_groups(codes: DataFrame, order: str = "seq", hue: str = "hue") -> DataFr
     return codes.groupBy(hue).agg(F.min(order).alias("first_seq"), F.count("*").alias("n"))
 
 
-def debug_geometry(rows: DataFrame, image_side: int = 28, grid: int = 7) -> DataFrame:
-    """Where a measurement's patch lies in its image, for display: box corners, center, and hue in [0, 360)."""
-    size = image_side / grid
+@dataclass(frozen=True)
+class PatchGrid:
+    """Square patches of a grid that is centered in its image."""
+
+    across: int
+    down: int
+    edge: float
+    left: float = 0.0
+    top: float = 0.0
+
+
+def inferred_grid(encoder: Encoder) -> tuple[int, int] | None:
+    """(across, down) from the ranges of the dimensions named x and y in any case; None without both or with an empty range."""
+    sizes = {d.title.lower(): round(d.high) - round(d.low) + 1 for d in encoder.dimensions}
+    across, down = sizes.get("x", 0), sizes.get("y", 0)
+    return (across, down) if across > 0 and down > 0 else None
+
+
+def patch_grid(rows: DataFrame, grid: tuple[int, int] | None = None, image: tuple[int, int] | None = None) -> PatchGrid:
+    """The grid of patches at (x, y): of the given size, or up to the largest x and y of the rows.
+
+    image: (height, width); the patches fill its shorter side.  Without an image a patch is one unit wide.
+    """
+    if grid is None:
+        most = rows.agg(F.max(F.col("x").cast("int")), F.max(F.col("y").cast("int"))).first()
+        grid = tuple(0 if m is None else m + 1 for m in most)
+    across, down = grid
+    if image is None or min(*image, across, down) <= 0:
+        return PatchGrid(across, down, 1.0)
+    edge = min(image[1] / across, image[0] / down)
+    return PatchGrid(across, down, edge, (image[1] - across * edge) / 2, (image[0] - down * edge) / 2)
+
+
+def debug_geometry(rows: DataFrame, grid: PatchGrid) -> DataFrame:
+    """Where a measurement's patch lies, for display: its corner, its center, its hue in [0, 360) and the hue's colour."""
+    left, top = F.col("x") * grid.edge + grid.left, F.col("y") * grid.edge + grid.top
+    hue = F.pmod(F.col("angle"), F.lit(360.0))
+    r, g, b = hue_rgb(hue)
     return rows.select(
-        "*",
-        (F.col("x") * size).alias("left"), (F.col("y") * size).alias("top"),
-        ((F.col("x") + 0.5) * size).alias("center_x"), ((F.col("y") + 0.5) * size).alias("center_y"),
-        F.pmod(F.col("angle"), F.lit(360.0)).alias("hue"),
+        "*", left.alias("left"), top.alias("top"), (left + grid.edge / 2).alias("center_x"), (top + grid.edge / 2).alias("center_y"),
+        hue.alias("hue"), r.alias("r"), g.alias("g"), b.alias("b"),
     )
+
+
+def grid_boxes(spark: SparkSession, grid: PatchGrid) -> DataFrame:
+    """(y, x, left, top, edge) of every patch of a grid, for the overlay's boxes."""
+    number = F.col("id")
+    rows = spark.range(grid.across * grid.down).select(F.floor(number / grid.across).cast("int").alias("y"), (number % grid.across).cast("int").alias("x"))
+    return rows.select("y", "x", (F.col("x") * grid.edge + grid.left).alias("left"), (F.col("y") * grid.edge + grid.top).alias("top"), F.lit(grid.edge).alias("edge"))

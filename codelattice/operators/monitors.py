@@ -37,6 +37,20 @@ def energy_progress(log: DataFrame, run: str = "run", step: str = "step", energy
     return log.withColumn("progress", F.lag(energy).over(_by_step(run, step)) - F.col(energy))
 
 
+def state_log(log: DataFrame, run: str = "run", step: str = "step", energy: str = "energy") -> DataFrame:
+    """(run, step, energy, energy_step, energy_diff): the last measured energy at every step and how it changed.
+
+    energy_diff is null where no new measurement was made since the step before, and at the first one.
+    """
+    by = _by_step(run, step)
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    measured = F.when(F.col(energy).isNotNull(), F.struct(F.col(energy).alias("value"), F.col(step).alias("at")))
+    rows = log.select(run, step, F.last(measured, ignorenulls=True).over(so_far).alias("now"))
+    rows = rows.withColumn("before", F.lag("now").over(by))
+    diff = F.when(F.col("now.at") != F.col("before.at"), F.col("now.value") - F.col("before.value"))
+    return rows.select(run, step, F.col("now.value").alias("energy"), F.col("now.at").alias("energy_step"), diff.alias("energy_diff"))
+
+
 def thinned(log: DataFrame, every: int, event: str = "event", seq: str = "seq") -> DataFrame:
     """Every so-many-th occurrence of each event, the first included.
 

@@ -82,3 +82,12 @@ def query_blocks(queries: DataFrame, memory: DataFrame, name: str, rows_per_bloc
         met = met.where("q.query_id != memory_id")
     both = B.common(F.col("q.words"), F.col("words"))
     return met.select(F.col("q.query_id").alias("query_id"), "label", "memory_id", similarity(name, both, F.col("q.ones"), F.col("ones")).alias("sim"))
+
+
+def pair_similarity(asked: DataFrame, points: DataFrame, length: int, name: str) -> DataFrame:
+    """Adds sim to rows (i, k): the similarity of the two codes, null where an id is unknown.  points: (point_id, bits)."""
+    code = lambda side: points.select(F.col("point_id").alias(f"id_{side}"), B.pack(F.col("bits"), length).alias(f"words_{side}"), F.size("bits").alias(f"ones_{side}"))
+    met = asked.join(code("i"), F.col("i") == F.col("id_i"), "left").join(code("k"), F.col("k") == F.col("id_k"), "left")
+    known = F.col("id_i").isNotNull() & F.col("id_k").isNotNull()
+    sim = similarity(name, B.common(F.col("words_i"), F.col("words_k")), F.col("ones_i"), F.col("ones_k"))
+    return met.select(*asked.columns, F.when(known, sim).alias("sim"))

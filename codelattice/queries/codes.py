@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from codelattice.functions import bits as B
 from codelattice.functions import display
 from codelattice.functions.similarity import angle_similarity, cosine, jaccard, similarity, thresholded
-from codelattice.operators.pairs import similarity_block, similarity_pairs
+from codelattice.operators.pairs import pair_similarity, similarity_block, similarity_pairs
 from codelattice.plans.tuner import tuned
 from codelattice.queries.fixtures import CODES_SQL, DENSE, DENSE_SQL, EVENTS_SQL, LENGTH, OVERLAP_SQL, codes, measured_events, table
-from codelattice.sources.layouts import labelled_embeddings, merged_payload, readiness
+from codelattice.sources.layouts import in_first_place, labelled_embeddings, merged_payload, readiness
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +99,19 @@ def q_sim_block(spark, sf_dir):
     return similarity_block(rows.where("label = 3"), rows, "jaccard").select("i", "k", F.round("sim", 9).alias("sim"))
 
 
+def q_sim_lookup(spark, sf_dir):
+    """The similarity of every code to the code of three times its id, null where there is none."""
+    rows = codes(spark, sf_dir, DENSE)
+    asked = rows.select(F.col("point_id").alias("i"), (F.col("point_id") * 3).alias("k"))
+    return pair_similarity(asked, rows, LENGTH, "jaccard").select("i", "k", F.round("sim", 9).alias("sim"))
+
+
+def q_unique_paths(spark, sf_dir):
+    """Users as paths in the order of their events, each at its first place."""
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("layouts/"), F.nullif(F.col("user_id"), F.lit(0)).cast("string")).alias("path"), F.col("event_id").alias("place"))
+    return in_first_place(rows, "path", "place")
+
+
 def q_angle_similarity(spark, sf_dir):
     rows = measured_events(spark, sf_dir)
     return rows.select("seq", F.round(angle_similarity(F.col("angle"), (F.col("image_id") * 37 % 360).cast("double")), 9).alias("sim"))
@@ -219,6 +232,11 @@ ORACLE = {
     "q_sim_all_pairs_dense": f"WITH {DENSE_SQL}, {OVERLAP_SQL} SELECT i, k AS j, round(s, 9) AS sim FROM cosines WHERE i < k",
     "q_sim_block": f"""WITH {CODES_SQL}, {OVERLAP_SQL} SELECT i, k, round(common / (a.ones + b.ones - common)::DOUBLE, 9) AS sim
         FROM overlap JOIN codes a ON i = a.point_id JOIN codes b ON k = b.point_id WHERE a.label = 3""",
+    "q_sim_lookup": f"""WITH {DENSE_SQL}, asked AS (SELECT point_id AS i, point_id * 3 AS k FROM codes),
+        met AS (SELECT i, k, count(a.bit) AS common FROM asked LEFT JOIN bits a ON a.point_id = i AND EXISTS (SELECT 1 FROM bits b WHERE b.point_id = k AND b.bit = a.bit) GROUP BY i, k)
+        SELECT i, k, CASE WHEN b.point_id IS NOT NULL THEN round(common / (a.ones + b.ones - common)::DOUBLE, 9) END AS sim
+        FROM met JOIN codes a ON a.point_id = i LEFT JOIN codes b ON b.point_id = k""",
+    "q_unique_paths": "SELECT 'layouts/' || user_id AS path, min(event_id) AS place FROM events WHERE user_id <> 0 GROUP BY user_id",
     "q_angle_similarity": f"""WITH {EVENTS_SQL}, d AS (SELECT seq, abs(angle - (image_id * 37 % 360)::DOUBLE) % 360 AS d FROM measured)
         SELECT seq, round((cos(radians(least(d, 360 - d))) + 1) / 2, 9) AS sim FROM d""",
     "q_label_format": """SELECT l_orderkey, l_linenumber,

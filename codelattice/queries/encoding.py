@@ -96,8 +96,15 @@ def q_collect_samples(spark, sf_dir):
 
 
 def q_debug_geometry(spark, sf_dir):
-    rows = E.debug_geometry(measured_events(spark, sf_dir))
-    return rows.select("seq", "left", "top", "center_x", "center_y", F.round("hue", 9).alias("hue"))
+    """In an image of 30 x 28 whose grid is inferred from the encoder."""
+    rows = measured_events(spark, sf_dir)
+    rows = E.debug_geometry(rows, E.patch_grid(rows, E.inferred_grid(E.DEFAULT), (30, 28)))
+    return rows.select("seq", "left", "top", "center_x", "center_y", F.round("hue", 9).alias("hue"), "r", "g", "b")
+
+
+def q_debug_boxes(spark, sf_dir):
+    """The boxes of the grid that the measurements span, in an image of 35 x 42."""
+    return E.grid_boxes(spark, E.patch_grid(measured_events(spark, sf_dir), image=(35, 42)))
 
 
 WINDOWS_SQL = """layers AS (
@@ -160,8 +167,14 @@ ORACLE = {
           ON (dim = 0 AND {_HIT}) OR (dim = 1 AND {_OPEN.format(v="x")}) OR (dim = 2 AND {_OPEN.format(v="y")}) GROUP BY ALL""",
     "q_collect_samples": f"""WITH {EVENTS_SQL}, chosen AS (SELECT DISTINCT image_id FROM measured WHERE x = 3 ORDER BY image_id LIMIT 50)
         SELECT image_id, count(*) AS n FROM measured SEMI JOIN chosen USING (image_id) GROUP BY image_id""",
-    "q_debug_geometry": f"""WITH {EVENTS_SQL} SELECT seq, x * 4::DOUBLE AS left, y * 4::DOUBLE AS top, (x + 0.5::DOUBLE) * 4 AS center_x, (y + 0.5::DOUBLE) * 4 AS center_y,
-        round(angle % 360, 9) AS hue FROM measured""",
+    "q_debug_geometry": f"""WITH {EVENTS_SQL}, h AS (SELECT *, angle % 360 AS h, floor(angle % 360 / 360 * 6)::INT AS k, angle % 360 / 360 * 6 - floor(angle % 360 / 360 * 6) AS f FROM measured)
+        SELECT seq, x * 4::DOUBLE AS left, y * 4::DOUBLE + 1 AS top, (x + 0.5::DOUBLE) * 4 AS center_x, (y + 0.5::DOUBLE) * 4 + 1 AS center_y, round(h, 9) AS hue,
+            floor(255 * CASE k WHEN 0 THEN 1 WHEN 1 THEN 1 - f WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN f ELSE 1 END)::INT AS r,
+            floor(255 * CASE k WHEN 0 THEN f WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 - f ELSE 0 END)::INT AS g,
+            floor(255 * CASE k WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN f WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 1 - f END)::INT AS b FROM h""",
+    "q_debug_boxes": f"""WITH {EVENTS_SQL}, size AS (SELECT max(x) + 1 AS across, max(y) + 1 AS down, least(42 / (max(x) + 1)::DOUBLE, 35 / (max(y) + 1)::DOUBLE) AS edge FROM measured)
+        SELECT y::INT AS y, x::INT AS x, x * edge + (42 - across * edge) / 2 AS left, y * edge + (35 - down * edge) / 2 AS top, edge
+        FROM size, (SELECT unnest(range(100)) AS x), (SELECT unnest(range(100)) AS y) WHERE x < across AND y < down""",
 }
 
 QUERIES = {name: f for name, f in globals().items() if name.startswith("q_")}

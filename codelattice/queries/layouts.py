@@ -28,6 +28,13 @@ def q_local_energy(spark, sf_dir):
     return N.normalised_energy(_raw(points(spark, sf_dir))).select("point_id", F.round("energy", 6).alias("energy"))
 
 
+def q_local_energy_centers(spark, sf_dir):
+    """Raw energies of the points of one label among all points; the others have 0."""
+    placed = points(spark, sf_dir)
+    raw = N.local_energy(placed, LENGTH, RADIUS, *SIM, centers=placed.where("label = 3"))
+    return raw.select("point_id", F.round("raw", 6).alias("raw"))
+
+
 def q_avg_energy(spark, sf_dir):
     return N.average_energy(_raw(points(spark, sf_dir))).select(F.round("avg_energy", 6).alias("avg_energy"))
 
@@ -262,6 +269,7 @@ ORACLE = {
     "q_embedding_codes": MERGED_SQL,
     "q_place": f"WITH {POINTS_SQL} SELECT point_id, y, x FROM points",
     "q_local_energy": f"WITH {ENERGY_SQL} SELECT point_id, round(CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () ELSE 0 END, 6) AS energy FROM raw",
+    "q_local_energy_centers": f"WITH {ENERGY_SQL} SELECT point_id, round(CASE WHEN label = 3 THEN raw ELSE 0 END, 6) AS raw FROM raw JOIN points USING (point_id)",
     "q_avg_energy": f"WITH {ENERGY_SQL} SELECT round(avg(raw) / max(raw), 6) AS avg_energy FROM raw",
     "q_short_weights": f"WITH {ENERGY_SQL} SELECT point_id, round(greatest(0::DOUBLE, -ln(greatest(1e-6::DOUBLE, raw / max(raw) OVER ()))), 6) AS weight FROM raw",
     "q_coverage": f"WITH {POINTS_SQL}, {DETECTORS_SQL} SELECT detector_id, point_id FROM detectors JOIN points ON (cy - y) * (cy - y) + (cx - x) * (cx - x) <= radius * radius",

@@ -22,6 +22,12 @@ def q_energy_progress(spark, sf_dir):
     return M.energy_progress(step_log(spark, sf_dir)).select("run", "step", F.round("progress", 6).alias("progress"))
 
 
+def q_state_log(spark, sf_dir):
+    """Energies measured at the steps that swapped something over 50, carried on over the others."""
+    log = step_log(spark, sf_dir).withColumn("energy", F.when(F.col("swaps") > 50, F.col("energy")))
+    return M.state_log(log).select("run", "step", F.round("energy", 6).alias("energy"), "energy_step", F.round("energy_diff", 6).alias("energy_diff"))
+
+
 def q_adaptive(spark, sf_dir):
     log = step_log(spark, sf_dir).select("run", F.floor(F.col("step") / 10).alias("step"), "swaps")
     log = log.groupBy("run", "step").agg(F.sum("swaps").alias("swaps"))
@@ -50,6 +56,11 @@ ORACLE = {
         SELECT run, step, round(ratio, 9) AS ratio, round(avg(ratio) OVER w, 9) AS average, count(*) OVER w = 2 AND avg(ratio) OVER w <= 0.1::DOUBLE AS stop
         FROM r WINDOW w AS (PARTITION BY run ORDER BY step ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)""",
     "q_energy_progress": f"WITH {_LOG} SELECT run, step, round(lag(energy) OVER (PARTITION BY run ORDER BY step) - energy, 6) AS progress FROM log",
+    "q_state_log": f"""WITH {_LOG}, m AS (SELECT run, step, CASE WHEN swaps > 50 THEN energy END AS energy, CASE WHEN swaps > 50 THEN step END AS seen FROM log),
+        c AS (SELECT run, step, last_value(energy IGNORE NULLS) OVER w AS energy, last_value(seen IGNORE NULLS) OVER w AS energy_step FROM m
+              WINDOW w AS (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        d AS (SELECT *, energy - lag(energy) OVER w AS diff, energy_step <> lag(energy_step) OVER w AS fresh FROM c WINDOW w AS (PARTITION BY run ORDER BY step))
+        SELECT run, step, round(energy, 6) AS energy, energy_step, CASE WHEN fresh THEN round(diff, 6) END AS energy_diff FROM d""",
     "q_adaptive": f"""WITH RECURSIVE {_LOG}, steps AS (
             SELECT run, step // 10 AS step, sum(swaps) AS swaps, row_number() OVER (PARTITION BY run ORDER BY step // 10) AS rn FROM log GROUP BY run, step // 10
         ), base AS (

@@ -41,6 +41,23 @@ def read_pngs(spark: SparkSession, path: str, resize: bool = True) -> DataFrame:
     return _numbered(files.select("path", "content").mapInPandas(decode, FIELDS))
 
 
+def read_pngs_as_they_are(spark: SparkSession, path: str) -> DataFrame:
+    """(name, height, width, pixels 0 to 1) of PNG files of any size, neither resized nor checked."""
+
+    def decode(batches):
+        for pdf in batches:
+            greys = [decode_grey(data) for data in pdf["content"]]
+            yield pd.DataFrame(
+                {
+                    "name": pdf["path"], "height": [g.shape[0] for g in greys], "width": [g.shape[1] for g in greys],
+                    "pixels": [(g / 255.0 if g.max() > 1.5 else g.astype(float)).ravel().tolist() for g in greys],
+                }
+            )
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path)
+    return files.select("path", "content").mapInPandas(decode, "name string, height int, width int, pixels array<double>")
+
+
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
     """The same for the .png members of ZIP archives, which must be 28 x 28; other members are left out."""
 

@@ -37,6 +37,27 @@ def newest(spark: SparkSession, folder: str, points: int) -> DataFrame:
     return files.select("path", "modificationTime").orderBy(F.desc("modificationTime"), "path")
 
 
+def in_first_place(rows: DataFrame, key: str = "path", place: str = "place") -> DataFrame:
+    """(key, place): every value once, at the first of its places; null and empty values are left out."""
+    return rows.where(F.col(key) != "").groupBy(key).agg(F.min(place).alias(place))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def usable(spark: SparkSession, folder: str, points: int, path: str | None = None) -> str | None:
+    """The first document that is ready: the one asked for, then those of the folder with that many points, the newest first."""
+    found = [row["path"] for row in newest(spark, folder, points).collect()]  # file names of one folder
+    ranked = spark.createDataFrame([(p, n) for n, p in enumerate([path if path and exists(spark, path) else None, *found])], "path string, place int")
+    for row in in_first_place(ranked).orderBy("place").collect():
+        if readiness(read_json(spark, row["path"])).where("ready").limit(1).count():
+            return row["path"]
+    return None
+
+
 def points_of(documents: DataFrame, pair_radius: int | None = None) -> DataFrame:
     """(path, point_id, y, x, label, hue, ones, bits); incomplete documents and other radii are errors."""
     rows = documents.select("path", "pair_radius", "width", "height", F.explode("layout").alias("e"))

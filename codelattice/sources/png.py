@@ -1,4 +1,4 @@
-"""8-bit PNG images as grey values and back, with zlib alone."""
+"""PNG images as grey values and back, with zlib alone."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import numpy as np
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Channels by PNG colour type: grey, RGB, palette, grey with alpha, RGB with alpha.
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: First row, first column, rows apart and columns apart of the seven passes of an interlaced file.
+PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
 
 
 def decode_grey(data: bytes) -> np.ndarray:
@@ -27,22 +29,41 @@ def decode_grey(data: bytes) -> np.ndarray:
         elif kind == b"IDAT":
             body += chunk
         at += size + 12
-    if depth != 8 or interlaced or colour not in CHANNELS:
-        raise ValueError("only 8-bit PNG files that are not interlaced can be read")
-    step = CHANNELS[colour]
-    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, width * step + 1)
-    out = np.zeros((height, width * step), np.int64)
-    above = np.zeros(width * step, np.int64)
-    for y in range(height):
-        out[y] = above = _unfiltered(int(lines[y, 0]), lines[y, 1:].astype(np.int64), above, step)
-    pixels = out.reshape(height, width, step)
+    if colour not in CHANNELS or depth not in (1, 2, 4, 8, 16):
+        raise ValueError("not a kind of PNG file that is defined")
+    raw, start, channels = np.frombuffer(zlib.decompress(body), np.uint8), 0, CHANNELS[colour]
+    pixels = np.zeros((height, width, channels), np.int64)
+    for y0, x0, dy, dx in PASSES if interlaced else ((0, 0, 1, 1),):
+        target = pixels[y0::dy, x0::dx]
+        if target.size:
+            size = target.shape[0] * (1 + (target.shape[1] * channels * depth + 7) // 8)
+            target[...] = _samples(raw[start : start + size], *target.shape, depth)
+            start += size
     if colour == 3:
         pixels = palette[pixels[:, :, 0]].astype(np.int64)
+    else:
+        pixels = pixels >> 8 if depth == 16 else pixels * 255 // ((1 << depth) - 1)
     if colour in (0, 4):
         return pixels[:, :, 0]
     return (pixels[:, :, :3] @ np.array([299, 587, 114]) + 500) // 1000
 
 
+def _samples(raw: np.ndarray, height: int, width: int, channels: int, depth: int) -> np.ndarray:
+    """The samples (height, width, channels) of filtered lines of so many bits a sample."""
+    lines = raw.reshape(height, -1)
+    step = max(1, channels * depth // 8)
+    out = np.zeros((height, lines.shape[1] - 1), np.int64)
+    above = out[0]
+    for y in range(height):
+        out[y] = above = _unfiltered(int(lines[y, 0]), lines[y, 1:].astype(np.int64), above, step)
+    if depth == 16:
+        out = out[:, 0::2] << 8 | out[:, 1::2]
+    elif depth < 8:
+        bits = np.unpackbits(out.astype(np.uint8), axis=1).reshape(height, -1, depth)
+        out = bits @ (1 << np.arange(depth)[::-1])
+    return out[:, : width * channels].reshape(height, width, channels)
+
+
 def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
     if kind == 0:
         return line

@@ -139,3 +139,11 @@ def test_long_energy_equals_the_direct_sum(spark):
             d1, d2 = ((p[1] - k[1]) ** 2 + (p[2] - k[2]) ** 2 for p in (a, b))
             c, e = c + s1 * d1 + s2 * d2, e + s2 * d1 + s1 * d2
         assert found[s] == pytest.approx((c, e), abs=1e-6)
+
+
+def test_patch_grids():
+    from codelattice.operators import encoder as E
+
+    assert E.inferred_grid(E.DEFAULT) == (7, 7) and E.inferred_grid(E.Encoder(E.DEFAULT.dimensions[:1])) is None
+    assert E.patch_grid(None, (7, 7)) == E.PatchGrid(7, 7, 1.0)
+    assert E.patch_grid(None, (7, 7), (28, 42)) == E.PatchGrid(7, 7, 4.0, 7.0, 0.0)

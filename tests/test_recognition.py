@@ -1,5 +1,7 @@
 """Bars in two directions, from pixels to predictions."""
 
+import json
+
 from codelattice import __main__ as commands
 from codelattice.plans import layout as L
 from codelattice.plans import recognition as R
@@ -18,6 +20,17 @@ def test_images_to_predictions(spark, tmp_path):
     commands.build(spark, path, folder, count=8, samples=8, phases=[L.Phase("long", 1, 300)])
     embedded = spark.read.parquet(f"{folder}/embeddings").collect()
     assert len(embedded) == 8 and all(0 < r.ones <= R.SATURATION for r in embedded)
+    document = tmp_path / "out.json"
+    document.write_text(json.dumps({"note": "kept"}))
+    commands.export(spark, folder, str(document))
+    commands.import_points(spark, str(document), str(tmp_path / "again"))
+    content = json.loads(document.read_text())
+    assert content["note"] == "kept" and len(content["embeddings"]) == 8
+    fields = ("point_id", "y", "x", "label", "ones", "bits")
+    same = [spark.read.parquet(f"{f}/points").select(*fields).orderBy("point_id").collect() for f in (folder, str(tmp_path / "again"))]
+    assert same[0] == same[1]
+    commands.export(spark, folder, str(document))
+    assert json.loads(document.read_text())["layout"] == content["layout"]
     found, queries = commands.predict(spark, path, folder, 0.35)
     by = {r.query_id: r for r in found.collect()}
     assert len(by) == 11 and by[10].confidence == 0.1 and by[10].predicted_class == 0

@@ -1,13 +1,15 @@
 """Readers and writers of images and layout documents, and the watched step log."""
 
 import json
+import struct
 import zipfile
+import zlib
 
 import numpy as np
 
 from codelattice.functions import bits as B
 from codelattice.sources import images, layouts
-from codelattice.sources.png import decode_grey, encode_rgb, resized
+from codelattice.sources.png import PASSES, SIGNATURE, decode_grey, encode_rgb, resized
 from codelattice.streaming import telemetry
 from pyspark.sql import functions as F
 
@@ -80,3 +82,38 @@ def test_watched_log_asks_for_a_stop_once(spark, tmp_path):
     assert found == [("calm", 5, "energy"), ("calm", 6, "energy"), ("calm", 7, "energy"), ("idle", 6, "swaps")]
     whole = telemetry.stops_of(spark.read.parquet(folder), window=3).collect()
     assert sorted((r.run, r.step, r.why) for r in whole) == found
+
+
+def _png(width, height, depth, colour, interlaced, raw, palette=b""):
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlaced)
+    return SIGNATURE + chunk(b"IHDR", head) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_png_of_other_depths():
+    assert decode_grey(_png(3, 2, 1, 0, 0, bytes([0, 0b10100000, 0, 0b01000000]))).tolist() == [[255, 0, 255], [0, 255, 0]]
+    assert decode_grey(_png(3, 1, 4, 0, 0, bytes([0, 0x0F, 0x30]))).tolist() == [[0, 255, 51]]
+    assert decode_grey(_png(2, 1, 16, 0, 0, bytes([1, 0x12, 0x34, 0x10, 0x00]))).tolist() == [[0x12, 0x22]]
+    assert decode_grey(_png(2, 1, 2, 3, 0, bytes([0, 0b01100000]), bytes([0, 0, 0, 9, 9, 9, 200, 200, 200]))).tolist() == [[9, 200]]
+
+
+def test_interlaced_png():
+    values = np.arange(77).reshape(11, 7) * 3
+    raw = b"".join(bytes([0, *row]) for y, x, dy, dx in PASSES for row in values[y::dy, x::dx].tolist() if row)
+    assert (decode_grey(_png(7, 11, 8, 0, 1, raw)) == values).all()
+
+
+def test_png_as_it_is(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(grey_png(np.array([[0, 255, 51]])))
+    row = images.read_pngs_as_they_are(spark, str(tmp_path)).first()
+    assert (row.height, row.width, row.pixels) == (1, 3, [0.0, 1.0, 0.2])
+
+
+def test_first_usable_document(spark, tmp_path):
+    entries = spark.createDataFrame([(0, 1, 2, "a", "01", 5.0, 1)], "index long, y int, x int, label string, value string, hue double, ones int")
+    bad, good = str(tmp_path / "layout-1-a.json"), str(tmp_path / "layout-1-b.json")
+    layouts.write_json(entries, bad, {"width": 0, "height": 3})
+    layouts.write_json(entries, good, {"width": 3, "height": 3})
+    assert layouts.usable(spark, str(tmp_path), 1, bad).endswith("layout-1-b.json")
+    assert layouts.usable(spark, str(tmp_path), 1, str(tmp_path / "none.json")).endswith("layout-1-b.json")
+    assert layouts.usable(spark, str(tmp_path), 2, bad) is None and layouts.usable(spark, str(tmp_path), 2, good) == good
