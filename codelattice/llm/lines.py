@@ -10,6 +10,8 @@ not the chunk's first occurrence goes.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,8 +40,7 @@ def line_chunks(data: bytes, min_words: int = MIN_WORDS) -> tuple[list[tuple[int
     if parts and not parts[-1]:
         parts.pop()
     spans, at = [], 0
-    words, rolled = [0], [0]
-    powers = [1]
+    words, rolled, powers = array("q", [0]), array("Q", [0]), array("Q", [1])  # eight bytes a line each
     for line in parts:
         spans.append((at, min(at + len(line) + 1, len(data))))
         at += len(line) + 1
@@ -115,7 +116,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = ["key", "id", "first", "last", "hash"]
 
     def scan(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 50):
             keys, ids = (batch.column(k).to_pylist() for k in (0, 1))
             place, first, last, hashes = [], [], [], []
             for n, data in enumerate(batch.column(2).to_pylist()):
