@@ -10,8 +10,6 @@ not the chunk's first occurrence goes.
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,56 +17,71 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.shared import materialise, slices, small_batches
+from codelattice.llm.shared import ROWS_AT_ONCE, materialise, slices, small_batches
 
 #: Words of a chunk at least: shorter repeats are left alone.
 MIN_WORDS = 50
 #: Bits of the filter that says which texts a join may need; its 1,024 parts of 4 KB are broadcast.
 FILTER_BITS = 1 << 25
+#: Chunks, and bytes of chunks, that a worker holds before it hands them on, but for those of one text.
+CHUNKS_AT_ONCE = 50_000
+BYTES_AT_ONCE = 1 << 22
+_WHITE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+#: Base of the rolling hash; it is odd, so it has an inverse modulo 2^64.
 _M = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
-def line_chunks(data: bytes, min_words: int = MIN_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """(first byte, end byte) of every line, and (first line, last line, hash) of every chunk, each once.
+def line_bounds(data) -> np.ndarray:
+    """Where lines begin, and the end of the last one; a line's line feed belongs to it."""
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
+    if len(data) > (ends[-1] if len(ends) else 0):
+        ends = np.append(ends, len(data))
+    return np.concatenate([[0], ends]).astype(np.int64)
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    return np.cumprod(np.full(count, base, np.uint64), dtype=np.uint64)
 
-    Lines end at a line feed, which belongs to its line but is not hashed, so a run is the same
-    whether or not the text ends after it.  Words are separated by ASCII white space.  The hash is a
-    polynomial in the lines' hashes modulo 2^64, from sums of all lines up to each.
+
+def chunk_arrays(data, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first lines, last lines, hashes) of every chunk of a text's bytes, each once, in order of their lines.
+
+    Words are separated by ASCII white space.  The hash is a polynomial in the lines' hashes modulo
+    2^64, line feeds left out, so a run is the same whether or not the text ends after it: with
+    sums of the hashes over powers of the base up to every line, a chunk's is one difference.
     """
-    parts = data.split(b"\n")
-    if parts and not parts[-1]:
-        parts.pop()
-    spans, at = [], 0
-    words, rolled, powers = array("q", [0]), array("Q", [0]), array("Q", [1])  # eight bytes a line each
-    for line in parts:
-        spans.append((at, min(at + len(line) + 1, len(data))))
-        at += len(line) + 1
-        words.append(words[-1] + len(line.split()))
-        rolled.append((rolled[-1] * _M + xxhash.xxh64_intdigest(line)) & _MASK)
-        powers.append(powers[-1] * _M & _MASK)
+    none = np.empty(0, np.int64)
+    bounds = line_bounds(data)
+    codes = np.frombuffer(data, np.uint8)
+    white = _WHITE[codes]
+    begins = np.flatnonzero(white[:-1] & ~white[1:]) + 1  # but for a word that begins the text
+    words = np.searchsorted(begins, bounds)
+    words[1:] += len(white) > 0 and not white[0]
     if words[-1] < min_words:
-        return spans, []
-    runs = set()
-    end = 0
-    for begin in range(len(parts)):  # the shortest run from each line on
-        while end < len(parts) and words[end] - words[begin] < min_words:
-            end += 1
-        if words[end] - words[begin] < min_words:
-            break
-        runs.add((begin, end))
-    begin = 0
-    for end in range(1, len(parts) + 1):  # and up to each line
-        if words[end] < min_words:
-            continue
-        while words[end] - words[begin + 1] >= min_words:
-            begin += 1
-        runs.add((begin, end))
-    return spans, [(a, b - 1, (rolled[b] - rolled[a] * powers[b - a]) & _MASK) for a, b in sorted(runs)]
-
-
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+        return none, none, none.view(np.uint64)
+    count = len(bounds) - 1
+    ends = np.searchsorted(words, words[:-1] + min_words)  # the shortest run from each line on
+    first = np.flatnonzero(ends <= count)
+    stops = np.flatnonzero(words >= min_words)  # and up to each line
+    runs = np.unique(
+        np.concatenate([first * (count + 1) + ends[first], (np.searchsorted(words, words[stops] - min_words, "right") - 1) * (count + 1) + stops])
+    )
+    first, end = runs // (count + 1), runs % (count + 1)
+    view = memoryview(data)
+    cuts = bounds.tolist()
+    feeds = (codes[bounds[1:] - 1] == 10).tolist()
+    hashes = np.fromiter(
+        (xxhash.xxh64_intdigest(view[a : b - f]) for a, b, f in zip(cuts, cuts[1:], feeds)), np.uint64, count
+    )
+    sums = np.zeros(count + 1, np.uint64)
+    np.cumsum(hashes * _powers(pow(_M, -1, 1 << 64), count), out=sums[1:])
+    return first, end - 1, (sums[end] - sums[first]) * _powers(_M, count)[end - 1]
+
+
+def line_chunks(data: bytes, min_words: int = MIN_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """(first byte, end byte) of every line, and (first line, last line, hash) of every chunk."""
+    bounds = line_bounds(data).tolist()
+    return list(zip(bounds, bounds[1:])), list(zip(*(column.tolist() for column in chunk_arrays(data, min_words))))
 
 
 def needed_filter(keys: DataFrame) -> DataFrame:
@@ -116,18 +129,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = ["key", "id", "first", "last", "hash"]
 
     def scan(batches):
-        for batch in slices(batches, 50):
-            keys, ids = (batch.column(k).to_pylist() for k in (0, 1))
-            place, first, last, hashes = [], [], [], []
-            for n, data in enumerate(batch.column(2).to_pylist()):
-                for a, b, h in line_chunks(data, min_words)[1]:
-                    place.append(n)
-                    first.append(a)
-                    last.append(b)
-                    hashes.append(_signed(h))
-            columns = [pa.array([keys[n] for n in place], pa.int64()), pa.array([ids[n] for n in place], pa.int64())]
-            columns += [pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(hashes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        def handed_on(held):
+            columns = [np.concatenate(c) for c in zip(*held)]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+            ids = pa.array(columns[1], mask=columns[5])
+            arrays = [ids if n == 1 else pa.array(columns[n]) for n in range(5)]
+            return pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(arrays, types)], names=names)
+
+        for batch in slices(batches, ROWS_AT_ONCE):
+            held, size = [], 0
+            for key, id_, text in zip(*(batch.column(k) for k in range(3))):
+                first, last, hashes = chunk_arrays(text.as_buffer(), min_words)
+                if not len(first):
+                    continue
+                of_text = [np.full(len(first), v, t) for v, t in ((key.as_py(), np.int64), (id_.as_py() or 0, np.int64), (not id_.is_valid, bool))]
+                held.append((of_text[0], of_text[1], first, last, hashes.view(np.int64), of_text[2]))
+                size += len(first)
+                if size >= CHUNKS_AT_ONCE:
+                    yield handed_on(held)
+                    held, size = [], 0
+            if held:
+                yield handed_on(held)
 
     chunks = materialise(rows.mapInArrow(scan, "key long, id long, first int, last int, hash long"), "chunks")
     repeated = chunks.groupBy(F.bitwise_not("hash").alias("other")).agg(F.count("*").alias("n")).where("n > 1").select("other")
@@ -142,17 +164,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fetched = texts.join(spots.hint("merge"), F.col("key") == F.col("s_key")).select("key", "id", "data", "spots")
 
     def cut(batches):
-        for batch in slices(batches, 100):
-            keys, ids = (batch.column(k).to_pylist() for k in (0, 1))
-            out = []
-            for key, id_, data, wanted_ in zip(keys, ids, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                spans, _ = line_chunks(data, 1 << 60)
-                for s in wanted_:
-                    body = data[spans[s["first"]][0] : spans[s["last"]][1]].removesuffix(b"\n")
-                    out.append((key, id_, s["first"], s["last"], s["hash"], body))
+        def handed_on(out):
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            columns = zip(*out) if out else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*names, "body"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*names, "body"])
+
+        for batch in slices(batches, ROWS_AT_ONCE):
+            out, size = [], 0
+            for key, id_, text, wanted_ in zip(*(batch.column(k) for k in range(4))):
+                key, id_, data = key.as_py(), id_.as_py(), text.as_buffer()
+                bounds = line_bounds(data).tolist()
+                view = memoryview(data)
+                for s in wanted_.as_py():
+                    body = bytes(view[bounds[s["first"]] : bounds[s["last"] + 1]]).removesuffix(b"\n")
+                    out.append((key, id_, s["first"], s["last"], s["hash"], body))
+                    size += len(body) + 100
+                    if size >= BYTES_AT_ONCE:
+                        yield handed_on(out)
+                        out, size = [], 0
+            if out:
+                yield handed_on(out)
 
     bodies = fetched.mapInArrow(cut, "key long, id long, first int, last int, hash long, body binary")
     bodies = materialise(bodies, "bodies")
@@ -177,13 +207,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = []
         for value, runs in zip(text, going):
             data = value.encode()
-            spans, _ = line_chunks(data, 1 << 60)
-            gone = np.zeros(len(spans) + 1, np.int64)
+            bounds = line_bounds(data).tolist()
+            gone = np.zeros(len(bounds), np.int64)
             for run in runs:
                 gone[run["first"]] += 1
                 gone[run["last"] + 1] -= 1
             gone = np.cumsum(gone) > 0
-            out.append((b"".join(data[a:b] for (a, b), g in zip(spans, gone) if not g).decode(), int(gone.sum())))
+            out.append((b"".join(data[a:b] for a, b, g in zip(bounds, bounds[1:], gone) if not g).decode(), int(gone.sum())))
         return pd.DataFrame(out, columns=["text", "removed"])
 
     touched = there.where("going is not null").select("row", without("text", "going").alias("w"))
