@@ -247,6 +247,7 @@ def similar_groups(
     are linked if their whole sketches differ in no more bits than texts of that similarity do, plus one standard deviation.
 
     key_col: a long that identifies the text; rows without one, and repeated keys, count once at most.
+    Groups do not depend on how rows are partitioned or in which order they come.
     Null and wordless texts have the empty sketch and link with one another only.  component is the
     smallest key reachable.  An empty table gives an empty result.
     """
@@ -272,6 +273,7 @@ def similar_groups(
     bits = leading_bits(unique.count(), half, rows_per_bucket)
 
     def meet(key, pdf):
+        pdf = pdf.sort_values("fp")  # each once: which pairs make the forest then does not depend on the shuffle
         fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         node = pdf["node"].to_numpy(np.int64)
         found = spanning_links(fp, link_bucket(fp, int(key[2]), int(key[1]), radius, width))

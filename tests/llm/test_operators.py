@@ -316,6 +316,24 @@ def test_spanning_links_keep_components_and_near_links():
     assert len(simhash.spanning_links(fp, near[:0])) == 0
 
 
+def test_similar_groups_do_not_depend_on_the_order_of_rows(spark):
+    draw = random.Random(21)
+    texts = []
+    for _ in range(25):  # families whose members meet in many buckets, near the limit of similarity
+        base = [f"w{draw.randrange(3000)}" for _ in range(150)]
+        for _ in range(24):
+            own = list(base)
+            for _ in range(draw.randrange(1, 9)):
+                own[draw.randrange(len(own))] = f"v{draw.randrange(3000)}"
+            texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    found = []
+    for order, partitions in ((sorted(rows), 3), (sorted(rows, reverse=True), 7)):
+        docs = spark.createDataFrame(order, "k long, text string").repartition(partitions)
+        found.append({r.k: r.component for r in simhash.similar_groups(docs, "k").collect()})
+    assert found[0] == found[1] and len(set(found[0].values())) < len(texts)
+
+
 def test_similar_groups_find_texts_of_a_jaccard_of_four_fifths(spark):
     draw = random.Random(21)
     word = lambda: f"w{draw.randrange(10**6)}"
