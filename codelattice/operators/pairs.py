@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions import bits as B
 from codelattice.functions.similarity import similarity
-from codelattice.tables import BROADCAST_ROWS, stored
+from codelattice.tables import BROADCAST_ROWS
 
-
-#: Meetings over an inverted index that cost as much as one comparison of packed codes.
-MEETINGS_PER_COMPARISON = 3
+#: Meetings over an inverted index that cost as much as one comparison of packed codes: a meeting is shuffled, a comparison is not.
+MEETINGS_PER_COMPARISON = 0.05
+#: Rows of one block of the right side; what a row of the left makes with it is held in memory at once.
+ROWS_PER_BLOCK = 4096
+#: Bytes of packed codes that one task of a comparison holds of the right side.
+BYTES_PER_TASK = 32 << 20
+TASKS_PER_CORE = 8
 
 
 def meetings(left: DataFrame, right: DataFrame) -> tuple[int, int]:
@@ -22,39 +26,101 @@ def meetings(left: DataFrame, right: DataFrame) -> tuple[int, int]:
     return (int(row[0]), row[1] + 1) if row[0] is not None else (0, 0)
 
 
-def overlaps(left: DataFrame, right: DataFrame, distinct_ids: bool = True, ordered: bool = False, rows_per_block: int = 512) -> DataFrame:
-    """(i, k, common, ones_i, ones_k) of every pair that shares an active bit; both sides are (point_id, bits).
+def word_columns(bits: Column, length: int, prefix: str) -> list[Column]:
+    """The packed code as one column per word, prefix0 and so on, which generated code reads without a loop."""
+    words = B.pack(bits, length)
+    return [F.get(words, F.lit(w)).alias(f"{prefix}{w}") for w in range((length + 63) // 64)]
+
+
+def common_words(prefix_a: str, prefix_b: str, length: int) -> Column:
+    """Number of positions active in both codes of word_columns."""
+    return sum((F.bit_count(F.col(f"{prefix_a}{w}").bitwiseAND(F.col(f"{prefix_b}{w}"))) for w in range((length + 63) // 64)), F.lit(0)).cast("int")
+
 
-    Sparse codes meet on their bits, so pairs without a common bit, whose similarity is 0, never
-    exist.  Where the bits are so dense that this makes more rows than there are pairs to compare,
-    blocks of packed codes meet instead.  ordered: only pairs with i < k.
+def crossed(left: DataFrame, right: DataFrame, by: str, upper: str | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Every row of left beside every row of right; no pair is shuffled or stored, so disk grows with the rows only.
+
+    by: a column of right without many equal values, which deals it out into blocks.  A block travels
+    as one row and a task holds a bounded number of them, against its part of the left rows.  The
+    sides' columns must not share names.  upper: left's column like by, where both sides are the same
+    rows; then a pair of different rows is met once, in either order.
     """
-    keep = F.col("i") < F.col("k") if ordered else (F.col("i") != F.col("k")) if distinct_ids else F.lit(True)
-    many, length = meetings(left, right)
     rows = right.count()
-    if many <= MEETINGS_PER_COMPARISON * left.count() * rows:
-        a = left.select(F.col("point_id").alias("i"), F.size("bits").alias("ones_i"), F.explode("bits").alias("bit"))
-        b = right.select(F.col("point_id").alias("k"), F.size("bits").alias("ones_k"), F.explode("bits").alias("bit"))
-        met = a.join(b, "bit").where(keep)
-        return met.groupBy("i", "k", "ones_i", "ones_k").agg(F.count("*").cast("int").alias("common"))
+    blocks = max(1, -(-rows // rows_per_block))
+    number = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    packed = right.groupBy(number(by).alias("__block")).agg(F.collect_list(F.struct(*right.columns)).alias("__others"))
+    tasks = TASKS_PER_CORE * left.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-rows * 16 * (len(right.columns) + 1) // BYTES_PER_TASK))
+    packed = packed.repartition(parts)
+    facing = left if upper is None else left.withColumn("__own", number(upper))
+    # the hint keeps the blocks from being sent to the driver, and left rows from being looped over inside one block
+    met = facing.repartition(max(1, -(-tasks // parts))).join(
+        packed.hint("shuffle_replicate_nl"), F.lit(True) if upper is None else F.col("__own") <= F.col("__block"), "inner"
+    )
+    own = [*left.columns, *(["__own", "__block"] if upper else [])]
+    met = met.select(*own, F.explode("__others").alias("__o")).select(*own, *[F.col(f"__o.{c}").alias(c) for c in right.columns])
+    if upper is None:
+        return met
+    return met.where((F.col("__own") < F.col("__block")) | (F.col(upper) < F.col(by))).drop("__own", "__block")
+
+
+def meeting(left: DataFrame, right: DataFrame, by: str, keep: Column | None = None, upper: str | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """All columns of both sides but bits, with common, ones_i and ones_k, of every two rows that share an active bit.
+
+    Each side has bits and columns of its own, which tell its rows apart; by: see crossed.  Sparse
+    codes meet on their bits, so pairs without a common bit, whose similarity is 0, never exist.
+    Meetings are shuffled, though: where they are more than a small share of the pairs there are to
+    compare, blocks of packed codes meet instead, in place.  keep: a condition on both sides' columns;
+    upper: see crossed.
+    """
+    keep = F.lit(True) if keep is None else keep
+    many, length = meetings(left, right)
+    mine, others = [c for c in left.columns if c != "bits"], [c for c in right.columns if c != "bits"]
+    if many <= MEETINGS_PER_COMPARISON * left.count() * right.count():
+        a = left.select(*mine, F.size("bits").alias("ones_i"), F.explode("bits").alias("bit"))
+        b = right.select(*others, F.size("bits").alias("ones_k"), F.explode("bits").alias("bit"))
+        met = a.join(b, "bit").where(keep if upper is None else keep & (F.col(upper) < F.col(by)))
+        return met.groupBy(*mine, *others, "ones_i", "ones_k").agg(F.count("*").cast("int").alias("common"))
     # words of bits up to the largest that both sides have; ones count all bits
-    own = lambda side, key, ones: side.select(F.col("point_id").alias(key), F.size("bits").alias(ones), B.pack(F.col("bits"), length).alias("words"))
-    blocks = -(-rows // rows_per_block)
-    number = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("block")
-    packed = own(right, "k", "ones_k").groupBy(number).agg(F.collect_list(F.struct("k", "ones_k", "words")).alias("others"))
-    if rows <= BROADCAST_ROWS:
-        packed = F.broadcast(packed)
-    facing = stored(own(left, "i", "ones_i").repartition(left.sparkSession.sparkContext.defaultParallelism), "packed").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = facing.join(packed, "block").select("i", "ones_i", "words", F.explode("others").alias("o")).select("i", "ones_i", "words", "o.k", "o.ones_k", F.col("o.words").alias("o_words"))
-    # one expression per word, which generated code unrolls
-    common = sum((F.bit_count(F.get("words", F.lit(w)).bitwiseAND(F.get("o_words", F.lit(w)))) for w in range((length + 63) // 64)), F.lit(0))
-    return met.where(keep).select("i", "k", common.cast("int").alias("common"), "ones_i", "ones_k").where("common > 0")
+    a = left.select(*mine, F.size("bits").alias("ones_i"), *word_columns(F.col("bits"), length, "__a"))
+    b = right.select(*others, F.size("bits").alias("ones_k"), *word_columns(F.col("bits"), length, "__b"))
+    met = crossed(a, b, by, upper, rows_per_block).where(keep)
+    return met.select(*mine, *others, "ones_i", "ones_k", common_words("__a", "__b", length).alias("common")).where("common > 0")
+
 
+def overlaps(left: DataFrame, right: DataFrame, distinct_ids: bool = True, ordered: bool = False, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """(i, k, common, ones_i, ones_k) of every pair that shares an active bit; both sides are (point_id, bits).
 
-def similarity_pairs(points: DataFrame, name: str) -> DataFrame:
-    """(i, j, sim) for i < j with sim > 0: the upper half of the similarity matrix without its zeros and diagonal."""
+    See meeting.  ordered: only pairs with i < k.
+    """
+    a, b = left.select(F.col("point_id").alias("i"), "bits"), right.select(F.col("point_id").alias("k"), "bits")
+    if ordered and left is right:  # each pair is compared once, and turned where it came in the other order
+        met = meeting(a, b, "k", upper="i", rows_per_block=rows_per_block)
+        turn = F.col("i") < F.col("k")
+        pick = lambda one, other: F.when(turn, F.col(one)).otherwise(F.col(other))
+        return met.select(pick("i", "k").alias("i"), pick("k", "i").alias("k"), "common", pick("ones_i", "ones_k").alias("ones_i"), pick("ones_k", "ones_i").alias("ones_k"))
+    keep = F.col("i") < F.col("k") if ordered else (F.col("i") != F.col("k")) if distinct_ids else F.lit(True)
+    return meeting(a, b, "k", keep, rows_per_block=rows_per_block).select("i", "k", "common", "ones_i", "ones_k")
+
+
+def similarity_pairs(points: DataFrame, name: str, digits: int | None = None) -> DataFrame:
+    """(i, j, sim) for i < j with sim > 0: the upper half of the similarity matrix without its zeros and diagonal.
+
+    A similarity depends on the overlap and the two sizes only, which are few, so each of its values is
+    computed and rounded once and looked up for the pairs.
+    """
     met = overlaps(points, points, ordered=True)
-    return met.select("i", F.col("k").alias("j"), similarity(name, F.col("common"), F.col("ones_i"), F.col("ones_k")).alias("sim"))
+    value = lambda both, a, b: (lambda s: s if digits is None else F.round(s, digits))(similarity(name, both, a, b))
+    sizes = [r[0] for r in points.select(F.size("bits").alias("n")).where("n > 0").distinct().collect()]
+    most = max(sizes, default=0) + 1
+    if sum(min(a, b) for a in sizes for b in sizes) > BROADCAST_ROWS:
+        return met.select("i", F.col("k").alias("j"), value(F.col("common"), F.col("ones_i"), F.col("ones_k")).alias("sim"))
+    key = lambda both, a, b: ((both.cast("long") * most + a) * most + b).alias("key")
+    size = points.sparkSession.createDataFrame([(n,) for n in sizes], "ones_i int")
+    table = size.join(size.withColumnRenamed("ones_i", "ones_k"), F.lit(True)).withColumn("common", F.explode(F.sequence(F.lit(1), F.least("ones_i", "ones_k"))))
+    parts = (F.col("common"), F.col("ones_i"), F.col("ones_k"))
+    known = table.select(key(*parts), value(*parts).alias("sim"))
+    return met.select("i", F.col("k").alias("j"), key(*parts)).join(F.broadcast(known), "key").select("i", "j", "sim")
 
 
 def similarity_block(rows: DataFrame, columns: DataFrame, name: str) -> DataFrame:
