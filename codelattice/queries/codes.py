@@ -86,12 +86,12 @@ def q_sim_lambda(spark, sf_dir):
 
 
 def q_sim_all_pairs(spark, sf_dir):
-    return similarity_pairs(codes(spark, sf_dir), "cosine").select("i", "j", F.round("sim", 9).alias("sim"))
+    return similarity_pairs(codes(spark, sf_dir), "cosine", 9)
 
 
 def q_sim_all_pairs_dense(spark, sf_dir):
     """The same over codes with half of their bits active."""
-    return similarity_pairs(codes(spark, sf_dir, DENSE), "cosine").select("i", "j", F.round("sim", 9).alias("sim"))
+    return similarity_pairs(codes(spark, sf_dir, DENSE), "cosine", 9)
 
 
 def q_sim_block(spark, sf_dir):

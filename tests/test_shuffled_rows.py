@@ -1,5 +1,7 @@
 """Comparisons of all pairs of codes must not shuffle a row per pair: disk would grow with the square of the codes."""
 
+from codelattice.operators.pairs import similarity_pairs
+from codelattice.queries import codes as C
 from codelattice.queries import layouts as Q
 from codelattice.queries.fixtures import codes
 
@@ -29,3 +31,17 @@ def assert_no_row_per_pair(spark, query, sf_dir="/root/testdata/sf0.01"):
 
 def test_embedding_codes(spark):
     assert_no_row_per_pair(spark, Q.q_embedding_codes)
+
+
+def test_sim_all_pairs(spark):
+    assert_no_row_per_pair(spark, C.q_sim_all_pairs)
+
+
+def test_looked_up_similarities_are_those_of_the_formula(spark):
+    """Also beyond the sizes of which a table is made, and for codes without any bit."""
+    many = spark.createDataFrame([(i, list(range(i % 2, 700 + i))) for i in range(12)] + [(12, [])], "point_id long, bits array<int>")
+    few = spark.createDataFrame([(i, list(range(i % 3, 2 + i))) for i in range(12)] + [(12, [])], "point_id long, bits array<int>")
+    for frame in (many, few):
+        held = {r.point_id: set(r.bits) for r in frame.collect()}
+        expected = {(i, j): round(len(a & b) / (len(a) * len(b)) ** 0.5, 9) for i, a in held.items() for j, b in held.items() if i < j and a & b}
+        assert {(r.i, r.j): r.sim for r in similarity_pairs(frame, "cosine", 9).collect()} == expected
