@@ -45,3 +45,7 @@ def test_looked_up_similarities_are_those_of_the_formula(spark):
         held = {r.point_id: set(r.bits) for r in frame.collect()}
         expected = {(i, j): round(len(a & b) / (len(a) * len(b)) ** 0.5, 9) for i, a in held.items() for j, b in held.items() if i < j and a & b}
         assert {(r.i, r.j): r.sim for r in similarity_pairs(frame, "cosine", 9).collect()} == expected
+
+
+def test_activation(spark):
+    assert_no_row_per_pair(spark, Q.q_activation)
