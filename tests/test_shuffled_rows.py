@@ -49,3 +49,7 @@ def test_looked_up_similarities_are_those_of_the_formula(spark):
 
 def test_activation(spark):
     assert_no_row_per_pair(spark, Q.q_activation)
+
+
+def test_detector_level(spark):
+    assert_no_row_per_pair(spark, Q.q_detector_level)
