@@ -1,9 +1,9 @@
 """Comparisons of all pairs of codes must not shuffle a row per pair: disk would grow with the square of the codes."""
 
-from codelattice.operators.pairs import similarity_pairs
+from codelattice.operators.pairs import overlaps, similarity_pairs
 from codelattice.queries import codes as C
 from codelattice.queries import layouts as Q
-from codelattice.queries.fixtures import codes
+from codelattice.queries.fixtures import DENSE, codes
 
 
 def shuffled_rows(spark, run):
@@ -55,5 +55,11 @@ def test_pair_energy_long_dense(spark):
     assert_no_row_per_pair(spark, Q.q_pair_energy_long_dense)
 
 
+def test_packed_codes_do_not_pass_the_driver(spark):
+    rows = codes(spark, "/root/testdata/sf0.01", DENSE)
+    plan = overlaps(rows, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+
+
 def test_detector_level(spark):
     assert_no_row_per_pair(spark, Q.q_detector_level)
