@@ -63,3 +63,7 @@ def test_packed_codes_do_not_pass_the_driver(spark):
 
 def test_detector_level(spark):
     assert_no_row_per_pair(spark, Q.q_detector_level)
+
+
+def test_matrix(spark):
+    assert_no_row_per_pair(spark, Q.q_matrix)
