@@ -67,3 +67,7 @@ def test_detector_level(spark):
 
 def test_matrix(spark):
     assert_no_row_per_pair(spark, Q.q_matrix)
+
+
+def test_pair_stats(spark):
+    assert_no_row_per_pair(spark, Q.q_pair_stats)
