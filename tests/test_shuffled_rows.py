@@ -71,3 +71,7 @@ def test_matrix(spark):
 
 def test_pair_stats(spark):
     assert_no_row_per_pair(spark, Q.q_pair_stats)
+
+
+def test_swap_decision(spark):
+    assert_no_row_per_pair(spark, Q.q_swap_decision)
