@@ -75,3 +75,7 @@ def test_pair_stats(spark):
 
 def test_swap_decision(spark):
     assert_no_row_per_pair(spark, Q.q_swap_decision)
+
+
+def test_embedding(spark):
+    assert_no_row_per_pair(spark, Q.q_embedding)
