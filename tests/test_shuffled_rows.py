@@ -77,5 +77,9 @@ def test_swap_decision(spark):
     assert_no_row_per_pair(spark, Q.q_swap_decision)
 
 
+def test_pair_energy_long(spark):
+    assert_no_row_per_pair(spark, Q.q_pair_energy_long)
+
+
 def test_embedding(spark):
     assert_no_row_per_pair(spark, Q.q_embedding)
