@@ -1,5 +1,7 @@
 """Comparisons of all pairs of codes must not shuffle a row per pair: disk would grow with the square of the codes."""
 
+from pyspark.sql import functions as F
+
 from codelattice.operators.activation import detector_levels
 from codelattice.operators.pairs import overlaps, similarity_pairs
 from codelattice.queries import codes as C
@@ -110,3 +112,14 @@ def test_detectors_of_the_same_points_share_their_sums(spark):
     assert len(found) == len(expected) and {(r.image_id, r.detector_id): (round(r.level, 9), r.points_used) for r in found} == expected
     products = sum((i, p) in values for i in images for d in circle for p in circle[d] if energy[p] >= 0.3)
     assert shuffled_rows(spark, run) < products / 4
+
+
+def test_embedding_with_many_suppliers(spark, tmp_path):
+    """Suppliers repeat circles: what is shuffled grows with the suppliers, not with their points in all images."""
+    source = "/root/testdata/sf0.01"
+    spark.read.parquet(f"{source}/embeddings.parquet").write.parquet(f"{tmp_path}/embeddings.parquet")
+    suppliers = spark.read.parquet(f"{source}/supplier.parquet")
+    many = suppliers.crossJoin(spark.range(60)).withColumn("s_suppkey", suppliers.s_suppkey + F.col("id") * suppliers.count()).drop("id")
+    many.write.parquet(f"{tmp_path}/supplier.parquet")
+    # a supplier's cells and points are some 80 rows; its points in each image are not among them
+    assert 0 < shuffled_rows(spark, lambda: Q.q_embedding(spark, str(tmp_path))) < 90 * many.count()
