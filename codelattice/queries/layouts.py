@@ -140,7 +140,7 @@ def q_activation(spark, sf_dir):
 def q_matrix(spark, sf_dir):
     side = side_of(spark, sf_dir)
     rows = A.matrix(_activation(spark, sf_dir), points(spark, sf_dir).select("point_id", "y", "x"), side, side)
-    return rows.select("image_id", "y", F.array_join(F.transform("values", lambda v: F.round(v * 1000).cast("int")), ",").alias("row"))
+    return rows.select("image_id", "y", F.array_join(F.transform("values", lambda v: F.when(v == 0, 0).otherwise(F.round(v * 1000).cast("int"))), ",").alias("row"))
 
 
 def _levels(spark, sf_dir):

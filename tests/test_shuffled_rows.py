@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codelattice.operators.activation import detector_levels
+from codelattice.operators.activation import detector_levels, matrix
 from codelattice.operators.pairs import overlaps, similarity_pairs
 from codelattice.queries import codes as C
 from codelattice.queries import layouts as Q
@@ -123,3 +123,20 @@ def test_embedding_with_many_suppliers(spark, tmp_path):
     many.write.parquet(f"{tmp_path}/supplier.parquet")
     # a supplier's cells and points are some 80 rows; its points in each image are not among them
     assert 0 < shuffled_rows(spark, lambda: Q.q_embedding(spark, str(tmp_path))) < 90 * many.count()
+
+
+def test_empty_matrix_rows_are_not_shuffled(spark):
+    """Each image has as many rows as the grid, most of them without a point."""
+    images, height, width = 40, 50, 6
+    values = {(i, p): 0.1 * (p + 1) for i in range(images) for p in range(8) if (i + p) % 3 == 0} | {(images, 8): 0.5}
+    places = {p: (p * 7 % height, p % width) for p in range(8)} | {8: (height, 0)}
+    activation = spark.createDataFrame([(i, p, v) for (i, p), v in values.items()], "image_id long, point_id long, value double")
+    placement = spark.createDataFrame([(p, y, x) for p, (y, x) in places.items()], "point_id long, y int, x int")
+    expected = {(i, y): [0.0] * width for i in range(images + 1) for y in range(height)}
+    for (i, p), v in values.items():
+        if places[p][0] < height:
+            expected[i, places[p][0]][places[p][1]] = v
+    run = lambda: matrix(activation, placement, height, width)
+    found = run().collect()
+    assert len(found) == len(expected) and {(r.image_id, r.y): r["values"] for r in found} == expected
+    assert shuffled_rows(spark, run) < images * height / 2
