@@ -10,6 +10,7 @@ from codelattice.operators.greedy import accept_swaps, spread_out
 from codelattice.operators.spatial import coverage, fill_radius
 from codelattice.plans import layout as L
 from codelattice.queries.fixtures import CODES_SQL, DENSE, DENSE_SQL, DETECTORS_SQL, LENGTH, OVERLAP_SQL, PAIRS_SQL, POINTS_SQL, codes, detectors, pairs, points, side_of, table
+from codelattice.tables import stored
 
 SIM = ("cosine", 0.65, 10.0)
 HARD = ("cosine", 0.6, None)
@@ -127,10 +128,14 @@ def q_detectors(spark, sf_dir):
     return A.build_detectors(placed, energies, (0.45, 0.55, 0.65, 0.75, 0.85))
 
 
+def _stimuli(rows):
+    """Five codes make an image."""
+    return rows.select(F.floor(F.col("point_id") / 5).alias("image_id"), F.col("point_id").alias("stim"), "bits")
+
+
 def _activation(spark, sf_dir):
     rows = codes(spark, sf_dir)
-    stimuli = rows.select(F.floor(F.col("point_id") / 5).alias("image_id"), F.col("point_id").alias("stim"), "bits")
-    return A.activate(stimuli, rows, *HARD)
+    return A.activate(_stimuli(rows), rows, *HARD)
 
 
 def q_activation(spark, sf_dir):
@@ -143,12 +148,16 @@ def q_matrix(spark, sf_dir):
     return rows.select("image_id", "y", F.array_join(F.transform("values", lambda v: F.when(v == 0, 0).otherwise(F.round(v * 1000).cast("int"))), ",").alias("row"))
 
 
+def _energy():
+    """A price-like energy from the table keeps every detector's own energy above 0."""
+    return ((F.col("point_id") * 37 % 100 + 1) / 100.0).alias("energy")
+
+
 def _levels(spark, sf_dir):
     placed = points(spark, sf_dir)
     circles = detectors(spark, sf_dir)
     covered = coverage(circles, placed, 6)
-    # a price-like energy from the table keeps every detector's own energy above 0
-    energies = placed.select("point_id", ((F.col("point_id") * 37 % 100 + 1) / 100.0).alias("energy"))
+    energies = placed.select("point_id", _energy())
     own = covered.join(energies, "point_id").groupBy("detector_id").agg(F.sum("energy").alias("energy"))
     circles = circles.join(own, "detector_id")
     return A.detector_levels(_activation(spark, sf_dir), energies, circles, covered, 0.12, 0.1), circles
@@ -159,9 +168,13 @@ def q_detector_level(spark, sf_dir):
 
 
 def q_embedding(spark, sf_dir):
-    levels, circles = _levels(spark, sf_dir)
-    levels = levels.withColumn("level", F.round("level", 6))
-    found = A.embed_single_bits(levels, circles, 8)
+    """Suppliers of the same circle share its level, and only points inside a circle are compared."""
+    placed = points(spark, sf_dir).select("point_id", _energy(), "bits", "y", "x")
+    circles = stored(A.shared_circles(detectors(spark, sf_dir), 8), "circles")
+    covered = stored(coverage(circles, placed, 6), "covered")
+    own = stored(covered.join(placed, "point_id").groupBy("detector_id").agg(F.sum("energy").alias("energy")), "own")
+    levels = A.activated_levels(_stimuli(codes(spark, sf_dir)), placed, own, covered, *HARD, 0.12, 0.1)
+    found = A.embed_shared_bits(levels.withColumn("level", F.round("level", 6)), circles, 8)
     return found.select("image_id", F.array_join("bits", ",").alias("bits"))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from codelattice.operators import activation as A
 from codelattice.operators.activation import detector_levels, matrix
 from codelattice.operators.pairs import overlaps, similarity_pairs
 from codelattice.queries import codes as C
@@ -140,3 +141,62 @@ def test_empty_matrix_rows_are_not_shuffled(spark):
     found = run().collect()
     assert len(found) == len(expected) and {(r.image_id, r.y): r["values"] for r in found} == expected
     assert shuffled_rows(spark, run) < images * height / 2
+
+
+def copies(spark, folder, vectors, suppliers, source="/root/testdata/sf0.01"):
+    """Tables in a folder, each repeated so many times with shifted keys; returns their rows."""
+    counts = []
+    for name, key, times in (("embeddings", "vec_id", vectors), ("supplier", "s_suppkey", suppliers)):
+        rows = spark.read.parquet(f"{source}/{name}.parquet")
+        many = rows.crossJoin(spark.range(times)).withColumn(key, rows[key] + F.col("id") * rows.count()).drop("id")
+        many.write.parquet(f"{folder}/{name}.parquet")
+        counts.append(many.count())
+    return counts
+
+
+def test_embedding_shuffles_an_activation_once(spark, tmp_path):
+    """Disk would grow with the activations of all points, with their sums and with the detectors that these reach."""
+    vectors, _ = copies(spark, tmp_path, 10, 1)
+    activated = Q.q_activation(spark, str(tmp_path)).count()
+    # besides: some rows per vector and cell of the grid
+    assert 0 < shuffled_rows(spark, lambda: Q.q_embedding(spark, str(tmp_path))) < activated + 15 * vectors
+
+
+def test_embedding_shuffles_no_row_per_supplier_and_point(spark, tmp_path):
+    _, suppliers = copies(spark, tmp_path, 1, 60)
+    assert 0 < shuffled_rows(spark, lambda: Q.q_embedding(spark, str(tmp_path))) < 10 * suppliers
+
+
+def test_activated_levels_are_those_of_the_activation(spark):
+    """Over an inverted index and over blocks, with codes that an image has twice and empty ones."""
+    energy = {p: (p * 7 % 20 + 1) / 20 for p in range(60)}
+    covered = spark.createDataFrame([(d, p) for d in range(25) for p in energy if (p * p + d) % 9 < 2 and p < 55], "detector_id long, point_id long")
+    own = spark.createDataFrame([(d, 0.0 if d == 3 else 1.0 + d % 4) for d in range(25)], "detector_id long, energy double")
+    wide = lambda i: sorted({i % 7, i * 3 % 11, i * 5 % 13, 20 + i % 3})
+    narrow = lambda i: [100 + i % 47, 200 + i % 59]
+    for code in (wide, narrow):
+        points = spark.createDataFrame([(p, energy[p], code(p) if p % 10 else []) for p in energy], "point_id long, energy double, bits array<int>")
+        stimuli = spark.createDataFrame([(s // 5, s, code(s * s // 5) if s % 12 else []) for s in range(90)], "image_id long, stim long, bits array<int>")
+        rows = lambda df: sorted((r.image_id, r.detector_id, round(r.level, 9), r.points_used) for r in df.collect())
+        for eta in (None, 10.0):
+            activation = A.activate(stimuli, points, "cosine", 0.45, eta)
+            expected = rows(detector_levels(activation, points, own, covered, 0.3, 0.21))
+            assert expected and rows(A.activated_levels(stimuli, points, own, covered, "cosine", 0.45, eta, 0.3, 0.21)) == expected
+
+
+def test_shared_circles_merge_as_single_detectors(spark):
+    """Few and many detectors a circle; lambdas that are equal, nearly equal and not above 0."""
+    lambdas = (0.45, 0.55, 0.65, 0.65 * (1 + 2**-52), 0.65 * (1 - 2**-52), 0.85, 0.0, -0.5)
+    held = [(d, d % 13, d % 4, float(1 + d % 2), lambdas[d * d % 31 % 8], d) for d in range(400)] + [(400, 99, 0, 1.0, 0.55, 400)]
+    detectors = spark.createDataFrame(held, "detector_id long, cy int, cx int, radius double, lambda double, bit int")
+    own = {}
+    for d, *circle, _, _ in held:
+        own.setdefault(tuple(circle), []).append(d)
+    level = lambda i, ids: round(0.1 + (i * 17 + ids[0] * 29) % 23 / 37, 6)
+    reached = [(i, ids) for i in range(40) for ids in own.values() if (i + ids[0]) % 3]
+    each = spark.createDataFrame([(i, d, level(i, ids)) for i, ids in reached for d in ids], "image_id long, detector_id long, level double")
+    shared = spark.createDataFrame([(i, ids[0], level(i, ids)) for i, ids in reached], "image_id long, detector_id long, level double")
+    for saturation in (1, 3, 8, 200, 1000):
+        expected = {r.image_id: r.bits for r in A.embed_single_bits(each, detectors, saturation).collect()}
+        found = A.embed_shared_bits(shared, A.shared_circles(detectors, saturation), saturation).collect()
+        assert len(found) == len(expected) == 40 and {r.image_id: r.bits for r in found} == expected
