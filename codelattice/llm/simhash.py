@@ -24,8 +24,9 @@ from codelattice.llm.shared import components, give_back, materialise, sized, sl
 
 #: Fingerprints that one bucket should get on average; more only mean more leading bits.
 ROWS_PER_BUCKET = 32_000
-#: A task writes out variants for at most about this many fingerprints at once; beyond, it splits by further bits.
-ROWS_AT_ONCE = 128_000
+#: A task writes out variants for at most about this many fingerprints, and so many variants (some 40 bytes each), at once;
+#: beyond, it splits by further bits.
+ROWS_AT_ONCE, VARIANTS_AT_ONCE = 128_000, 4_000_000
 #: Buckets of more than so many times their average number are cut by so many further bits.
 MOST_IN_BUCKET, FURTHER_BITS = 8, 8
 SEED = 42
@@ -117,7 +118,10 @@ def link_bucket(fp: np.ndarray, prefix: int, bits: int, radius: int, width: int
 
     Fingerprints of fewer bits than 64 fill their words from the top.
     Fingerprints that meet in one variant are chained in order rather than paired: any two of
-    them are within the radius, so the chain has the components of all pairs.
+    them are within the radius, so the chain has the components of all pairs.  A bucket is split
+    by the variants it makes, not its rows alone: a fingerprint that has the prefix itself makes
+    hundreds, one that is half the radius away a single one.  Of a split bucket a forest of the
+    nearest links is returned.
     """
     half = radius // 2
     shift = np.uint64(64 - bits)
@@ -125,9 +129,14 @@ def link_bucket(fp: np.ndarray, prefix: int, bits: int, radius: int, width: int
     member = np.flatnonzero(distance <= half)
     if len(member) < 2:
         return np.empty((0, 2), np.int64)
-    if len(member) > ROWS_AT_ONCE and bits < width - 4:
-        found = [member[link_bucket(fp[member], prefix << 4 | more, bits + 4, radius, width)] for more in range(16)]
-        return np.unique(np.concatenate(found), axis=0)
+    made = sum(int(n) * _ball(width - bits, half - d) for d, n in enumerate(np.bincount(distance[member])))
+    if (len(member) > ROWS_AT_ONCE or made > VARIANTS_AT_ONCE) and bits < width - 4:
+        own, found = fp[member], np.empty((0, 2), np.int64)
+        for more in range(16):
+            links = link_bucket(own, prefix << 4 | more, bits + 4, radius, width)
+            if len(links):
+                found = spanning_links(own, np.concatenate([found, links]))
+        return member[found]
     low = np.uint64((1 << (64 - bits)) - 1)
     base = (fp & low) | (np.uint64(prefix) << shift)
     values, owners = [], []

@@ -6,6 +6,7 @@ import datetime
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -275,6 +276,19 @@ def test_ball_splits_large_buckets(monkeypatch):
     assert grouped(range(len(prints)), simhash.link_bucket(prints, 7, 6, 4).tolist()) == grouped(range(len(prints)), whole.tolist())
 
 
+def test_ball_bounds_the_variants_of_a_crowded_bucket():
+    draw = np.random.default_rng(7)
+    prints = np.unique(np.uint64(7 << 58) | draw.integers(0, 1 << 34, 20_000, dtype=np.uint64) << np.uint64(24))
+    tracemalloc.start()
+    pairs = simhash.link_bucket(prints, 7, 6, 4, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # all 12 million variants at once took 450 MB
+    near = [np.argwhere(np.bitwise_count(prints[at : at + 500, None] ^ prints[None, :]) <= 4) + [at, 0] for at in range(0, len(prints), 500)]
+    near = [(a, b) for a, b in np.concatenate(near).tolist() if a != b]
+    assert len(near) > 1000 and grouped(range(len(prints)), pairs.tolist()) == grouped(range(len(prints)), near)
+
+
 def test_simhash_of_null_ids_links_and_bridges(spark, monkeypatch):
     base = 0x0123456789ABCDEF
     far = [base, base ^ 0b1111, base ^ 0b11111111]  # the ends are 8 bits apart and meet over the middle only
