@@ -128,7 +128,7 @@ def step(state: DataFrame, options: Options, side: int, phase: Phase, radius: fl
     sampled = stored(with_members(ends, state), "pairs")
     if phase.mode == "long":
         known = evaluated_subset(state, options.subset, options.seed, number // max(1, phase.refresh))
-        energies = energy.pair_energy_long(sampled, state, known, options.similarity, level, options.eta)
+        energies = energy.comparable_energy_long(sampled, state, known, options.similarity, level, options.eta)
     else:
         energies = energy.pair_energy_short(sampled, state, options.length, reach, options.similarity, level, options.eta)
     wanted = energy.swaps_wanted(energies, phase.mode).where("swap").select("seq")

@@ -58,9 +58,9 @@ def _rounded(rows):
     return rows.select("seq", F.round("energy_c", 4).alias("energy_c"), F.round("energy_s", 4).alias("energy_s"))
 
 
-def _long(spark, sf_dir, sim=SIM):
+def _long(spark, sf_dir, sim=SIM, energies=N.pair_energy_long):
     placed = points(spark, sf_dir)
-    return N.pair_energy_long(pairs(spark, sf_dir, placed), placed, placed, *sim)
+    return energies(pairs(spark, sf_dir, placed), placed, placed, *sim)
 
 
 def _short(spark, sf_dir):
@@ -99,7 +99,7 @@ def q_short_pair_radius(spark, sf_dir):
 
 
 def q_swap_decision(spark, sf_dir):
-    long = N.swaps_wanted(_long(spark, sf_dir, HARD), "long").select("seq", F.col("swap").alias("long"))
+    long = N.swaps_wanted(_long(spark, sf_dir, HARD, N.comparable_energy_long), "long").select("seq", F.col("swap").alias("long"))
     short = N.swaps_wanted(_short(spark, sf_dir), "short").select("seq", F.col("swap").alias("short"))
     return long.join(short, "seq")
 

@@ -141,6 +141,29 @@ def test_long_energy_equals_the_direct_sum(spark):
         assert found[s] == pytest.approx((c, e), abs=1e-6)
 
 
+def test_long_swaps_of_equal_energies_are_not_wanted(spark):
+    """As the moments are rounded, members of equal codes, members without others and others at equal distances got swaps that lower nothing."""
+    import random
+
+    draw = random.Random(5)
+    kinds = [[0, 1, 2, 3, 4, 5, 6], [0, 1, 2, 3, 4, 5, 7], [0, 1, 2, 3, 4, 5], [1, 2, 3], [20, 21, 22], [20, 21, 23]]
+    cells = draw.sample(range(400), 150)
+    # codes of 30 to 149 come in twos, which have a weight with each other only
+    rows = [(i, c // 20, c % 20, kinds[i % 6] if i < 30 else [i // 2 * 3 + b for b in range(2 + i % 2)]) for i, c in enumerate(cells)]
+    points = spark.createDataFrame(rows, "point_id long, y int, x int, bits array<int>")
+    pairs = [(a, b) for a in rows[:30] for b in rows[:30] if a[0] < b[0]] + list(zip(rows[30::2], rows[31::2]))
+    frame = spark.createDataFrame([(s, *a[1:3], *b[1:3], a[0], b[0]) for s, (a, b) in enumerate(pairs)], "seq long, y1 int, x1 int, y2 int, x2 int, idx_a long, idx_b long")
+    t = lambda a, b: (lambda n: n / math.sqrt(len(a[3]) * len(b[3])) if n else 0.0)(len(set(a[3]) & set(b[3])))
+    d = lambda a, b: (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2
+    expected, equal = {}, 0
+    for s, (a, b) in enumerate(pairs):
+        terms = [(w * (d(a, k) - d(b, k))) for k in rows if k[0] not in (a[0], b[0]) for w in [t(b, k) - t(a, k)]]
+        equal += abs(sum(terms)) < 1e-9
+        expected[s] = sum(terms) < -1e-9
+    found = N.swaps_wanted(N.comparable_energy_long(frame, points, points, "cosine", 0.1, None), "long")
+    assert equal > 100 and any(expected.values()) and {r.seq: r.swap for r in found.collect()} == expected
+
+
 def test_patch_grids():
     from codelattice.operators import encoder as E
 
